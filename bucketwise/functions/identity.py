@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from bucketwise import constants as C
 from bucketwise.functions.text import question_family, slug_family
@@ -15,22 +15,21 @@ def _filled(col: Column) -> Column:
     return col.isNotNull() & (col != "")
 
 
-def canonical_identity(
-    *,
-    condition_id: Column,
-    token_id: Column,
-    event_id: Column,
-    neg_risk_market_id: Column,
-    event_slug: Column,
-    slug: Column,
-    question: Column,
-    city: Column,
-    station: Column,
-    event_date: Column,
-) -> Column:
-    """Strongest available evidence wins; city, station and date alone never identify an event."""
-    family = slug_family(slug)
-    phrase = question_family(question)
+def with_identity(df: DataFrame) -> DataFrame:
+    """Adds ``identity``: struct(canonical_event_key, source, evidence_fields, ambiguous,
+    quarantine_reason).
+
+    The strongest available evidence wins; city, station and date alone never identify an event.
+    Families are extracted only for rows that carry no explicit identifier.
+    """
+    event_id, neg, event_slug = F.col("event_id"), F.col("neg_risk_market_id"), F.col("event_slug")
+    city, station, date = F.col("city"), F.col("station_icao"), F.col("event_date")
+    unnamed = ~(
+        F.coalesce(_filled(event_id), F.lit(False))
+        | F.coalesce(_filled(neg), F.lit(False))
+        | F.coalesce(_filled(event_slug), F.lit(False))
+    )
+    family, phrase = F.col("_family"), F.col("_phrase")
 
     def identity(source: str, key: list[Column], evidence: list[str]) -> Column:
         ambiguous = source == "ambiguous"
@@ -44,15 +43,10 @@ def canonical_identity(
             .alias("quarantine_reason"),
         )
 
-    by_question = (
-        phrase.isNotNull() & _filled(city) & _filled(station) & _filled(event_date)
-    )
-    return (
+    by_question = phrase.isNotNull() & _filled(city) & _filled(station) & _filled(date)
+    chain = (
         F.when(_filled(event_id), identity("event_id", [event_id], ["event_id"]))
-        .when(
-            _filled(neg_risk_market_id),
-            identity("neg_risk_market_id", [neg_risk_market_id], ["neg_risk_market_id"]),
-        )
+        .when(_filled(neg), identity("neg_risk_market_id", [neg], ["neg_risk_market_id"]))
         .when(
             _filled(event_slug),
             identity("event_slug", [F.lower(F.trim(event_slug))], ["event_slug"]),
@@ -62,33 +56,25 @@ def canonical_identity(
             by_question,
             identity(
                 "question_family",
-                [phrase, city, station, event_date],
+                [phrase, city, station, date],
                 ["question", "city", "station_icao", "event_date"],
             ),
         )
-        .otherwise(identity("ambiguous", [condition_id, token_id], []))
+        .otherwise(identity("ambiguous", [F.col("condition_id"), F.col("token_id")], []))
     )
-
-
-def snapshot_identity() -> Column:
-    """Canonical identity of a snapshot row using the standard column names."""
-    return canonical_identity(
-        condition_id=F.col("condition_id"),
-        token_id=F.col("token_id"),
-        event_id=F.col("event_id"),
-        neg_risk_market_id=F.col("neg_risk_market_id"),
-        event_slug=F.col("event_slug"),
-        slug=F.col("slug"),
-        question=F.col("question"),
-        city=F.col("city"),
-        station=F.col("station_icao"),
-        event_date=F.col("event_date"),
+    return (
+        df.withColumn("_family", F.when(unnamed, slug_family(F.col("slug"))))
+        .withColumn(
+            "_phrase", F.when(unnamed & family.isNull(), question_family(F.col("question")))
+        )
+        .withColumn("identity", chain)
+        .drop("_family", "_phrase")
     )
 
 
-def event_key() -> Column:
-    """One-string form of the canonical key, cheap to hash and to shuffle."""
-    return F.array_join(snapshot_identity()["canonical_event_key"], "\u0001")
+def key_text(key: Column) -> Column:
+    """One-string form of a canonical key, cheap to hash and to shuffle."""
+    return F.array_join(key, "\u0001")
 
 
 def dedup_key(

@@ -8,14 +8,12 @@ from bucketwise import constants as C
 
 
 def blank_to_null(col: Column) -> Column:
-    trimmed = F.trim(col.cast("string"))
-    return F.when(trimmed != "", trimmed)
+    return F.nullif(F.trim(col.cast("string")), F.lit(""))
 
 
 def group(col: Column, pattern: str, index: int) -> Column:
     """Regex group, null when the pattern or the group did not match."""
-    found = F.regexp_extract(col, pattern, index)
-    return F.when(found != "", found)
+    return F.nullif(F.regexp_extract(col, pattern, index), F.lit(""))
 
 
 def fahrenheit_to_celsius(v: Column) -> Column:
@@ -117,8 +115,7 @@ def normalize_text(col: Column) -> Column:
 
 
 def normalize_station(col: Column) -> Column:
-    code = F.upper(F.trim(col))
-    return F.when(code.rlike(C.STATION_CODE), code)
+    return F.nullif(F.regexp_extract(F.upper(F.trim(col)), C.STATION_CODE, 0), F.lit(""))
 
 
 def slug_family(slug: Column) -> Column:
@@ -126,7 +123,7 @@ def slug_family(slug: Column) -> Column:
     text = F.regexp_replace(text, C.SLUG_BUCKET_SUFFIX, "")
     text = F.regexp_replace(text, r"^will-the-", "")
     text = F.regexp_replace(text, r"-be-[^-]+(?=-on-)", "")
-    return F.when(text != "", text)
+    return F.nullif(text, F.lit(""))
 
 
 def question_family(question: Column) -> Column:

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from bucketwise import constants as C
 from bucketwise.functions import text as X
 from bucketwise.functions.classify import is_yes
-from bucketwise.functions.identity import dedup_key, snapshot_identity
+from bucketwise.functions.identity import dedup_key, key_text, with_identity
 from bucketwise.functions.times import month_name, month_number
 from bucketwise.operators.keyed import flag_first_seen
 
@@ -19,11 +19,11 @@ RUNG_BUCKET_DEGREES = 64
 
 def with_event_key(df: DataFrame, stored_key: str | None = None) -> DataFrame:
     """Adds ``event_key`` and ``identity``; a stored canonical key takes precedence for grouping."""
-    out = df.withColumn("identity", snapshot_identity())
-    key = F.array_join(F.col("identity.canonical_event_key"), "\u0001")
+    out = with_identity(df)
+    key = key_text(F.col("identity.canonical_event_key"))
     if stored_key is not None:
         key = F.coalesce(
-            F.when(F.size(stored_key) > 0, F.array_join(F.col(stored_key), "\u0001")), key
+            F.when(F.size(stored_key) > 0, key_text(F.col(stored_key))), key
         )
     return out.withColumn("event_key", key)
 
@@ -75,49 +75,72 @@ def child_evidence(df: DataFrame) -> DataFrame:
     )
 
 
-def group_facts(rows: DataFrame, order: Sequence) -> DataFrame:
+def group_facts(rows: DataFrame) -> DataFrame:
     """One row per event_key with everything the coherence checks need.
 
-    Only constant-size, map-side combinable aggregates are used, so group size does not matter.
+    Only constant-size, map-side combinable aggregates are used, so group size does not matter:
+    a group holds two different values exactly when its minimum and maximum differ.
     """
-    enriched = child_evidence(rows)
-    label = F.lower(F.trim(F.coalesce("bucket_label", F.lit(""))))
-    kind = F.lower(F.trim(F.coalesce("bucket_kind", F.lit(""))))
-    date = F.col("event_date")
+    date, unit_kind = F.col("event_date"), F.lower(F.trim(F.coalesce("bucket_kind", F.lit(""))))
     own_day = F.concat_ws(
         "-",
         month_name(F.substring(date, 6, 2).try_cast("int")),
         F.substring(date, 9, 2).try_cast("int").cast("string"),
     )
-    aggs: list[Column] = [F.count(F.lit(1)).alias("n"), F.count_distinct(label).alias("n_labels")]
-    aggs += _span("event_id", X.normalize_text(F.col("event_id")))
-    aggs += _span("city", X.normalize_text(F.col("city")))
-    aggs += _span("station", X.normalize_station(F.col("station_icao")))
-    aggs += _span("date", F.when(date != "", date))
-    aggs += _span("unit", X.normalize_text(F.col("temperature_unit")))
-    aggs += _span("res_station", X.normalize_station(F.col("source_station_icao")))
-    aggs += _span("res_url", X.resolution_url(F.col("provenance_urls")))
-    aggs += _span("res_icao", X.resolution_station(F.col("provenance_urls")))
-    aggs += _span("event_slug", X.normalize_text(F.col("event_slug")))
-    aggs += _span("neg", X.normalize_text(F.col("neg_risk_market_id")))
-    aggs += _span("slug_family", X.slug_family(F.col("slug")))
-    aggs += _span("question_family", X.question_family(F.col("question")))
+    single = {
+        "event_id": X.normalize_text(F.col("event_id")),
+        "city": X.normalize_text(F.col("city")),
+        "station": X.normalize_station(F.col("station_icao")),
+        "date": F.nullif(date, F.lit("")),
+        "unit": X.normalize_text(F.col("temperature_unit")),
+        "res_station": X.normalize_station(F.col("source_station_icao")),
+        "res_url": X.resolution_url(F.col("provenance_urls")),
+        "res_icao": X.resolution_station(F.col("provenance_urls")),
+        "event_slug": X.normalize_text(F.col("event_slug")),
+        "neg": X.normalize_text(F.col("neg_risk_market_id")),
+        "slug_family": X.slug_family(F.col("slug")),
+        "question_family": X.question_family(F.col("question")),
+        "slug_day": F.col("slug_day"),
+        "question_day": F.col("question_day"),
+    }
+    cells = child_evidence(rows).select(
+        "event_key",
+        *[c.alias(f"x_{n}") for n, c in single.items()],
+        "text_cities", "text_stations", "off_topic", "settlement_label",
+        own_day.alias("own_day"),
+        F.col("identity.ambiguous").alias("ambiguous"),
+        _label().alias("label"),
+        unit_kind.alias("kind"),
+    )
+    aggs: list[Column] = [F.count(F.lit(1)).alias("n")]
+    for name in single:
+        aggs += _span(name, F.col(f"x_{name}"))
     aggs += _span_of_list("text_city", F.col("text_cities"))
     aggs += _span_of_list("text_station", F.col("text_stations"))
-    aggs += _span("slug_day", F.col("slug_day"))
-    aggs += _span("question_day", F.col("question_day"))
+    kind = F.col("kind")
     aggs += [
-        F.min(own_day).alias("own_day"),
+        F.min("own_day").alias("own_day"),
         F.bool_or("off_topic").alias("off_topic"),
-        F.bool_or(F.col("identity.ambiguous")).alias("ambiguous"),
-        F.bool_or(label == "").alias("blank_label"),
+        F.bool_or("ambiguous").alias("ambiguous"),
+        F.bool_or(F.col("label") == "").alias("blank_label"),
         F.bool_or(kind.isin("", "unknown")).alias("blank_kind"),
         F.bool_or(kind.isin(*TEMPERATURE_KINDS)).alias("some_temperature"),
         F.bool_or(~kind.isin(*TEMPERATURE_KINDS)).alias("some_other"),
         F.count_if(is_yes(F.col("settlement_label"))).alias("n_yes"),
         F.count("settlement_label").alias("n_labelled"),
     ]
-    return enriched.groupBy("event_key").agg(*aggs)
+    # label repeats are counted on a narrow side, so the wide rows shuffle once
+    labels = (
+        rows.select("event_key", _label().alias("label"))
+        .distinct()
+        .groupBy("event_key")
+        .agg(F.count(F.lit(1)).alias("n_labels"))
+    )
+    return cells.groupBy("event_key").agg(*aggs).join(labels, "event_key")
+
+
+def _label() -> Column:
+    return F.lower(F.trim(F.coalesce("bucket_label", F.lit(""))))
 
 
 def _weak_conflict(days: list[str]) -> Column:
@@ -355,7 +378,7 @@ def ladder_topology(rows: DataFrame, order: Sequence) -> DataFrame:
 
 def group_verdicts(rows: DataFrame, order: Sequence) -> DataFrame:
     """(event_key, n, accepted, code, detail): first failing check wins."""
-    facts = group_facts(rows, order)
+    facts = group_facts(rows)
     joined = facts.join(ladder_topology(rows, order), "event_key", "left")
     early = F.coalesce(coherence_code(), structure_code())
     code = F.coalesce(

@@ -11,7 +11,7 @@ from bucketwise.functions.times import month_of
 from bucketwise.operators.keyed import first_per_key
 
 # first-seen order of snapshot rows inside one date or event
-ROW_ORDER = ("token_id", "condition_id")
+ROW_ORDER = ("token_id", "event_date", "condition_id")
 # events with more distinct rungs than this are matched by join instead of by array
 LADDER_ARRAY_LIMIT = 512
 
@@ -78,7 +78,7 @@ def fit_frequency(train: DataFrame) -> DataFrame:
     """(level, station, month, city, label, n): winner counts at four grains.
 
     One winning label counts once per (date, station). City is a plain attribute of the first row.
-    First-seen follows (token_id, condition_id).
+    First-seen follows ``ROW_ORDER``.
     """
     label = F.coalesce("bucket_label", F.lit(""))
     wins = first_per_key(
@@ -170,7 +170,7 @@ def normalize_weights(rows: DataFrame, keys: list[str], weight: str) -> DataFram
 def predict_frequency(rows: DataFrame, fit: DataFrame) -> DataFrame:
     """(event_key, token_id, label, probability) from the frequency model.
 
-    ``rows`` need event_key, token_id, condition_id and snapshot columns.
+    ``rows`` need event_key and snapshot columns.
     """
     heads = _event_heads(rows).select(
         "event_key",
@@ -196,7 +196,7 @@ def predict_frequency(rows: DataFrame, fit: DataFrame) -> DataFrame:
     )
     counts = fit.select(grain.alias("_grain"), "label", "n")
     labelled = rows.select(
-        "event_key", "token_id", "condition_id", F.coalesce("bucket_label", F.lit("")).alias("label")
+        "event_key", *ROW_ORDER, F.coalesce("bucket_label", F.lit("")).alias("label")
     ).join(used.select("event_key", grain.alias("_grain")), "event_key")
     weighted = labelled.join(counts, ["_grain", "label"], "left").withColumn(
         # an unnamed bucket has no history of its own
@@ -222,7 +222,8 @@ def last_per_token(rows: DataFrame) -> DataFrame:
     named = rows.join(places, ["event_key", *ROW_ORDER], "left").withColumn(
         "label", F.coalesce("_name", "label")
     )
-    return first_per_key(named, ["event_key", "token_id"], [F.col("condition_id").desc()]).select(
+    last = [F.col(c).desc() for c in ROW_ORDER]
+    return first_per_key(named, ["event_key", "token_id"], last).select(
         "event_key", "token_id", "label", "probability"
     )
 
@@ -300,7 +301,7 @@ def ladder_rungs(rows: DataFrame) -> DataFrame:
     )
     bounded = (
         rows.join(units, "event_key")
-        .select("event_key", "unit", "token_id", "condition_id", priority.alias("priority"),
+        .select("event_key", "unit", *ROW_ORDER, priority.alias("priority"),
                 lo.alias("lo"), hi.alias("hi"))
         .filter(
             ((F.col("priority") == 0) & F.col("lo").isNotNull())
@@ -311,7 +312,7 @@ def ladder_rungs(rows: DataFrame) -> DataFrame:
     )
     return bounded.groupBy("event_key", "unit", "priority", "lo", "hi").agg(
         F.min(F.struct(*ROW_ORDER)).alias("_first")
-    ).select("event_key", "unit", "priority", "lo", "hi", "_first.token_id", "_first.condition_id")
+    ).select("event_key", "unit", "priority", "lo", "hi", "_first.*")
 
 
 def rung_accepts(unit: Column, priority: Column, lo: Column, hi: Column, value: Column) -> Column:
@@ -345,7 +346,7 @@ def _ladders(rungs: DataFrame) -> tuple[DataFrame, DataFrame]:
         .agg(
             F.first("unit").alias("unit"),
             F.array_sort(
-                F.collect_list(F.struct("priority", "token_id", "condition_id", "lo", "hi"))
+                F.collect_list(F.struct("priority", *ROW_ORDER, "lo", "hi"))
             ).alias("ladder"),
         )
     )
@@ -375,7 +376,7 @@ def match_values(values: DataFrame, rungs: DataFrame) -> DataFrame:
                 F.lit(0),
             ),
         )
-        .withColumn("_p1", F.struct("_hit.priority", "_hit.token_id", "_hit.condition_id"))
+        .withColumn("_p1", F.struct("_hit.priority", *[f"_hit.{c}" for c in ROW_ORDER]))
     )
     # distinct (event, value) pairs of oversized events only; the minimum is combined map-side
     wide = (
@@ -387,13 +388,12 @@ def match_values(values: DataFrame, rungs: DataFrame) -> DataFrame:
             rung_accepts(F.col("unit"), F.col("priority"), F.col("lo"), F.col("hi"), F.col("value"))
         )
         .groupBy("event_key", "value")
-        .agg(F.min(F.struct("priority", "token_id", "condition_id")).alias("_p2"))
+        .agg(F.min(F.struct("priority", *ROW_ORDER)).alias("_p2"))
     )
     return (
         by_array.join(wide, ["event_key", "value"], "left")
         .withColumn("_p", F.when(F.col("_hit").isNotNull(), F.col("_p1")).otherwise(F.col("_p2")))
-        .withColumn("token_id", F.col("_p.token_id"))
-        .withColumn("condition_id", F.col("_p.condition_id"))
+        .withColumns({c: F.col(f"_p.{c}") for c in ROW_ORDER})
         .drop("_hit", "_p", "_p1", "_p2", "unit", "ladder")
     )
 
@@ -450,7 +450,7 @@ def predict_errors(rows: DataFrame, fit: DataFrame) -> DataFrame:
         shaped.select("event_key", *case, F.posexplode("ladder").alias("_i", "_rung"))
         .withColumn("_pos", F.col("_i") + 1)
         .join(hits, [*case, "_pos"])
-        .select("event_key", "_rung.token_id", "_rung.condition_id", "weight")
+        .select("event_key", *[f"_rung.{c}" for c in ROW_ORDER], "weight")
     )
     # ladders beyond the array limit: aggregated join, one implied value per distinct error
     implied = (
@@ -467,17 +467,17 @@ def predict_errors(rows: DataFrame, fit: DataFrame) -> DataFrame:
         )
         .groupBy("event_key", "value")
         .agg(
-            F.min(F.struct("priority", "token_id", "condition_id")).alias("_win"),
+            F.min(F.struct("priority", *ROW_ORDER)).alias("_win"),
             F.first("n").alias("n"),
         )
-        .groupBy("event_key", "_win.token_id", "_win.condition_id")
+        .groupBy("event_key", *[f"_win.{c}" for c in ROW_ORDER])
         .agg(F.sum("n").alias("weight"))
     )
     weights = from_small.unionByName(from_large)
     labelled = rows.select(
-        "event_key", "token_id", "condition_id", F.coalesce("bucket_label", F.lit("")).alias("label")
+        "event_key", *ROW_ORDER, F.coalesce("bucket_label", F.lit("")).alias("label")
     )
-    weighted = labelled.join(weights, ["event_key", "token_id", "condition_id"], "left").withColumn(
+    weighted = labelled.join(weights, ["event_key", *ROW_ORDER], "left").withColumn(
         "weight", F.coalesce(F.col("weight"), F.lit(0)).cast("double")
     )
     return last_per_token(normalize_weights(weighted, ["event_key"], "weight"))

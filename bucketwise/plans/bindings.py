@@ -8,10 +8,11 @@ array) can grow with a hot user or order.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from bucketwise.functions.identity import event_key
+from bucketwise.operators.groups import with_event_key
 from bucketwise.operators.keyed import first_per_key
 
 
@@ -225,6 +226,7 @@ SNAPSHOT_FROM = (
 )
 
 
+@lru_cache(maxsize=8)
 def snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per order line, shaped as a research snapshot; copies included."""
     t = {n: table(spark, sf_dir, n) for n in ("lineitem", "orders", "customer", "nation", "part")}
@@ -242,12 +244,14 @@ def snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@lru_cache(maxsize=8)
 def snapshots_unique(spark: SparkSession, sf_dir: str) -> DataFrame:
     """First-seen snapshot per dedup key, with its event key."""
     keys = ["condition_id", "token_id", "event_date", "decision_ts"]
-    return first_per_key(snapshots(spark, sf_dir), keys, ["seq"]).withColumn("event_key", event_key())
+    return with_event_key(first_per_key(snapshots(spark, sf_dir), keys, ["seq"]))
 
 
+@lru_cache(maxsize=8)
 def snapshots_scored(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Unique snapshots with a model probability independent of the models: share of the event's
     weight."""
@@ -338,6 +342,7 @@ b2d AS (SELECT event_id, 'u' || user_id AS token_id, ts AS decision_ts FROM even
 PRICE_DOC = 1000
 
 
+@lru_cache(maxsize=8)
 def price_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(payload_id, kind, payload): JSON documents, one seventh of the users each kind of fault."""
     e = table(spark, sf_dir, "events")
@@ -395,6 +400,7 @@ def zone_case(n: str) -> str:
     return f"CASE {n} % {len(WEATHER_ZONES)} {parts} END"
 
 
+@lru_cache(maxsize=8)
 def hourly(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(station_no, run_day, hour, features): one row per station and hour."""
     e = table(spark, sf_dir, "events")
@@ -423,6 +429,7 @@ def hourly_sql() -> str:
           min(value) AS low, count(*) AS n FROM events GROUP BY ALL))"""
 
 
+@lru_cache(maxsize=8)
 def weather_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(station_id, zone, run_day, payload): parallel-array documents of at most 24 hours."""
     rows = hourly(spark, sf_dir)
@@ -531,6 +538,7 @@ def market_expressions(d: Dialect) -> dict[str, str]:
     }
 
 
+@lru_cache(maxsize=8)
 def markets(spark: SparkSession, sf_dir: str) -> DataFrame:
     joined = (
         table(spark, sf_dir, "orders")
@@ -559,6 +567,7 @@ def market_json() -> "F.Column":
     )
 
 
+@lru_cache(maxsize=8)
 def search_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(payload_id, payload): nested search documents of eight orders; two events plus direct
     markets, of which one repeats a nested market. Some documents are faulty."""

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, QueryFn] = {}
@@ -26,10 +26,6 @@ def query(name: str, sql: str | None = None) -> Callable[[QueryFn], QueryFn]:
     return register
 
 
-def r6(col: Column | str) -> Column:
-    return F.round(F.col(col) if isinstance(col, str) else col, 6)
-
-
 def rounded(df: DataFrame) -> DataFrame:
     """Doubles to six places, so both engines print the same value."""
     return df.select(
@@ -38,3 +34,14 @@ def rounded(df: DataFrame) -> DataFrame:
             for f in df.schema.fields
         ]
     )
+
+
+def means(df: DataFrame) -> DataFrame:
+    """As :func:`rounded`, with a hair added so that exact ties of averages round alike."""
+    return df.select(
+        *[
+            F.round(F.col(f.name) + 1e-9, 6).alias(f.name)
+            if f.dataType.typeName() == "double" else F.col(f.name)
+            for f in df.schema.fields
+        ]
+    )

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from bucketwise import constants as C
-from bucketwise.functions.identity import dedup_key, snapshot_identity
+from bucketwise.functions.identity import dedup_key, with_identity
 from bucketwise.functions.times import iso_utc
 from bucketwise.operators import audit, groups
 from bucketwise.operators.keyed import first_per_key, split_first_seen
@@ -65,7 +65,7 @@ def dedupe_quarantine(spark: SparkSession, sf_dir: str) -> DataFrame:
 def canonical_identity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from bucketwise.functions.text import normalize_station, question_family, slug_family
 
-    rows = snapshots(spark, sf_dir).withColumn("identity", snapshot_identity())
+    rows = with_identity(snapshots(spark, sf_dir))
     return rows.select(
         "token_id",
         F.array_join("identity.canonical_event_key", "|").alias("canonical_event_key"),
@@ -207,7 +207,7 @@ gt AS (SELECT event_key, CASE WHEN early IS NOT NULL THEN early WHEN fault IS NO
 
 
 def _grouped(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return groups.with_event_key(snapshots_unique(spark, sf_dir))
+    return snapshots_unique(spark, sf_dir)
 
 
 @query(
@@ -216,7 +216,7 @@ def _grouped(spark: SparkSession, sf_dir: str) -> DataFrame:
     structure_code, settlement_code, n_yes, n_labelled FROM gv""",
 )
 def group_conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    facts = groups.group_facts(_grouped(spark, sf_dir), ["seq"])
+    facts = groups.group_facts(_grouped(spark, sf_dir))
     return facts.select(
         F.replace("event_key", F.lit("\u0001"), F.lit("|")).alias("event_key"), "n",
         groups.coherence_code().alias("coherence_code"),
@@ -232,7 +232,7 @@ def group_conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     v_res_icao AS resolution_station FROM gv""",
 )
 def group_weak_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    facts = groups.group_facts(_grouped(spark, sf_dir), ["seq"])
+    facts = groups.group_facts(_grouped(spark, sf_dir))
     return facts.select(
         F.replace("event_key", F.lit("\u0001"), F.lit("|")).alias("event_key"),
         *[c.alias(n) for n, c in groups.weak_evidence().items()],
