@@ -12,6 +12,7 @@ from bucketwise.functions.classify import is_yes
 from bucketwise.functions.identity import dedup_key, key_text, with_identity
 from bucketwise.functions.times import month_name, month_number
 from bucketwise.operators.keyed import flag_first_seen
+from bucketwise.sources.scratch import materialize
 
 TEMPERATURE_KINDS = ("exact", "range", "above", "below")
 RUNG_BUCKET_DEGREES = 64
@@ -433,7 +434,8 @@ def route_event_groups(
         "_dedup",
         dedup_key(F.col("condition_id"), F.col("token_id"), F.col("event_date"), F.col("decision_ts")),
     )
-    flagged = flag_first_seen(keyed, ["event_key", "_dedup"], order)
+    # four branches read the flagged rows: facts, labels, ladder and the final join
+    flagged = materialize(flag_first_seen(keyed, ["event_key", "_dedup"], order), "event-groups")
     clear = flagged.filter(~F.col("identity.ambiguous") & F.col("is_first"))
     verdicts = group_verdicts(clear, order).select("event_key", "code", "detail")
     out = flagged.join(verdicts, "event_key", "left")

@@ -85,6 +85,31 @@ def skip_reasons(scores: DataFrame) -> DataFrame:
     )
 
 
+def _paired_calibration(rows: DataFrame, model_p: str, baseline_p: str, y: Column) -> DataFrame:
+    """One row (model_ece, baseline_ece): both curves in one pass over the rows."""
+    curves = F.array(
+        F.struct(F.lit("model").alias("who"), F.col(model_p).alias("p")),
+        F.struct(F.lit("baseline").alias("who"), F.col(baseline_p).alias("p")),
+    )
+    long = rows.select(y.alias("y"), F.inline(curves))
+    per_bin = long.groupBy("who", calibration_bin(F.col("p")).alias("bin")).agg(
+        F.count(F.lit(1)).alias("n"), F.avg("p").alias("avg_p"), F.avg("y").alias("avg_y")
+    )
+    gap = F.col("n") * F.abs(F.col("avg_p") - F.col("avg_y"))
+
+    def ece(who: str) -> Column:
+        mine = F.col("who") == who
+        return (F.sum(F.when(mine, gap)) / F.sum(F.when(mine, F.col("n")))).alias(f"{who}_ece")
+
+    return per_bin.agg(ece("model"), ece("baseline"))
+
+
+SKIP_REASONS = (
+    "missing model or baseline probabilities", "multiple YES winners",
+    "probabilities missing or not normalized", "zero YES winners",
+)
+
+
 def score_split(rows: DataFrame, key: str, model_p: str, baseline_p: str) -> DataFrame:
     """One row: counts, skip reasons and the four metrics for model and baseline."""
     scores = event_scores(rows, key, model_p, baseline_p)
@@ -93,6 +118,8 @@ def score_split(rows: DataFrame, key: str, model_p: str, baseline_p: str) -> Dat
     def mean(term: str) -> Column:
         return F.avg(F.when(scored, F.col(term)))
 
+    counts = [F.count_if(F.col("skip_reason") == r).alias(f"_skip{i}")
+              for i, r in enumerate(SKIP_REASONS)]
     summary = scores.agg(
         F.coalesce(F.sum("n"), F.lit(0)).alias("n"),
         F.count(F.lit(1)).alias("events"),
@@ -104,26 +131,36 @@ def score_split(rows: DataFrame, key: str, model_p: str, baseline_p: str) -> Dat
         mean("baseline_log").alias("baseline_log_loss"),
         F.bool_and(F.when(scored, F.col("model_ok"))).alias("model_sum_ok"),
         F.bool_and(F.when(scored, F.col("baseline_ok"))).alias("baseline_sum_ok"),
+        *counts,
     )
-    reasons = skip_reasons(scores).agg(
-        F.array_sort(
-            F.collect_list(F.concat(F.col("skip_reason"), F.lit(" ("), F.col("events"), F.lit(")")))
-        ).alias("skip_reasons")  # at most four reasons exist
+    texts = F.array_compact(
+        F.array(
+            *[
+                F.when(
+                    F.col(f"_skip{i}") > 0,
+                    F.concat(F.lit(f"{r} ("), F.col(f"_skip{i}").cast("string"), F.lit(")")),
+                )
+                for i, r in enumerate(SKIP_REASONS)
+            ]
+        )
     )
     kept = rows.filter("settlement_label IS NOT NULL").join(
         scores.filter(scored).select(key), key, "left_semi"
-    ).withColumn("_y", is_yes(F.col("settlement_label")).cast("int"))
-    model_ece = expected_calibration_error(kept, model_p, "_y").withColumnRenamed("ece", "model_ece")
-    base_ece = expected_calibration_error(kept, baseline_p, "_y").withColumnRenamed(
-        "ece", "baseline_ece"
     )
-    # every side below has exactly one row
-    one = summary.join(reasons).join(model_ece).join(base_ece)
+    calibration = _paired_calibration(
+        kept, model_p, baseline_p, is_yes(F.col("settlement_label")).cast("int")
+    )
     status = F.when(F.col("scored_events") > 0, "ok").otherwise("insufficient_data")
     reason = F.when(F.col("n") == 0, "no settlement labels").when(
         F.col("scored_events") == 0, "no scorable events after winner/probability checks"
     )
-    return one.select(status.alias("status"), reason.alias("reason"), *one.columns)
+    # both sides have exactly one row
+    return (
+        summary.withColumn("skip_reasons", texts)
+        .drop(*[f"_skip{i}" for i in range(len(SKIP_REASONS))])
+        .join(calibration)
+        .select(status.alias("status"), reason.alias("reason"), "*")
+    )
 
 
 def sample_sufficiency(scored: DataFrame, minimum: int = C.MIN_SCORED_EVENTS) -> DataFrame:

@@ -9,6 +9,7 @@ from bucketwise.functions.classify import is_yes, settlement_degree
 from bucketwise.functions.text import celsius_to_fahrenheit, group
 from bucketwise.functions.times import month_of
 from bucketwise.operators.keyed import first_per_key
+from bucketwise.sources.scratch import materialize
 
 # first-seen order of snapshot rows inside one date or event
 ROW_ORDER = ("token_id", "event_date", "condition_id")
@@ -202,26 +203,28 @@ def predict_frequency(rows: DataFrame, fit: DataFrame) -> DataFrame:
         # an unnamed bucket has no history of its own
         "weight", F.when(F.col("label") != "", F.coalesce(F.col("n"), F.lit(0))).otherwise(0).cast("double")
     )
-    return last_per_token(normalize_weights(weighted, ["event_key"], "weight"))
+    return last_per_token(normalize_weights(weighted, ["event_key"], "weight"), rows)
 
 
-def last_per_token(rows: DataFrame) -> DataFrame:
+def last_per_token(rows: DataFrame, source: DataFrame) -> DataFrame:
     """One prediction per (event, token): a repeated token keeps its last row.
 
     An unnamed bucket is called ``bucket-i`` by its place in token order. Accepted events name all
-    their buckets, so only events that break that rule pay for the ranking.
+    their buckets, so the ranking is planned only when the source holds an unnamed one.
     """
-    unnamed = rows.filter("label = ''").select("event_key").distinct()
-    place = Window.partitionBy("event_key").orderBy(*ROW_ORDER)
-    places = (
-        rows.join(unnamed, "event_key", "left_semi")
-        .select("event_key", *ROW_ORDER, "label", (F.row_number().over(place) - 1).alias("_i"))
-        .filter("label = ''")
-        .select("event_key", *ROW_ORDER, F.concat(F.lit("bucket-"), F.col("_i")).alias("_name"))
-    )
-    named = rows.join(places, ["event_key", *ROW_ORDER], "left").withColumn(
-        "label", F.coalesce("_name", "label")
-    )
+    named = rows
+    if not source.filter("bucket_label IS NULL OR bucket_label = ''").isEmpty():
+        unnamed = rows.filter("label = ''").select("event_key").distinct()
+        place = Window.partitionBy("event_key").orderBy(*ROW_ORDER)
+        places = (
+            rows.join(unnamed, "event_key", "left_semi")
+            .select("event_key", *ROW_ORDER, "label", (F.row_number().over(place) - 1).alias("_i"))
+            .filter("label = ''")
+            .select("event_key", *ROW_ORDER, F.concat(F.lit("bucket-"), F.col("_i")).alias("_name"))
+        )
+        named = rows.join(places, ["event_key", *ROW_ORDER], "left").withColumn(
+            "label", F.coalesce("_name", "label")
+        )
     last = [F.col(c).desc() for c in ROW_ORDER]
     return first_per_key(named, ["event_key", "token_id"], last).select(
         "event_key", "token_id", "label", "probability"
@@ -336,10 +339,14 @@ def rung_accepts(unit: Column, priority: Column, lo: Column, hi: Column, value:
     )
 
 
-def _ladders(rungs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Sorted rung arrays for events up to the size limit, and the rungs of larger events."""
+def _ladders(rungs: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """Sorted rung arrays for events up to the size limit, and the rungs of larger events.
+
+    The rungs are written once with their event's size, so the size check is a small scan and the
+    second form is planned only when some event needs it.
+    """
     sizes = rungs.groupBy("event_key").agg(F.count(F.lit(1)).alias("_rungs"))
-    sized = rungs.join(sizes, "event_key")
+    sized = materialize(rungs.join(sizes, "event_key"), "ladder")
     small = (
         sized.filter(F.col("_rungs") <= LADDER_ARRAY_LIMIT)
         .groupBy("event_key")
@@ -351,7 +358,7 @@ def _ladders(rungs: DataFrame) -> tuple[DataFrame, DataFrame]:
         )
     )
     large = sized.filter(F.col("_rungs") > LADDER_ARRAY_LIMIT).drop("_rungs")
-    return small, large
+    return small, None if large.isEmpty() else large
 
 
 def match_values(values: DataFrame, rungs: DataFrame) -> DataFrame:
@@ -376,8 +383,11 @@ def match_values(values: DataFrame, rungs: DataFrame) -> DataFrame:
                 F.lit(0),
             ),
         )
-        .withColumn("_p1", F.struct("_hit.priority", *[f"_hit.{c}" for c in ROW_ORDER]))
+        .withColumn("_p", F.struct("_hit.priority", *[f"_hit.{c}" for c in ROW_ORDER]))
     )
+    winner = {c: F.col(f"_p.{c}") for c in ROW_ORDER}
+    if large is None:
+        return by_array.withColumns(winner).drop("_hit", "_p", "unit", "ladder")
     # distinct (event, value) pairs of oversized events only; the minimum is combined map-side
     wide = (
         values.select("event_key", "value")
@@ -392,9 +402,31 @@ def match_values(values: DataFrame, rungs: DataFrame) -> DataFrame:
     )
     return (
         by_array.join(wide, ["event_key", "value"], "left")
-        .withColumn("_p", F.when(F.col("_hit").isNotNull(), F.col("_p1")).otherwise(F.col("_p2")))
-        .withColumns({c: F.col(f"_p.{c}") for c in ROW_ORDER})
-        .drop("_hit", "_p", "_p1", "_p2", "unit", "ladder")
+        .withColumn("_p", F.when(F.col("_hit").isNotNull(), F.col("_p")).otherwise(F.col("_p2")))
+        .withColumns(winner)
+        .drop("_hit", "_p", "_p2", "unit", "ladder")
+    )
+
+
+def _wide_ladder_weights(source: DataFrame, errors: DataFrame, large: DataFrame) -> DataFrame:
+    """Weights for events beyond the array limit: one implied value per distinct error, winners
+    combined map-side."""
+    implied = (
+        source.join(large.select("event_key").distinct(), "event_key", "left_semi")
+        .join(errors, "_source")
+        .select("event_key", (F.col("forecast") + F.col("error")).alias("value"), "n")
+        .groupBy("event_key", "value")
+        .agg(F.sum("n").alias("n"))
+    )
+    return (
+        implied.join(large, "event_key")
+        .filter(
+            rung_accepts(F.col("unit"), F.col("priority"), F.col("lo"), F.col("hi"), F.col("value"))
+        )
+        .groupBy("event_key", "value")
+        .agg(F.min(F.struct("priority", *ROW_ORDER)).alias("_win"), F.first("n").alias("n"))
+        .groupBy("event_key", *[f"_win.{c}" for c in ROW_ORDER])
+        .agg(F.sum("n").alias("weight"))
     )
 
 
@@ -452,32 +484,13 @@ def predict_errors(rows: DataFrame, fit: DataFrame) -> DataFrame:
         .join(hits, [*case, "_pos"])
         .select("event_key", *[f"_rung.{c}" for c in ROW_ORDER], "weight")
     )
-    # ladders beyond the array limit: aggregated join, one implied value per distinct error
-    implied = (
-        source.join(large.select("event_key").distinct(), "event_key", "left_semi")
-        .join(errors, "_source")
-        .select("event_key", (F.col("forecast") + F.col("error")).alias("value"), "n")
-        .groupBy("event_key", "value")
-        .agg(F.sum("n").alias("n"))
-    )
-    from_large = (
-        implied.join(large, "event_key")
-        .filter(
-            rung_accepts(F.col("unit"), F.col("priority"), F.col("lo"), F.col("hi"), F.col("value"))
-        )
-        .groupBy("event_key", "value")
-        .agg(
-            F.min(F.struct("priority", *ROW_ORDER)).alias("_win"),
-            F.first("n").alias("n"),
-        )
-        .groupBy("event_key", *[f"_win.{c}" for c in ROW_ORDER])
-        .agg(F.sum("n").alias("weight"))
-    )
-    weights = from_small.unionByName(from_large)
+    weights = from_small
+    if large is not None:
+        weights = from_small.unionByName(_wide_ladder_weights(source, errors, large))
     labelled = rows.select(
         "event_key", *ROW_ORDER, F.coalesce("bucket_label", F.lit("")).alias("label")
     )
     weighted = labelled.join(weights, ["event_key", *ROW_ORDER], "left").withColumn(
         "weight", F.coalesce(F.col("weight"), F.lit(0)).cast("double")
     )
-    return last_per_token(normalize_weights(weighted, ["event_key"], "weight"))
+    return last_per_token(normalize_weights(weighted, ["event_key"], "weight"), rows)

@@ -1,6 +1,6 @@
 """All registered queries."""
 
-from bucketwise.plans import model_queries, snapshot_queries, time_queries  # noqa: F401
+from bucketwise.plans import model_queries, snapshot_queries, text_queries, time_queries  # noqa: F401
 from bucketwise.plans.registry import QUERIES, SQL
 
 __all__ = ["QUERIES", "SQL"]

@@ -14,6 +14,7 @@ from bucketwise.plans.bindings import (
     snapshot_sql, snapshots, snapshots_scored, snapshots_unique, table,
 )
 from bucketwise.plans.registry import means, query, rounded
+from bucketwise.sources.scratch import materialize
 
 B1 = snapshot_sql()
 SHOWN_KEY = "replace(event_key, chr(1), '|') AS event_key"
@@ -43,11 +44,23 @@ def split_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return models.split_dates(orders)
 
 
-@lru_cache(maxsize=8)
+MODEL_COLUMNS = (
+    "event_key", "condition_id", "token_id", "event_date", "city", "station_icao", "bucket_label",
+    "bucket_kind", "temperature_unit", "temperature_native_min", "temperature_native_max",
+    "temperature_celsius_min", "temperature_celsius_max", "forecast_daily_max_c",
+    "diagnostic_actual_max_c", "settlement_label", "market_probability", "forecast_lead_hours",
+    "best_ask",
+)
+
+
 def split_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Unique snapshots with their split; events are kept apart per split."""
-    rows = snapshots_unique(spark, sf_dir)
-    tagged = models.with_split(rows, models.split_dates(rows))
+    """Unique snapshots with their split; events are kept apart per split.
+
+    Written once: fits, predictions and tables all read these rows.
+    """
+    rows = materialize(snapshots_unique(spark, sf_dir).select(*MODEL_COLUMNS), "snapshots")
+    dates = materialize(models.split_dates(rows), "split-dates")
+    tagged = models.with_split(rows, dates)
     return tagged.withColumn("event_key", F.concat_ws("\u0001", "split", "event_key"))
 
 
@@ -105,17 +118,17 @@ fp AS (SELECT event_key, token_id, label, probability FROM (SELECT *, CASE WHEN
     ORDER BY event_date DESC, condition_id DESC) AS last FROM fw WINDOW e AS (PARTITION BY event_key)) WHERE last = 1)"""
 
 
-def _train(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return split_rows(spark, sf_dir).filter("split = 'train'")
+def _train(rows: DataFrame) -> DataFrame:
+    return rows.filter("split = 'train'")
 
 
-def _target(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return split_rows(spark, sf_dir).filter("split <> 'train'")
+def _target(rows: DataFrame) -> DataFrame:
+    return rows.filter("split <> 'train'")
 
 
 @query("freq_fit", f"WITH {FREQ_SQL} SELECT * FROM ff")
 def freq_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return models.fit_frequency(_train(spark, sf_dir))
+    return models.fit_frequency(_train(split_rows(spark, sf_dir)))
 
 
 @query(
@@ -123,8 +136,9 @@ def freq_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     f"WITH {FREQ_PREDICT_SQL} SELECT {SHOWN_KEY}, token_id, label, round(probability, 6) AS probability FROM fp",
 )
 def freq_predict(spark: SparkSession, sf_dir: str) -> DataFrame:
-    fit = models.fit_frequency(_train(spark, sf_dir))
-    return shown(rounded(models.predict_frequency(_target(spark, sf_dir), fit)))
+    rows = split_rows(spark, sf_dir)
+    fit = models.fit_frequency(_train(rows))
+    return shown(rounded(models.predict_frequency(_target(rows), fit)))
 
 
 # ---- forecast-error model --------------------------------------------------------------------------------
@@ -189,7 +203,7 @@ ep AS (SELECT event_key, token_id, label, probability FROM (SELECT *, CASE WHEN
 
 @query("error_fit", f"WITH {ERROR_SQL} SELECT station, error, n FROM ef")
 def error_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return models.fit_errors(_train(spark, sf_dir))
+    return models.fit_errors(_train(split_rows(spark, sf_dir)))
 
 
 @query(
@@ -197,8 +211,9 @@ def error_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     f"WITH {ERROR_PREDICT_SQL} SELECT {SHOWN_KEY}, token_id, label, round(probability, 6) AS probability FROM ep",
 )
 def error_predict(spark: SparkSession, sf_dir: str) -> DataFrame:
-    fit = models.fit_errors(_train(spark, sf_dir))
-    return shown(rounded(models.predict_errors(_target(spark, sf_dir), fit)))
+    rows = split_rows(spark, sf_dir)
+    fit = models.fit_errors(_train(rows))
+    return shown(rounded(models.predict_errors(_target(rows), fit)))
 
 
 @query(
@@ -336,11 +351,11 @@ def bucket_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # ---- breakdowns ---------------------------------------------------------------------------------------------
 
-@lru_cache(maxsize=8)
 def test_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Test rows with the forecast-error model's probability (null where the lookup misses)."""
-    fit = models.fit_errors(_train(spark, sf_dir))
-    test = split_rows(spark, sf_dir).filter("split = 'test'")
+    rows = split_rows(spark, sf_dir)
+    fit = models.fit_errors(_train(rows))
+    test = rows.filter("split = 'test'")
     return D.with_model_probability(test, models.predict_errors(test, fit))
 
 
