@@ -351,18 +351,17 @@ def flatten_books(payloads: DataFrame, token: str, payload: str = "payload") ->
         *[F.col(f"b.{c}").try_cast("double").alias(c)
           for c in ("tick_size", "min_order_size", "last_trade_price")],
     )
-    sides = F.concat(
-        *[
-            F.transform(
-                F.coalesce(F.col(f"b.{name}"), F.array()),
-                lambda x, i, side=side: F.struct(
-                    F.lit(side).alias("side"), i.alias("level_index"),
-                    finite_number(x["price"]).alias("price"), finite_number(x["size"]).alias("size"),
-                ),
+
+    def side(entries: str, name: str) -> Column:
+        def level(x: Column, i: Column) -> Column:
+            return F.struct(
+                F.lit(name).alias("side"), i.alias("level_index"),
+                finite_number(x["price"]).alias("price"), finite_number(x["size"]).alias("size"),
             )
-            for name, side in (("bids", "bid"), ("asks", "ask"))
-        ]
-    )
+
+        return F.transform(F.coalesce(F.col(f"b.{entries}"), F.array()), level)
+
+    sides = F.concat(side("bids", "bid"), side("asks", "ask"))
     levels = book.select(ident.alias("snapshot_id"), F.inline(sides)).filter(
         "price IS NOT NULL AND size IS NOT NULL"
     )

@@ -411,9 +411,9 @@ def hourly(spark: SparkSession, sf_dir: str) -> DataFrame:
         )
         .select(
             "station_no", F.date_trunc("day", "hour").alias("run_day"), "hour",
-            F.when(F.col("n") % 5 != 4, F.round(F.col("top") / 10, 2)).alias("temperature_c"),
-            F.round(F.col("low") / 20, 2).alias("dew_point_c"),
-            F.when(F.col("station_no") % 3 != 0, F.round(F.col("low"), 2)).alias("humidity_pct"),
+            F.when(F.col("n") % 5 != 4, F.col("top") / 10).alias("temperature_c"),
+            (F.col("low") / 20).alias("dew_point_c"),
+            F.when(F.col("station_no") % 3 != 0, F.col("low")).alias("humidity_pct"),
             F.col("n").cast("double").alias("wind_speed"),
         )
     )
@@ -421,9 +421,9 @@ def hourly(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def hourly_sql() -> str:
     return """b4 AS (SELECT station_no, date_trunc('day', hour) AS run_day, hour,
-    CASE WHEN n % 5 <> 4 THEN round(top / 10, 2) END AS temperature_c,
-    round(low / 20, 2) AS dew_point_c,
-    CASE WHEN station_no % 3 <> 0 THEN round(low, 2) END AS humidity_pct,
+    CASE WHEN n % 5 <> 4 THEN top / 10 END AS temperature_c,
+    low / 20 AS dew_point_c,
+    CASE WHEN station_no % 3 <> 0 THEN low END AS humidity_pct,
     cast(n AS double) AS wind_speed
   FROM (SELECT user_id AS station_no, date_trunc('hour', ts) AS hour, max(value) AS top,
           min(value) AS low, count(*) AS n FROM events GROUP BY ALL))"""

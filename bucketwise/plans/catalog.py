@@ -1,6 +1,8 @@
 """All registered queries."""
 
-from bucketwise.plans import model_queries, snapshot_queries, text_queries, time_queries  # noqa: F401
+from bucketwise.plans import (  # noqa: F401
+    model_queries, payload_queries, snapshot_queries, table_queries, text_queries, time_queries,
+)
 from bucketwise.plans.registry import QUERIES, SQL
 
 __all__ = ["QUERIES", "SQL"]

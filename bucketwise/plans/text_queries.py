@@ -9,6 +9,7 @@ from bucketwise.functions.identity import canonical_url
 from bucketwise.operators import normalize as N
 from bucketwise.plans.bindings import SEARCH_DOC, DUCK, market_sql, markets, search_payloads, snapshots, table, snapshot_sql
 from bucketwise.plans.registry import query, rounded
+from bucketwise.sources.scratch import materialize
 
 B5 = market_sql()
 
@@ -184,7 +185,9 @@ def topic_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     WHERE parse_status IN ('resolved', 'partial') ORDER BY 1 LIMIT 25""",
 )
 def detail_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = N.normalize_markets(raw_markets(spark, sf_dir)).select("condition_id", "parse_status")
+    # targets are picked from the stored market table, not re-derived under a pushed-down filter
+    out = materialize(N.normalize_markets(raw_markets(spark, sf_dir)), "markets")
+    out = out.select("condition_id", "parse_status")
     return out.filter(F.col("parse_status").isin("resolved", "partial")).orderBy("condition_id").limit(25)
 
 
