@@ -127,12 +127,14 @@ def slug_family(slug: Column) -> Column:
 
 
 def question_family(question: Column) -> Column:
-    cleaned = F.regexp_replace(question, r"(?i)\bbe\s+(?:between\s+)?[^?]+\s+on\s+", "on ")
-    cleaned = F.regexp_replace(cleaned, r"(?i)\bbe\s+[^?]+\s+on\s+", "on ")
+    """Shared phrase of a question family, without the bucket part ("be ... on" becomes "on")."""
+    cleaned = F.regexp_replace(question, r"(?i)\bbe\s+[^?]+\s+on\s+", "on ")
     phrase = F.coalesce(
         group(cleaned, C.QUESTION_FAMILY, 1), group(question, C.QUESTION_FAMILY, 1)
     )
-    return blank_to_null(F.regexp_replace(F.lower(F.trim(phrase)), r"\s+", " "))
+    tidy = blank_to_null(F.regexp_replace(F.lower(F.trim(phrase)), r"\s+", " "))
+    # most texts without the topic word never reach the patterns
+    return F.when(F.lower(question).contains("temperature"), tidy)
 
 
 def resolution_url(urls: Column) -> Column:

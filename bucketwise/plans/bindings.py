@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from bucketwise.operators.groups import with_event_key
 from bucketwise.operators.keyed import first_per_key
+from bucketwise.sources.scratch import materialize
 
 
 @dataclass(frozen=True)
@@ -70,9 +71,15 @@ class Dialect:
 SPARK, DUCK = Dialect("spark"), Dialect("duck")
 
 
+LARGE_TABLES = ("lineitem", "orders", "events")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """Parquet scan with naive stamps read as UTC instants."""
     df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    if name in LARGE_TABLES and len(df.inputFiles()) < spark.sparkContext.defaultParallelism:
+        # a single-file table is one scan task; spread its rows before the expression work
+        df = df.repartition(spark.sparkContext.defaultParallelism)
     stamps = [f.name for f in df.schema.fields if f.dataType.typeName() == "timestamp_ntz"]
     return df.withColumns({c: F.col(c).cast("timestamp") for c in stamps}) if stamps else df
 
@@ -251,11 +258,18 @@ def snapshots_unique(spark: SparkSession, sf_dir: str) -> DataFrame:
     return with_event_key(first_per_key(snapshots(spark, sf_dir), keys, ["seq"]))
 
 
-@lru_cache(maxsize=8)
+SCORED_COLUMNS = (
+    "event_key", "condition_id", "token_id", "event_date", "city", "station_icao", "bucket_label",
+    "bucket_kind", "settlement_label", "market_probability", "forecast_lead_hours", "best_ask",
+    "raw_weight",
+)
+
+
 def snapshots_scored(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Unique snapshots with a model probability independent of the models: share of the event's
     weight."""
-    rows = snapshots_unique(spark, sf_dir)
+    # totals and rows both need the deduplicated snapshots, so they are written once
+    rows = materialize(snapshots_unique(spark, sf_dir).select(*SCORED_COLUMNS), "scored")
     totals = rows.groupBy("event_key").agg(F.sum("raw_weight").alias("_total"))
     return rows.join(totals, "event_key").withColumn(
         "model_p", F.col("raw_weight") / F.col("_total")

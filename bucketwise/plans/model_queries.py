@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import lru_cache
-
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from bucketwise import constants as C
@@ -259,7 +257,6 @@ def ece_sql(rows: str, p: str) -> str:
     )
 
 
-@lru_cache(maxsize=8)
 def scored_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Unique snapshots with a model probability (missing for the lightest rows) and a uniform one."""
     rows = snapshots_scored(spark, sf_dir)
