@@ -250,6 +250,20 @@ def ladder_topology(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumn("event_key", F.replace("event_key", F.lit("\u0001"), F.lit("|")))
 
 
+# what acceptance reads; features and prices stay out of the shuffles
+GROUP_COLUMNS = (
+    "condition_id", "market_id", "token_id", "event_id", "neg_risk_market_id", "event_slug", "slug",
+    "question", "city", "station_icao", "source_station_icao", "event_date", "decision_ts",
+    "bucket_label", "bucket_kind", "temperature_unit", "temperature_native_min",
+    "temperature_native_max", "settlement_label", "provenance_urls", "raw_paths", "content_hashes",
+    "seq", "raw_weight",
+)
+
+
+def _for_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return snapshots(spark, sf_dir).select(*GROUP_COLUMNS)
+
+
 ACCEPT_SQL = f"""{B1},
 ba AS (SELECT *, row_number() OVER (PARTITION BY event_key, dedup_key ORDER BY {SEQ_SQL}) AS copy FROM b1k),
 bc AS (SELECT * FROM ba WHERE copy = 1 AND NOT starts_with(event_key, 'ambiguous')),
@@ -273,7 +287,7 @@ routed AS (SELECT ba.*, CASE WHEN starts_with(ba.event_key, 'ambiguous') THEN 'e
     code IS NULL AS accepted, code FROM routed""",
 )
 def group_acceptance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    routed = groups.route_event_groups(snapshots(spark, sf_dir), ["seq"])
+    routed = groups.route_event_groups(_for_groups(spark, sf_dir), ["seq"])
     return routed.select(
         "token_id", "condition_id", "event_date", "raw_weight",
         F.col("_code").isNull().alias("accepted"), F.col("_code").alias("code"),
@@ -288,7 +302,7 @@ def group_acceptance(spark: SparkSession, sf_dir: str) -> DataFrame:
     AS details FROM routed WHERE code IS NOT NULL""",
 )
 def group_quarantine(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return groups.accept_event_groups(snapshots(spark, sf_dir), ["seq"])[1]
+    return groups.accept_event_groups(_for_groups(spark, sf_dir), ["seq"])[1]
 
 
 # ---- audit ------------------------------------------------------------------------------------------
@@ -350,7 +364,7 @@ def audit_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
     f"WITH {ACCEPT_SQL} SELECT code AS reason, count(*) AS n FROM routed WHERE code IS NOT NULL GROUP BY 1",
 )
 def quarantine_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
-    routed = groups.route_event_groups(snapshots(spark, sf_dir), ["seq"])
+    routed = groups.route_event_groups(_for_groups(spark, sf_dir), ["seq"])
     return audit.reason_histogram(
         routed.filter("_code IS NOT NULL").select(F.col("_code").alias("reason"))
     )
