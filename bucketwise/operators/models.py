@@ -318,23 +318,25 @@ def ladder_rungs(rows: DataFrame) -> DataFrame:
     ).select("event_key", "unit", "priority", "lo", "hi", "_first.*")
 
 
-def rung_accepts(unit: Column, priority: Column, lo: Column, hi: Column, value: Column) -> Column:
-    """Does a Celsius value settle in this rung?
-
-    Fahrenheit events settle on whole degrees; Celsius ones on the value as it is, with a strict
-    half-degree reach for single-degree rungs.
-    """
+def settled_value(unit: Column, value: Column) -> Column:
+    """What a Celsius value settles as: whole Fahrenheit degrees, or the value as it is."""
     degree = settlement_degree(celsius_to_fahrenheit(value)).cast("double")
-    is_f = unit == "F"
-    v = F.when(is_f, degree).otherwise(value)
-    exact = F.when(is_f, degree == settlement_degree(lo).cast("double")).otherwise(
-        F.abs(value - lo) < 0.5
+    return F.when(unit == "F", degree).otherwise(value)
+
+
+def rung_accepts(
+    unit: Column, priority: Column, lo: Column, hi: Column, settled: Column
+) -> Column:
+    """Does a settled value belong to this rung? Single-degree Celsius rungs reach strictly less
+    than half a degree."""
+    exact = F.when(unit == "F", settled == settlement_degree(lo).cast("double")).otherwise(
+        F.abs(settled - lo) < 0.5
     )
     return F.coalesce(
         F.when(priority == 0, exact)
-        .when(priority == 1, (lo <= v) & (v <= hi))
-        .when(priority == 2, v <= hi)
-        .when(priority == 3, v >= lo),
+        .when(priority == 1, (lo <= settled) & (settled <= hi))
+        .when(priority == 2, settled <= hi)
+        .when(priority == 3, settled >= lo),
         F.lit(False),
     )
 
@@ -371,13 +373,14 @@ def match_values(values: DataFrame, rungs: DataFrame) -> DataFrame:
     small, large = _ladders(rungs)
     by_array = (
         values.join(small, "event_key", "left")
+        .withColumn("_settled", settled_value(F.col("unit"), F.col("value")))
         .withColumn(
             "_hit",
             F.get(
                 F.filter(
                     F.col("ladder"),
                     lambda r: rung_accepts(
-                        F.col("unit"), r["priority"], r["lo"], r["hi"], F.col("value")
+                        F.col("unit"), r["priority"], r["lo"], r["hi"], F.col("_settled")
                     ),
                 ),
                 F.lit(0),
@@ -387,7 +390,7 @@ def match_values(values: DataFrame, rungs: DataFrame) -> DataFrame:
     )
     winner = {c: F.col(f"_p.{c}") for c in ROW_ORDER}
     if large is None:
-        return by_array.withColumns(winner).drop("_hit", "_p", "unit", "ladder")
+        return by_array.withColumns(winner).drop("_hit", "_p", "_settled", "unit", "ladder")
     # distinct (event, value) pairs of oversized events only; the minimum is combined map-side
     wide = (
         values.select("event_key", "value")
@@ -395,7 +398,10 @@ def match_values(values: DataFrame, rungs: DataFrame) -> DataFrame:
         .distinct()
         .join(large, "event_key")
         .filter(
-            rung_accepts(F.col("unit"), F.col("priority"), F.col("lo"), F.col("hi"), F.col("value"))
+            rung_accepts(
+                F.col("unit"), F.col("priority"), F.col("lo"), F.col("hi"),
+                settled_value(F.col("unit"), F.col("value")),
+            )
         )
         .groupBy("event_key", "value")
         .agg(F.min(F.struct("priority", *ROW_ORDER)).alias("_p2"))
@@ -404,7 +410,7 @@ def match_values(values: DataFrame, rungs: DataFrame) -> DataFrame:
         by_array.join(wide, ["event_key", "value"], "left")
         .withColumn("_p", F.when(F.col("_hit").isNotNull(), F.col("_p")).otherwise(F.col("_p2")))
         .withColumns(winner)
-        .drop("_hit", "_p", "_p2", "unit", "ladder")
+        .drop("_hit", "_p", "_p2", "_settled", "unit", "ladder")
     )
 
 
@@ -421,7 +427,10 @@ def _wide_ladder_weights(source: DataFrame, errors: DataFrame, large: DataFrame)
     return (
         implied.join(large, "event_key")
         .filter(
-            rung_accepts(F.col("unit"), F.col("priority"), F.col("lo"), F.col("hi"), F.col("value"))
+            rung_accepts(
+                F.col("unit"), F.col("priority"), F.col("lo"), F.col("hi"),
+                settled_value(F.col("unit"), F.col("value")),
+            )
         )
         .groupBy("event_key", "value")
         .agg(F.min(F.struct("priority", *ROW_ORDER)).alias("_win"), F.first("n").alias("n"))
@@ -460,12 +469,14 @@ def predict_errors(rows: DataFrame, fit: DataFrame) -> DataFrame:
         F.transform("ladder", lambda r: F.struct(r["priority"], r["lo"], r["hi"])),
     )
     case = ["_source", "forecast", "unit", "_shape"]
-    cases = shaped.select(*case).distinct()
+    # the join below multiplies rows, so the cases keep full width whatever their own size
+    width = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    cases = shaped.select(*case).distinct().repartition(width, *case)
     position = F.array_position(
         F.transform(
             "_shape",
             lambda r: rung_accepts(
-                F.col("unit"), r["priority"], r["lo"], r["hi"], F.col("forecast") + F.col("error")
+                F.col("unit"), r["priority"], r["lo"], r["hi"], F.col("_settled")
             ),
         ),
         F.lit(True),
@@ -473,8 +484,8 @@ def predict_errors(rows: DataFrame, fit: DataFrame) -> DataFrame:
     # rung order inside a kind is token order, so equal shapes list their rungs alike
     hits = (
         cases.join(errors, "_source")
-        .withColumn("_pos", position.cast("int"))
-        .filter("_pos > 0")
+        .withColumn("_settled", settled_value(F.col("unit"), F.col("forecast") + F.col("error")))
+        .withColumn("_pos", position.cast("int"))  # 0 = no rung; such groups meet no rung below
         .groupBy(*case, "_pos")
         .agg(F.sum("n").alias("weight"))
     )
