@@ -1,9 +1,18 @@
 """Registered queries of the corpus operators and, where SQL can state them, their SQL twins."""
 
-from bucketwise.llm import exact_dedup, near_dedup
+from bucketwise.llm import (
+    chat, decontaminate, exact_dedup, license_scan, line_dedup, mixing, near_dedup, page_text, quality, secret_scan,
+)
 
 QUERIES = {
-    "op1_exact_dedup": exact_dedup.op1_exact_dedup,
-    "op4_near_dedup": near_dedup.op4_near_dedup,
+    f.__name__: f
+    for f in (
+        exact_dedup.op1_exact_dedup, secret_scan.op2_secret_scan, chat.op3_chat_format, near_dedup.op4_near_dedup,
+        page_text.op5_page_text, mixing.op6_mixing, line_dedup.op7_line_dedup, quality.op8_quality,
+        decontaminate.op9_decontaminate, license_scan.op10_license_scan,
+    )
+}
+SQL = {
+    "op1_exact_dedup": exact_dedup.SQL, "op3_chat_format": chat.SQL, "op7_line_dedup": line_dedup.SQL,
+    "op10_license_scan": license_scan.SQL,
 }
-SQL = {"op1_exact_dedup": exact_dedup.SQL}

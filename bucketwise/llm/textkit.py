@@ -40,16 +40,17 @@ def seeds(n: int, start: int) -> np.ndarray:
     return mix(np.arange(1, n + 1, dtype=_U) * _U(0x9E3779B97F4A7C15) + _U(start))
 
 
-def _byte_codes(fold: bool) -> np.ndarray:
-    """One random word per byte value, zero for white space; with ``fold`` A-Z count as a-z."""
+def byte_codes(fold: bool, ignored: bytes = b"") -> np.ndarray:
+    """One random word per byte value, zero for white space and bytes to ignore; with ``fold`` A-Z count as a-z."""
     codes = seeds(256, 77)
     codes[_SPACE] = 0
+    codes[list(ignored)] = 0
     if fold:
         codes[65:91] = codes[97:123]
     return codes
 
 
-_CODES = {fold: _byte_codes(fold) for fold in (False, True)}
+_FOLDED = byte_codes(fold=True)
 _POWERS: list[np.ndarray] = [np.ones(1, _U), np.ones(1, _U)]
 
 
@@ -106,14 +107,13 @@ def _segments(flat: np.ndarray, starts: np.ndarray) -> Iterator[tuple[int, int]]
         first = last
 
 
-def word_hashes(flat: np.ndarray, offsets: np.ndarray, fold: bool = True) -> tuple[np.ndarray, np.ndarray]:
+def word_hashes(flat: np.ndarray, offsets: np.ndarray, codes: np.ndarray = _FOLDED) -> tuple[np.ndarray, np.ndarray]:
     """(hash of each word, number of words before each row and in all).
 
     A word's hash is a polynomial in its bytes, taken at the word's own start, then mixed.
     """
     starts = word_starts(flat, offsets)
     out = np.empty(len(starts), _U)
-    codes = _CODES[fold]
     for first, last in _segments(flat, starts):
         a = starts[first]
         b = starts[last] if last < len(starts) else len(flat)
