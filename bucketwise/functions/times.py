@@ -9,8 +9,9 @@ from pyspark.sql import Column, functions as F
 from bucketwise import constants as C
 from bucketwise.functions.text import group
 
-# shift that separates the two readings of a repeated wall time in half-hour zones
-HALF_HOUR_ZONES = ("Australia/Lord_Howe", "Australia/LHI")
+# names in the local zone database that are no zones of the JVM
+NOT_ZONES = ("Factory", "ROC", "localtime")
+DAY_MINUTES = 24 * 60
 
 
 def iso_utc(ts: Column) -> Column:
@@ -22,67 +23,116 @@ def iso_utc(ts: Column) -> Column:
     )
 
 
+ZONED_STAMP = r"^(\d{4}-\d{2}-\d{2})[T ](\d{2}:\d{2})(:\d{2}(?:\.\d+)?)?\s*(Z|[+-]\d{2}(?::?\d{2}(?::\d{2})?)?)$"
+
+
+def _zoned_instant(value: Column) -> Column:
+    """Zoned ISO text, brought to seconds and an offset with a colon before it is parsed."""
+    part = lambda i: F.regexp_extract(value, ZONED_STAMP, i)
+    seconds = F.when(part(3) == "", ":00").otherwise(part(3))
+    offset = F.when(part(4) == "Z", "+00:00").otherwise(
+        F.regexp_replace(F.regexp_replace(part(4), r"^([+-]\d{2})$", "$1:00"), r"^([+-]\d{2})(\d{2})$", "$1:$2")
+    )
+    return F.try_to_timestamp(F.concat(part(1), F.lit("T"), part(2), seconds, offset))
+
+
 def parse_instant(text: Column) -> Column:
-    """Epoch (seconds, or milliseconds from 1e11 up), zoned ISO text or a bare date; else null."""
+    """Epoch (seconds, or milliseconds from 1e11 up), zoned ISO text or a bare date; else null.
+
+    Zoned text may leave out the seconds and may write its offset as ``Z``, ``+hh``, ``+hhmm`` or ``+hh:mm``.
+    """
     value = F.trim(text)
     number = value.try_cast("double")
     finite = number.isNotNull() & ~F.isnan(number) & (F.abs(number) < 1e15)
     seconds = F.when(F.abs(number) >= 1e11, number / 1000.0).otherwise(number)
-    zoned = value.rlike(r"^\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2}.*(Z|[+-]\d{2}:?\d{2}(:\d{2})?)$")
     dated = value.rlike(C.ISO_DATE)
     return (
         F.when(finite, F.timestamp_micros(F.round(seconds * 1e6).cast("bigint")))
-        .when(number.isNull() & zoned, F.try_to_timestamp(value))
+        .when(number.isNull() & value.rlike(ZONED_STAMP), _zoned_instant(value))
         .when(number.isNull() & dated, value.try_cast("date").cast("timestamp"))
     )
 
 
 def is_known_zone(zone: Column) -> Column:
     """Membership in the IANA zone list, a fixed set of about 600 names."""
-    return F.coalesce(zone.isin(sorted(available_timezones())), F.lit(False))
+    return F.coalesce(zone.isin(sorted(available_timezones() - set(NOT_ZONES))), F.lit(False))
 
 
-def fold_shift_minutes(zone: Column) -> Column:
-    return F.when(zone.isin(*HALF_HOUR_ZONES), F.lit(30)).otherwise(F.lit(60))
+def checked_zone(zone: Column) -> Column:
+    """The zone if it is known, else null. Compute it once per row; the functions below take its result."""
+    return F.when(is_known_zone(zone), zone)
 
 
 def minutes_later(ts: Column, minutes: Column) -> Column:
     return F.timestamp_micros(F.unix_micros(ts) + minutes.cast("bigint") * F.lit(60_000_000))
 
 
+def _readings(wall: Column, zone: Column) -> tuple[Column, Column, Column]:
+    """(first reading, second reading, has two) of a wall time in a checked zone.
+
+    The readings of a repeated wall time lie as far apart as the zone's offset falls between a day before and a day
+    after it: an hour mostly, but also half an hour or two.
+    """
+    first = F.to_utc_timestamp(wall, zone)
+    offset = lambda at: F.unix_micros(F.from_utc_timestamp(at, zone)) - F.unix_micros(at)
+    day = F.lit(DAY_MINUTES)
+    step = offset(minutes_later(first, -day)) - offset(minutes_later(first, day))
+    second = F.timestamp_micros(F.unix_micros(first) + step)
+    return first, second, (step > 0) & (F.from_utc_timestamp(second, zone) == wall)
+
+
 def local_to_utc(wall: Column, zone: Column, offset_seconds: Column, occurrence: Column) -> Column:
     """Wall time to UTC for the n-th (0-based) occurrence of that wall time in its series.
 
-    Null for a wall time inside a spring gap and for repeats the calendar does not have.
+    Null for a wall time inside a spring gap and for repeats the calendar does not have. ``zone`` is checked; where it
+    is null, the fixed offset holds.
     """
-    known = is_known_zone(zone)
-    first = F.when(known, F.to_utc_timestamp(wall, zone))
-    second = minutes_later(first, fold_shift_minutes(zone))
-    gap = F.from_utc_timestamp(first, zone) != wall
-    ambiguous = F.from_utc_timestamp(second, zone) == wall
+    first, second, twice = _readings(wall, zone)
     by_zone = (
-        F.when(gap, F.lit(None).cast("timestamp"))
+        F.when(F.from_utc_timestamp(first, zone) != wall, F.lit(None).cast("timestamp"))
         .when(occurrence == 0, first)
-        .when(ambiguous & (occurrence == 1), second)
+        .when(twice & (occurrence == 1), second)
     )
     by_offset = F.timestamp_micros(
         F.unix_micros(wall) - offset_seconds.cast("bigint") * F.lit(1_000_000)
     )
-    return F.when(known, by_zone).otherwise(by_offset)
+    return F.when(zone.isNotNull(), by_zone).otherwise(by_offset)
 
 
 def local_kind(wall: Column, zone: Column) -> Column:
-    known = is_known_zone(zone)
-    first = F.when(known, F.to_utc_timestamp(wall, zone))
-    second = minutes_later(first, fold_shift_minutes(zone))
+    first, _, twice = _readings(wall, zone)
     return (
-        F.when(~known, "fixed")
+        F.when(zone.isNull(), "fixed")
         .when(F.from_utc_timestamp(first, zone) != wall, "gap")
-        .when(F.from_utc_timestamp(second, zone) == wall, "ambiguous")
+        .when(twice, "ambiguous")
         .otherwise("unambiguous")
     )
 
 
+def occurrences(walls: Column) -> Column:
+    """Array of (wall, nth): for every text its earlier repeats in the array, counted to two; in order.
+
+    Two sorts and a zip, so a long series costs little more than its length.
+    """
+    placed = F.array_sort(F.transform(walls, lambda w, i: F.struct(w.alias("wall"), i.alias("at"))))
+    names = F.transform(placed, lambda x: x["wall"])
+    none = F.lit(None).cast("string")
+    n = F.size(walls)
+    # null walls drop out later, whatever their count
+    near = F.arrays_zip(
+        placed.alias("x"), F.slice(F.concat(F.array(none), names), F.lit(1), n).alias("one"),
+        F.slice(F.concat(F.array(none, none), names), F.lit(1), n).alias("two"),
+    )
+    counted = F.transform(
+        near,
+        lambda z: F.struct(
+            z["x"]["at"].alias("at"), z["x"]["wall"].alias("wall"),
+            F.when(z["x"]["wall"] == z["two"], 2).when(z["x"]["wall"] == z["one"], 1).otherwise(0).alias("nth"),
+        ),
+    )
+    return F.array_sort(counted)
+
+
 def decision_instant(event_date: Column, zone: Column, lead_hours: Column) -> Column:
     """Local midnight minus the lead on the wall clock, then UTC."""
     midnight = event_date.cast("timestamp")

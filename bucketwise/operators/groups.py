@@ -38,13 +38,6 @@ def _span(name: str, value: Column) -> list[Column]:
     return [F.min(value).alias(f"{name}_min"), F.max(value).alias(f"{name}_max")]
 
 
-def _span_of_list(name: str, values: Column) -> list[Column]:
-    return [
-        F.min(F.array_min(values)).alias(f"{name}_min"),
-        F.max(F.array_max(values)).alias(f"{name}_max"),
-    ]
-
-
 def _month_day(text: Column, pattern: str) -> Column:
     month, day = X.group(text, pattern, 1), X.group(text, pattern, 2)
     name = F.coalesce(month_name(month_number(month)), F.lower(month))
@@ -80,7 +73,9 @@ def group_facts(rows: DataFrame) -> DataFrame:
     """One row per event_key with everything the coherence checks need.
 
     Only constant-size, map-side combinable aggregates are used, so group size does not matter:
-    a group holds two different values exactly when its minimum and maximum differ.
+    a group holds two different values exactly when its minimum and maximum differ. Rows are first
+    counted per distinct tuple of texts, which hashes; the members of a group mostly share one, so
+    the minima and maxima of texts, which sort, see little more than a row per group.
     """
     date, unit_kind = F.col("event_date"), F.lower(F.trim(F.coalesce("bucket_kind", F.lit(""))))
     own_day = F.concat_ws(
@@ -104,32 +99,35 @@ def group_facts(rows: DataFrame) -> DataFrame:
         "slug_day": F.col("slug_day"),
         "question_day": F.col("question_day"),
     }
+    kind = F.col("kind")
     cells = child_evidence(rows).select(
         "event_key",
         *[c.alias(f"x_{n}") for n, c in single.items()],
-        "text_cities", "text_stations", "off_topic", "settlement_label",
-        own_day.alias("own_day"),
+        *[f(c).alias(f"{n}_{f.__name__[6:]}") for n, c in (("text_city", "text_cities"), ("text_station", "text_stations"))
+          for f in (F.array_min, F.array_max)],
+        "off_topic", "settlement_label", own_day.alias("own_day"),
         F.col("identity.ambiguous").alias("ambiguous"),
         _label().alias("label"),
         unit_kind.alias("kind"),
     )
-    aggs: list[Column] = [F.count(F.lit(1)).alias("n")]
-    for name in single:
-        aggs += _span(name, F.col(f"x_{name}"))
-    aggs += _span_of_list("text_city", F.col("text_cities"))
-    aggs += _span_of_list("text_station", F.col("text_stations"))
-    kind = F.col("kind")
-    aggs += [
-        F.min("own_day").alias("own_day"),
-        F.bool_or("off_topic").alias("off_topic"),
-        F.bool_or("ambiguous").alias("ambiguous"),
-        F.bool_or(F.col("label") == "").alias("blank_label"),
-        F.bool_or(kind.isin("", "unknown")).alias("blank_kind"),
-        F.bool_or(kind.isin(*TEMPERATURE_KINDS)).alias("some_temperature"),
-        F.bool_or(~kind.isin(*TEMPERATURE_KINDS)).alias("some_other"),
+    texts = [f"x_{n}" for n in single] + ["text_city_min", "text_city_max", "text_station_min", "text_station_max", "own_day"]
+    flags = {
+        "off_topic": F.col("off_topic"), "ambiguous": F.col("ambiguous"), "blank_label": F.col("label") == "",
+        "blank_kind": kind.isin("", "unknown"), "some_temperature": kind.isin(*TEMPERATURE_KINDS),
+        "some_other": ~kind.isin(*TEMPERATURE_KINDS),
+    }
+    tuples = cells.groupBy("event_key", *texts).agg(
+        F.count(F.lit(1)).alias("n"),
+        *[F.bool_or(c).alias(n) for n, c in flags.items()],
         F.count_if(is_yes(F.col("settlement_label"))).alias("n_yes"),
         F.count("settlement_label").alias("n_labelled"),
-    ]
+    )
+    aggs: list[Column] = [F.sum(c).alias(c) for c in ("n", "n_yes", "n_labelled")]
+    for name in single:
+        aggs += _span(name, F.col(f"x_{name}"))
+    for name in ("text_city", "text_station"):
+        aggs += [F.min(f"{name}_min").alias(f"{name}_min"), F.max(f"{name}_max").alias(f"{name}_max")]
+    aggs += [F.min("own_day").alias("own_day"), *[F.bool_or(n).alias(n) for n in flags]]
     # label repeats are counted on a narrow side, so the wide rows shuffle once
     labels = (
         rows.select("event_key", _label().alias("label"))
@@ -137,7 +135,7 @@ def group_facts(rows: DataFrame) -> DataFrame:
         .groupBy("event_key")
         .agg(F.count(F.lit(1)).alias("n_labels"))
     )
-    return cells.groupBy("event_key").agg(*aggs).join(labels, "event_key")
+    return tuples.groupBy("event_key").agg(*aggs).join(labels, "event_key")
 
 
 def _label() -> Column:

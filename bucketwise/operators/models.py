@@ -9,12 +9,11 @@ from bucketwise.functions.classify import is_yes, settlement_degree
 from bucketwise.functions.text import celsius_to_fahrenheit, group
 from bucketwise.functions.times import month_of
 from bucketwise.operators.keyed import first_per_key
-from bucketwise.sources.scratch import materialize
 
 # first-seen order of snapshot rows inside one date or event
 ROW_ORDER = ("token_id", "event_date", "condition_id")
-# events with more distinct rungs than this are matched by join instead of by array
-LADDER_ARRAY_LIMIT = 512
+# tasks that share the cases of stations without history, whose errors are all errors there are
+WORLD_SHARES = 16
 
 
 # ---- split -----------------------------------------------------------------------------
@@ -92,49 +91,49 @@ def fit_frequency(train: DataFrame) -> DataFrame:
         _known(F.col("city")).alias("city"),
         F.col("_label").alias("label"),
     )
-    # one pass over the wins: pre-aggregate at the finest grain, then roll up the small table
+    # pre-aggregate at the finest grain, then all four grains in one pass over the small table
     fine = wins.groupBy("station", "month", "city", "label").agg(F.count(F.lit(1)).alias("n"))
-    none_s, none_m = F.lit(None).cast("string"), F.lit(None).cast("int")
-
-    def level(name: str, rows: DataFrame, station: Column, month: Column, city: Column) -> DataFrame:
-        return (
-            rows.select(
-                F.lit(name).alias("level"), station.alias("station"), month.alias("month"),
-                city.alias("city"), "label", "n",
-            )
-            .groupBy("level", "station", "month", "city", "label")
-            .agg(F.sum("n").alias("n"))
-        )
-
-    station, month, city = F.col("station"), F.col("month"), F.col("city")
-    has_station = fine.filter(station.isNotNull())
-    return (
-        level("station_month", has_station.filter(month.isNotNull()), station, month, none_s)
-        .unionByName(level("station", has_station, station, none_m, none_s))
-        .unionByName(level("city", fine.filter(city.isNotNull()), none_s, none_m, city))
-        .unionByName(level("global", fine, none_s, none_m, none_s))
+    sets = [["station", "month", "label"], ["station", "label"], ["city", "label"], ["label"]]
+    rolled = fine.groupingSets([[F.col(c) for c in s] for s in sets], "station", "month", "city", "label").agg(
+        F.grouping_id().alias("_set"), F.sum("n").alias("n")
+    )
+    level = F.col("_set")
+    station, month, city = F.col("station").isNotNull(), F.col("month").isNotNull(), F.col("city").isNotNull()
+    # a bit of the set's number is 1 for a column that was rolled up
+    named = (
+        F.when((level == 0b0010) & station & month, "station_month").when((level == 0b0110) & station, "station")
+        .when((level == 0b1100) & city, "city").when(level == 0b1110, "global")
     )
+    return rolled.select(named.alias("level"), "station", "month", "city", "label", "n").where("level is not null")
 
 
-def frequency_level(events: DataFrame, fit: DataFrame) -> DataFrame:
-    """Adds ``level``: the first grain with any counts, station-month, station, city, global."""
-    grains = fit.select("level", "station", "month", "city").distinct()
+def _grain(level: Column, station: Column, month: Column, city: Column) -> Column:
+    empty = F.lit("")
+    return F.concat_ws(
+        "\u0001", level, F.coalesce(station, empty), F.coalesce(month.cast("string"), empty), F.coalesce(city, empty)
+    )
 
-    def at(name: str, *keys: str) -> DataFrame:
-        return grains.filter(F.col("level") == name).select(*keys, F.lit(True).alias(f"_{name}"))
 
-    return (
-        events.join(at("station_month", "station", "month"), ["station", "month"], "left")
-        .join(at("station", "station"), ["station"], "left")
-        .join(at("city", "city"), ["city"], "left")
-        .withColumn(
-            "level",
-            F.when(F.col("_station_month"), "station_month")
-            .when(F.col("_station"), "station")
-            .when(F.col("_city"), "city")
-            .otherwise("global"),
-        )
-        .drop("_station_month", "_station", "_city")
+def frequency_grain(events: DataFrame, fit: DataFrame) -> DataFrame:
+    """(event_key, _grain): the first grain with any counts, station-month, station, city, global.
+
+    An event's candidate grains meet the fitted ones in one join; the global grain needs none.
+    """
+    none = F.lit(None).cast("string")
+    station, month, city = F.col("station"), F.col("month"), F.col("city")
+    candidates = F.array(
+        F.struct(F.lit(0).alias("no"), F.when(station.isNotNull() & month.isNotNull(), _grain(F.lit("station_month"), station, month, none)).alias("grain")),
+        F.struct(F.lit(1).alias("no"), F.when(station.isNotNull(), _grain(F.lit("station"), station, none, none)).alias("grain")),
+        F.struct(F.lit(2).alias("no"), F.when(city.isNotNull(), _grain(F.lit("city"), none, none, city)).alias("grain")),
+    )
+    fitted = fit.select(_grain(F.col("level"), station, month, city).alias("grain")).distinct()
+    found = (
+        events.select("event_key", F.inline(candidates)).where("grain is not null").join(fitted, "grain")
+        .groupBy("event_key").agg(F.min_by("grain", "no").alias("_found"))
+    )
+    rest = _grain(F.lit("global"), none, none, none)
+    return events.select("event_key").join(found, "event_key", "left").select(
+        "event_key", F.coalesce("_found", rest).alias("_grain")
     )
 
 
@@ -179,26 +178,14 @@ def predict_frequency(rows: DataFrame, fit: DataFrame) -> DataFrame:
         month_of(F.col("event_date")).alias("month"),
         _known(F.col("city")).alias("city"),
     )
-    levels = frequency_level(heads, fit)
-    used = levels.select(
-        "event_key",
-        "level",
-        F.when(F.col("level").isin("station_month", "station"), F.col("station")).alias("station"),
-        F.when(F.col("level") == "station_month", F.col("month")).alias("month"),
-        F.when(F.col("level") == "city", F.col("city")).alias("city"),
-    )
     # many events share a grain: attach one grain key, then one equi-join on (grain, label)
-    grain = F.concat_ws(
-        "\u0001",
-        "level",
-        F.coalesce("station", F.lit("")),
-        F.coalesce(F.col("month").cast("string"), F.lit("")),
-        F.coalesce("city", F.lit("")),
-    )
-    counts = fit.select(grain.alias("_grain"), "label", "n")
+    used = frequency_grain(heads, fit)
+    counts = fit.select(
+        _grain(F.col("level"), F.col("station"), F.col("month"), F.col("city")).alias("_grain"), "label", "n"
+    )
     labelled = rows.select(
         "event_key", *ROW_ORDER, F.coalesce("bucket_label", F.lit("")).alias("label")
-    ).join(used.select("event_key", grain.alias("_grain")), "event_key")
+    ).join(used, "event_key")
     weighted = labelled.join(counts, ["_grain", "label"], "left").withColumn(
         # an unnamed bucket has no history of its own
         "weight", F.when(F.col("label") != "", F.coalesce(F.col("n"), F.lit(0))).otherwise(0).cast("double")
@@ -209,22 +196,21 @@ def predict_frequency(rows: DataFrame, fit: DataFrame) -> DataFrame:
 def last_per_token(rows: DataFrame, source: DataFrame) -> DataFrame:
     """One prediction per (event, token): a repeated token keeps its last row.
 
-    An unnamed bucket is called ``bucket-i`` by its place in token order. Accepted events name all
-    their buckets, so the ranking is planned only when the source holds an unnamed one.
+    An unnamed bucket is called ``bucket-i`` by its place in token order; only the events that hold
+    one are ranked, by narrow rows.
     """
-    named = rows
-    if not source.filter("bucket_label IS NULL OR bucket_label = ''").isEmpty():
-        unnamed = rows.filter("label = ''").select("event_key").distinct()
-        place = Window.partitionBy("event_key").orderBy(*ROW_ORDER)
-        places = (
-            rows.join(unnamed, "event_key", "left_semi")
-            .select("event_key", *ROW_ORDER, "label", (F.row_number().over(place) - 1).alias("_i"))
-            .filter("label = ''")
-            .select("event_key", *ROW_ORDER, F.concat(F.lit("bucket-"), F.col("_i")).alias("_name"))
-        )
-        named = rows.join(places, ["event_key", *ROW_ORDER], "left").withColumn(
-            "label", F.coalesce("_name", "label")
-        )
+    blank = source.filter("bucket_label IS NULL OR bucket_label = ''").select("event_key").distinct()
+    place = Window.partitionBy("event_key").orderBy(*ROW_ORDER)
+    label = F.coalesce("bucket_label", F.lit(""))
+    places = (
+        source.select("event_key", *ROW_ORDER, label.alias("label")).join(blank, "event_key", "left_semi")
+        .select("event_key", *ROW_ORDER, "label", (F.row_number().over(place) - 1).alias("_i"))
+        .filter("label = ''")
+        .select("event_key", *ROW_ORDER, F.concat(F.lit("bucket-"), F.col("_i")).alias("_name"))
+    )
+    named = rows.join(places, ["event_key", *ROW_ORDER], "left").withColumn(
+        "label", F.coalesce("_name", "label")
+    )
     last = [F.col(c).desc() for c in ROW_ORDER]
     return first_per_key(named, ["event_key", "token_id"], last).select(
         "event_key", "token_id", "label", "probability"
@@ -341,101 +327,33 @@ def rung_accepts(
     )
 
 
-def _ladders(rungs: DataFrame) -> tuple[DataFrame, DataFrame | None]:
-    """Sorted rung arrays for events up to the size limit, and the rungs of larger events.
-
-    The rungs are written once with their event's size, so the size check is a small scan and the
-    second form is planned only when some event needs it.
-    """
-    sizes = rungs.groupBy("event_key").agg(F.count(F.lit(1)).alias("_rungs"))
-    sized = materialize(rungs.join(sizes, "event_key"), "ladder")
-    small = (
-        sized.filter(F.col("_rungs") <= LADDER_ARRAY_LIMIT)
-        .groupBy("event_key")
-        .agg(
-            F.first("unit").alias("unit"),
-            F.array_sort(
-                F.collect_list(F.struct("priority", *ROW_ORDER, "lo", "hi"))
-            ).alias("ladder"),
-        )
+def _ladders(rungs: DataFrame) -> DataFrame:
+    """(event_key, unit, ladder): an event's distinct rungs, sorted by priority and token."""
+    return rungs.groupBy("event_key").agg(
+        F.first("unit").alias("unit"),
+        F.array_sort(F.collect_list(F.struct("priority", *ROW_ORDER, "lo", "hi"))).alias("ladder"),
     )
-    large = sized.filter(F.col("_rungs") > LADDER_ARRAY_LIMIT).drop("_rungs")
-    return small, None if large.isEmpty() else large
 
 
 def match_values(values: DataFrame, rungs: DataFrame) -> DataFrame:
     """Adds the winning ``token_id`` to (event_key, value, ...) rows; null when none fits.
 
-    Winner: exact before range before below before above, first token inside a kind. Ladders are
-    short arrays; the rare event beyond the limit goes through an aggregated join, so the result
-    is exact for any ladder.
+    Winner: exact before range before below before above, first token inside a kind. A ladder holds
+    an event's distinct rungs, so its length is that of one market's listing.
     """
-    small, large = _ladders(rungs)
-    by_array = (
-        values.join(small, "event_key", "left")
-        .withColumn("_settled", settled_value(F.col("unit"), F.col("value")))
-        .withColumn(
-            "_hit",
-            F.get(
-                F.filter(
-                    F.col("ladder"),
-                    lambda r: rung_accepts(
-                        F.col("unit"), r["priority"], r["lo"], r["hi"], F.col("_settled")
-                    ),
-                ),
-                F.lit(0),
-            ),
-        )
-        .withColumn("_p", F.struct("_hit.priority", *[f"_hit.{c}" for c in ROW_ORDER]))
-    )
-    winner = {c: F.col(f"_p.{c}") for c in ROW_ORDER}
-    if large is None:
-        return by_array.withColumns(winner).drop("_hit", "_p", "_settled", "unit", "ladder")
-    # distinct (event, value) pairs of oversized events only; the minimum is combined map-side
-    wide = (
-        values.select("event_key", "value")
-        .join(large.select("event_key").distinct(), "event_key", "left_semi")
-        .distinct()
-        .join(large, "event_key")
-        .filter(
-            rung_accepts(
-                F.col("unit"), F.col("priority"), F.col("lo"), F.col("hi"),
-                settled_value(F.col("unit"), F.col("value")),
-            )
-        )
-        .groupBy("event_key", "value")
-        .agg(F.min(F.struct("priority", *ROW_ORDER)).alias("_p2"))
-    )
-    return (
-        by_array.join(wide, ["event_key", "value"], "left")
-        .withColumn("_p", F.when(F.col("_hit").isNotNull(), F.col("_p")).otherwise(F.col("_p2")))
-        .withColumns(winner)
-        .drop("_hit", "_p", "_p2", "_settled", "unit", "ladder")
-    )
-
-
-def _wide_ladder_weights(source: DataFrame, errors: DataFrame, large: DataFrame) -> DataFrame:
-    """Weights for events beyond the array limit: one implied value per distinct error, winners
-    combined map-side."""
-    implied = (
-        source.join(large.select("event_key").distinct(), "event_key", "left_semi")
-        .join(errors, "_source")
-        .select("event_key", (F.col("forecast") + F.col("error")).alias("value"), "n")
-        .groupBy("event_key", "value")
-        .agg(F.sum("n").alias("n"))
+    hit = F.get(
+        F.filter(
+            F.col("ladder"),
+            lambda r: rung_accepts(F.col("unit"), r["priority"], r["lo"], r["hi"], F.col("_settled")),
+        ),
+        F.lit(0),
     )
     return (
-        implied.join(large, "event_key")
-        .filter(
-            rung_accepts(
-                F.col("unit"), F.col("priority"), F.col("lo"), F.col("hi"),
-                settled_value(F.col("unit"), F.col("value")),
-            )
-        )
-        .groupBy("event_key", "value")
-        .agg(F.min(F.struct("priority", *ROW_ORDER)).alias("_win"), F.first("n").alias("n"))
-        .groupBy("event_key", *[f"_win.{c}" for c in ROW_ORDER])
-        .agg(F.sum("n").alias("weight"))
+        values.join(_ladders(rungs), "event_key", "left")
+        .withColumn("_settled", settled_value(F.col("unit"), F.col("value")))
+        .withColumn("_hit", hit)
+        .withColumns({c: F.col(f"_hit.{c}") for c in ROW_ORDER})
+        .drop("_hit", "_settled", "unit", "ladder")
     )
 
 
@@ -460,18 +378,23 @@ def predict_errors(rows: DataFrame, fit: DataFrame) -> DataFrame:
         F.when(F.col("_own"), F.col("station")).otherwise(world).alias("_source"),
         F.col("forecast_daily_max_c").alias("forecast"),
     ).filter("forecast IS NOT NULL")
-    errors = fit.select(F.coalesce("station", world).alias("_source"), "error", "n")
-    small, large = _ladders(ladder_rungs(rows))
+    is_world = F.col("_source") == world
+    # the global histogram meets the cases of all stations without history: each share of them has a copy
+    shares = F.when(is_world, F.sequence(F.lit(0), F.lit(WORLD_SHARES - 1))).otherwise(F.array(F.lit(0)))
+    errors = fit.select(F.coalesce("station", world).alias("_source"), "error", "n").withColumn(
+        "_share", F.explode(shares)
+    )
 
-    # short ladders: group equal cases by their rungs without token names, answer each once
-    shaped = source.join(small, "event_key").withColumn(
+    # equal cases are grouped by their rungs without token names and answered once
+    shaped = source.join(_ladders(ladder_rungs(rows)), "event_key").withColumn(
         "_shape",
         F.transform("ladder", lambda r: F.struct(r["priority"], r["lo"], r["hi"])),
     )
     case = ["_source", "forecast", "unit", "_shape"]
     # the join below multiplies rows, so the cases keep full width whatever their own size
     width = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    cases = shaped.select(*case).distinct().repartition(width, *case)
+    share = F.when(is_world, F.pmod(F.xxhash64(*case), F.lit(WORLD_SHARES))).otherwise(0).cast("int")
+    cases = shaped.select(*case).distinct().repartition(width, *case).withColumn("_share", share)
     position = F.array_position(
         F.transform(
             "_shape",
@@ -483,21 +406,18 @@ def predict_errors(rows: DataFrame, fit: DataFrame) -> DataFrame:
     )
     # rung order inside a kind is token order, so equal shapes list their rungs alike
     hits = (
-        cases.join(errors, "_source")
+        cases.join(errors, ["_source", "_share"])
         .withColumn("_settled", settled_value(F.col("unit"), F.col("forecast") + F.col("error")))
         .withColumn("_pos", position.cast("int"))  # 0 = no rung; such groups meet no rung below
         .groupBy(*case, "_pos")
         .agg(F.sum("n").alias("weight"))
     )
-    from_small = (
+    weights = (
         shaped.select("event_key", *case, F.posexplode("ladder").alias("_i", "_rung"))
         .withColumn("_pos", F.col("_i") + 1)
         .join(hits, [*case, "_pos"])
         .select("event_key", *[f"_rung.{c}" for c in ROW_ORDER], "weight")
     )
-    weights = from_small
-    if large is not None:
-        weights = from_small.unionByName(_wide_ladder_weights(source, errors, large))
     labelled = rows.select(
         "event_key", *ROW_ORDER, F.coalesce("bucket_label", F.lit("")).alias("label")
     )

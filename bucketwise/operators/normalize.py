@@ -293,14 +293,13 @@ TRADE_ID_FIELDS = (
 )
 
 
-def normalize_trades(raw: DataFrame, order: list[str]) -> tuple[DataFrame, DataFrame]:
-    """(trades, rejects) from raw trade rows whose fields are text; first row per trade id.
+def judge_trades(raw: DataFrame, order: list[str]) -> DataFrame:
+    """Trade columns, ``reject_reason`` and the order columns of every wanted row, whose fields are text.
 
-    Zero prices and sizes are kept; only 0x conditions are asked for.
+    Zero prices and sizes are kept; only 0x conditions are asked for. Nothing is deduplicated, so rows judged in
+    several batches can be put together before the first row per trade id is taken.
     """
     identity = trade_id({f: F.col(f) for f in TRADE_ID_FIELDS}, [F.col("id")])
-    wanted = raw.filter(F.col("market").startswith("0x")).withColumn("trade_id", identity)
-    unique = first_per_key(wanted, ["trade_id"], order)
     token = X.blank_to_null(F.col("asset"))
     price, size = finite_number(F.col("price")), finite_number(F.col("size"))
     missing = F.array_compact(
@@ -317,18 +316,27 @@ def normalize_trades(raw: DataFrame, order: list[str]) -> tuple[DataFrame, DataF
             F.lit("skipped trade: missing or invalid required field(s) "), F.array_join(missing, ", ")
         ),
     )
-    judged = unique.withColumn("reject_reason", reason)
-    trades = judged.filter("reject_reason IS NULL").select(
-        "trade_id", token.alias("token_id"),
+    return raw.filter(F.col("market").startswith("0x")).select(
+        identity.alias("trade_id"), token.alias("token_id"),
         F.coalesce(F.when(F.col("side") != "", F.col("side")), F.lit("UNKNOWN")).alias("side"),
         price.alias("price"), size.alias("size"),
         T.parse_instant(F.col("timestamp")).alias("traded_at"),
         X.blank_to_null(F.col("transactionHash")).alias("transaction_hash"),
         _filled(F.col("conditionId"), F.col("market")).alias("condition_id"),
-        X.blank_to_null(F.col("outcome")).alias("outcome_label"),
+        X.blank_to_null(F.col("outcome")).alias("outcome_label"), reason.alias("reject_reason"), *order,
     )
-    rejects = judged.filter("reject_reason IS NOT NULL").select("trade_id", "reject_reason")
-    return trades, rejects
+
+
+def split_judged(judged: DataFrame, order: list[str]) -> tuple[DataFrame, DataFrame]:
+    """(trades, rejects): the first judged row per trade id decides."""
+    unique = first_per_key(judged, ["trade_id"], order)
+    trades = unique.filter("reject_reason IS NULL").drop("reject_reason", *order)
+    return trades, unique.filter("reject_reason IS NOT NULL").select("trade_id", "reject_reason")
+
+
+def normalize_trades(raw: DataFrame, order: list[str]) -> tuple[DataFrame, DataFrame]:
+    """(trades, rejects) from raw trade rows whose fields are text; first row per trade id."""
+    return split_judged(judge_trades(raw, order), order)
 
 
 BOOK_SCHEMA = (
@@ -403,13 +411,13 @@ def weather_documents(payloads: DataFrame, payload: str = "payload") -> DataFram
         F.try_variant_get(F.try_element_at("hourly", F.lit("time")), "$", "array<string>"),
         F.array().cast("array<string>"),
     )
-    docs = docs.withColumn("_walls", walls)
+    docs = docs.withColumn("_walls", T.occurrences(walls)).withColumn("known_zone", T.checked_zone(F.col("doc_zone")))
 
-    def instant(w: Column, i: Column) -> Column:
-        before = F.size(F.filter(F.slice(F.col("_walls"), 1, i), lambda x: x == w))
-        zoned = w.rlike(r"(Z|UTC)$") | F.substring(w, 11, 100).contains("+")
+    def instant(x: Column) -> Column:
+        w = x["wall"]
+        zoned = w.rlike(r"(Z|UTC)$") | w.rlike(r"^.{10}.*[+-]\d{2}(:?\d{2})?(:\d{2})?$")
         return F.when(zoned, T.parse_instant(F.regexp_replace(w, "UTC$", "Z"))).otherwise(
-            T.local_to_utc(T.local_stamp(w), F.col("doc_zone"), F.col("doc_offset"), before)
+            T.local_to_utc(T.local_stamp(w), F.col("known_zone"), F.col("doc_offset"), x["nth"])
         )
 
     return docs.withColumn("valid_times", F.transform("_walls", instant)).drop("_walls")
@@ -452,7 +460,7 @@ def explode_daily(docs: DataFrame, keep: list[str], archive: Column) -> DataFram
     dates = F.try_variant_get(F.try_element_at("daily", F.lit("time")), "$", "array<string>")
     tops = F.try_variant_get(F.try_element_at("daily", F.lit("temperature_2m_max")), "$", "array<string>")
     rows = docs.filter(tops.isNotNull()).select(
-        *keep, archive.alias("_archive"), "doc_zone", "doc_offset", "daily_units", tops.alias("_tops"),
+        *keep, archive.alias("_archive"), "doc_zone", "known_zone", "doc_offset", "daily_units", tops.alias("_tops"),
         F.posexplode(dates).alias("_i", "_day"),
     )
     day = F.substring("_day", 1, 10)
@@ -462,7 +470,7 @@ def explode_daily(docs: DataFrame, keep: list[str], archive: Column) -> DataFram
         F.unix_micros(midnight) - F.col("doc_offset").cast("bigint") * F.lit(1_000_000)
     )
     valid = F.coalesce(
-        T.local_to_utc(midnight, F.col("doc_zone"), F.col("doc_offset"), F.lit(0)), fixed
+        T.local_to_utc(midnight, F.col("known_zone"), F.col("doc_offset"), F.lit(0)), fixed
     )
     unit = F.try_element_at("daily_units", F.lit("temperature_2m_max"))
     value = F.get("_tops", F.col("_i")).try_cast("double")

@@ -25,13 +25,13 @@ def localize_series(
     The window holds the repeats of one wall time inside one series document.
     """
     w = Window.partitionBy(*series, wall).orderBy(*position)
-    ranked = rows.withColumn("occurrence", F.row_number().over(w) - 1)
+    ranked = rows.withColumn("occurrence", F.row_number().over(w) - 1).withColumn("_zone", T.checked_zone(F.col(zone)))
     return ranked.withColumns(
         {
-            "local_kind": T.local_kind(F.col(wall), F.col(zone)),
-            "valid_time": T.local_to_utc(F.col(wall), F.col(zone), offset_seconds, F.col("occurrence")),
+            "local_kind": T.local_kind(F.col(wall), F.col("_zone")),
+            "valid_time": T.local_to_utc(F.col(wall), F.col("_zone"), offset_seconds, F.col("occurrence")),
         }
-    )
+    ).drop("_zone")
 
 
 def daily_maximum(hours: DataFrame, keys: Sequence[str], valid_time: str, value: str) -> DataFrame:
@@ -63,8 +63,28 @@ def hourly_states(hours: DataFrame, keys: Sequence[str], valid_time: str,
     )
 
 
+def run_features(
+    hours: DataFrame, *, station: str, run: str, date: str, valid_time: str, temperature: str, features: Sequence[str]
+) -> DataFrame:
+    """One row per station, run and local date: maximum, its hours, means and hourly states of that run alone.
+
+    Runs are never mixed, so a decision that joins on the run it chose sees nothing of later ones, and the hourly
+    array holds one run's local day.
+    """
+    keys = [station, run, date]
+    tops = daily_maximum(hours, keys, valid_time, temperature)
+    states = hourly_states(hours, keys, valid_time, [temperature, *features])
+    return hourly_means(hours, keys, features).join(states, keys).join(tops, keys, "left").select(
+        *keys, F.col("value_c").alias("forecast_daily_max_c"), "valid_times", *features, "forecast_hourly",
+        F.lit(True).alias("has_weather"), F.when(F.col("value_c").isNull(), "NO_USABLE_EVENT_COVERAGE").alias("reject"),
+    )
+
+
 def attach_weather(markets: DataFrame, weather: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Left join of one weather row per key; a rejected key rejects all of its markets."""
+    """Left join of one weather row per key; a rejected key rejects all of its markets.
+
+    ``keys`` name the run too, so that features come from the run the decision chose.
+    """
     return markets.join(weather, list(keys), "left").withColumn(
         "weather_reject",
         F.coalesce(F.col("reject"), F.when(F.col("has_weather").isNull(), "no weather for station and date")),

@@ -71,15 +71,9 @@ class Dialect:
 SPARK, DUCK = Dialect("spark"), Dialect("duck")
 
 
-LARGE_TABLES = ("lineitem", "orders", "events")
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """Parquet scan with naive stamps read as UTC instants."""
     df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    if name in LARGE_TABLES and len(df.inputFiles()) < spark.sparkContext.defaultParallelism:
-        # a single-file table is one scan task; spread its rows before the expression work
-        df = df.repartition(spark.sparkContext.defaultParallelism)
     stamps = [f.name for f in df.schema.fields if f.dataType.typeName() == "timestamp_ntz"]
     return df.withColumns({c: F.col(c).cast("timestamp") for c in stamps}) if stamps else df
 
@@ -337,7 +331,7 @@ def prices(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = table(spark, sf_dir, "events").filter("event_type = 'purchase'")
+    e = table(spark, sf_dir, "events").filter("event_type IN ('purchase', 'signup')")
     return e.select(
         "event_id", F.concat(F.lit("u"), "user_id").alias("token_id"), F.col("ts").alias("decision_ts"),
     )
@@ -347,7 +341,7 @@ def price_sql() -> str:
     return """b2p AS (SELECT 'u' || user_id AS token_id, ts AS observed_at, value / 500.0 AS price,
     event_id AS price_seq FROM events WHERE event_type IN ('view', 'click', 'error')),
 b2d AS (SELECT event_id, 'u' || user_id AS token_id, ts AS decision_ts FROM events
-    WHERE event_type = 'purchase')"""
+    WHERE event_type IN ('purchase', 'signup'))"""
 
 
 # ---- price-history payloads (B3) ----------------------------------------------------------------

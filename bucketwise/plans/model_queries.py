@@ -135,7 +135,7 @@ def freq_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def freq_predict(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = split_rows(spark, sf_dir)
-    fit = models.fit_frequency(_train(rows))
+    fit = materialize(models.fit_frequency(_train(rows)), "fit")
     return shown(rounded(models.predict_frequency(_target(rows), fit)))
 
 
@@ -210,7 +210,7 @@ def error_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def error_predict(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = split_rows(spark, sf_dir)
-    fit = models.fit_errors(_train(rows))
+    fit = materialize(models.fit_errors(_train(rows)), "fit")
     return shown(rounded(models.predict_errors(_target(rows), fit)))
 
 
@@ -351,7 +351,7 @@ def bucket_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
 def test_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Test rows with the forecast-error model's probability (null where the lookup misses)."""
     rows = split_rows(spark, sf_dir)
-    fit = models.fit_errors(_train(rows))
+    fit = materialize(models.fit_errors(_train(rows)), "fit")
     test = rows.filter("split = 'test'")
     return D.with_model_probability(test, models.predict_errors(test, fit))
 

@@ -13,8 +13,8 @@ from bucketwise.plans.bindings import (
 from bucketwise.plans.registry import query, rounded
 from bucketwise.plans.text_queries import raw_markets
 from bucketwise.sources import rawstore, snapshots as files
-from bucketwise.sources.scratch import materialize, new_path
-from bucketwise.streaming.ingest import ingest_stream, read_latest
+from bucketwise.sources.scratch import new_path
+from bucketwise.streaming.ingest import ingest_stream, read_judged
 
 SEQ_SQL = ", ".join(SEQ_COLUMNS)
 B1, B5 = snapshot_sql(), market_sql()
@@ -222,15 +222,17 @@ def discovery_union(spark: SparkSession, sf_dir: str) -> DataFrame:
     FROM t4 WHERE reject_reason IS NULL""",
 )
 def stream_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
-    schema = spark.read.parquet(f"{sf_dir}/lineitem.parquet").schema
-    source = spark.readStream.schema(schema).parquet(f"{sf_dir}/lineitem*.parquet")
+    """The trades arrive in six files, one per trigger; the result is that of one batch."""
     home = new_path(spark, "trades")
+    lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+    lines.repartition(6, F.col("l_orderkey"), F.col("l_linenumber")).write.parquet(f"{home}/input")
+    source = spark.readStream.schema(lines.schema).option("maxFilesPerTrigger", 1).parquet(f"{home}/input")
 
-    def normalize(batch: DataFrame) -> DataFrame:
-        return N.normalize_trades(raw_trades(batch), ["seq"])[0]
+    def judge(batch: DataFrame) -> DataFrame:
+        return N.judge_trades(raw_trades(batch), ["seq"])
 
-    ingest_stream(source, f"{home}/table", f"{home}/checkpoint", normalize)
-    current = read_latest(spark, f"{home}/table", ["trade_id"], ["traded_at"])
+    ingest_stream(source, f"{home}/table", f"{home}/checkpoint", judge)
+    current, _ = N.split_judged(read_judged(spark, f"{home}/table"), ["seq"])
     return rounded(current.select("trade_id", "token_id", "price", "size", "condition_id"))
 
 
@@ -329,17 +331,34 @@ def quarantine_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("reason", "condition_id", "details")
 
 
+@query(
+    "quarantine_log",
+    """SELECT CASE WHEN o_orderkey % 3 = 0 THEN 'unspecified' ELSE 'unknown station ' || o_orderkey % 50 END AS reason,
+    'c' || o_orderkey AS condition_id, o_orderpriority AS details FROM orders""",
+)
+def quarantine_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = table(spark, sf_dir, "orders")
+    reason = F.when(F.col("o_orderkey") % 3 != 0, F.concat(F.lit("unknown station "), F.col("o_orderkey") % 50))
+    path = new_path(spark, "quarantine-log")
+    rows = o.select(reason.alias("reason"), F.concat(F.lit("c"), "o_orderkey").alias("condition_id"), F.col("o_orderpriority").alias("details"))
+    for odd in (0, 1):  # two appends
+        files.write_quarantine(rows.where(F.substring("condition_id", -1, 1).cast("int") % 2 == odd), path)
+    return files.read_quarantine_log(spark, path)
+
+
 @query("raw_store")
 def raw_store(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Addresses of the price documents, recorded twice; the second pass adds nothing."""
+    """The price documents by content address, stored twice; the second pass adds nothing."""
     docs = price_payloads(spark, sf_dir).select(
         F.lit("prices/history").alias("source"),
         F.concat(F.lit("https://api.example.com/h?token="), "token_id", F.lit("&doc="), "payload_id").alias("url"),
         "payload", F.lit(1).alias("version"),
     )
-    addressed = materialize(rawstore.address_payloads(docs, source="source", url="url", payload="payload"), "raw")
-    again = rawstore.record_payloads(addressed, addressed.withColumn("version", F.lit(2)), ["version"])
-    return again.select("request_url", "content_sha256", "raw_path", "version")
+    addressed = rawstore.address_payloads(docs, source="source", url="url", payload="payload")
+    store = new_path(spark, "raw")
+    rawstore.store_payloads(spark, addressed, store)
+    held = rawstore.store_payloads(spark, addressed, store)
+    return held.select("request_url", "content_sha256", "raw_path", F.length("payload").alias("n_chars"))
 
 
 @query(

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from bucketwise.functions.identity import canonical_url
@@ -36,6 +37,34 @@ def new_payloads(delta: DataFrame, stored: DataFrame) -> DataFrame:
     return delta.join(stored.select("raw_path"), "raw_path", "left_anti")
 
 
+def _stored(spark: SparkSession, store: str) -> DataFrame | None:
+    try:
+        return spark.read.schema(STORED).parquet(store)
+    except AnalysisException as missing:
+        if missing.getCondition() == "PATH_NOT_FOUND":
+            return None
+        raise
+
+
+#: columns of the store; ``shard`` is the first two digits of the address
+STORED = "raw_path string, request_url string, content_sha256 string, payload string, shard string"
+
+
+def store_payloads(spark: SparkSession, addressed: DataFrame, store: str) -> DataFrame:
+    """Append the documents whose address the store does not hold, once each; returns what the store holds then.
+
+    Documents lie in 256 folders by the first digits of their address, many to a file, so a store of billions of
+    documents stays readable. Writing the same documents again adds nothing.
+    """
+    rows = addressed.select(
+        "raw_path", "request_url", "content_sha256", "payload", F.regexp_extract("raw_path", r"([0-9a-f]{2})/[^/]*$", 1).alias("shard")
+    ).dropDuplicates(["raw_path"])
+    held = _stored(spark, store)
+    fresh = rows if held is None else new_payloads(rows, held)
+    fresh.write.mode("append").partitionBy("shard").parquet(store)
+    return spark.read.schema(STORED).parquet(store)
+
+
 def read_raw(spark: SparkSession, path: str) -> DataFrame:
     """(raw_path, payload, v): one JSON document per file."""
     files = spark.read.option("recursiveFileLookup", "true").text(path, wholetext=True)

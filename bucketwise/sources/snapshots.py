@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from bucketwise.functions.identity import dedup_key
@@ -107,9 +108,20 @@ def read_snapshots(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
+def _existing(spark: SparkSession, path: str, read) -> DataFrame | None:
+    """What ``read`` finds at ``path``; None where nothing was ever written."""
+    try:
+        return read(path)
+    except AnalysisException as missing:
+        if missing.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            return None
+        raise
+
+
 def read_quarantine(spark: SparkSession, path: str) -> DataFrame:
-    """Rejects from JSON array files; elements that are not objects are skipped."""
-    return quarantine_from_documents(spark.read.text(path, wholetext=True))
+    """Rejects from JSON array files; elements that are not objects are skipped, a missing path holds none."""
+    docs = _existing(spark, path, lambda p: spark.read.text(p, wholetext=True))
+    return quarantine_from_documents(spark.createDataFrame([], "value string") if docs is None else docs)
 
 
 def quarantine_from_documents(docs: DataFrame) -> DataFrame:
@@ -126,5 +138,27 @@ def quarantine_from_documents(docs: DataFrame) -> DataFrame:
     return fields.withColumn("reason", F.coalesce("reason", F.lit("unspecified")))
 
 
+#: folders of the quarantine log; a reason is free text, so it is not a folder of its own
+QUARANTINE_PARTS = 16
+
+
+def _reason_part(reason: Column) -> Column:
+    return (F.crc32(reason.cast("binary")) % QUARANTINE_PARTS).cast("int")
+
+
 def write_quarantine(df: DataFrame, path: str) -> None:
-    df.write.partitionBy("reason").mode("append").parquet(path)
+    """Append rejects to the log, spread by a bounded code of their reason."""
+    reason = F.coalesce(blank_to_null(F.col("reason")), F.lit("unspecified"))
+    df.withColumn("reason", reason).withColumn("reason_part", _reason_part(F.col("reason"))).write.partitionBy(
+        "reason_part"
+    ).mode("append").parquet(path)
+
+
+def read_quarantine_log(spark: SparkSession, path: str, reason: str | None = None) -> DataFrame:
+    """Rejects of the log, of one reason (which reads one folder) or all; a missing log holds none."""
+    rows = _existing(spark, path, lambda p: spark.read.parquet(p))
+    if rows is None:
+        return spark.createDataFrame([], S.QUARANTINE)
+    if reason is not None:
+        rows = rows.where(F.col("reason_part") == _reason_part(F.lit(reason))).where(F.col("reason") == reason)
+    return rows.drop("reason_part")

@@ -10,16 +10,17 @@ from bucketwise.operators.keyed import first_per_key
 
 
 def ingest_stream(
-    source: DataFrame, table: str, checkpoint: str, normalize: Callable[[DataFrame], DataFrame]
+    source: DataFrame, table: str, checkpoint: str, judge: Callable[[DataFrame], DataFrame]
 ) -> None:
-    """Drain the source once: each micro-batch is normalised and written under its own batch id.
+    """Drain the source once: each micro-batch is judged row by row and written under its own batch id.
 
-    Rewriting a batch replaces the same folder, so a replay after a failure changes nothing. Only the
-    new rows are written; readers resolve the latest row per key.
+    ``judge`` keeps every row with its key, its order columns and its reject reason, and compares no two rows, so
+    the stored rows do not depend on how the input was cut into batches. Rewriting a batch replaces the same folder,
+    so a replay after a failure changes nothing.
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        normalize(batch).write.mode("overwrite").parquet(f"{table}/batch_id={batch_id}")
+        judge(batch).write.mode("overwrite").parquet(f"{table}/batch_id={batch_id}")
 
     query = (
         source.writeStream.foreachBatch(write)
@@ -30,6 +31,11 @@ def ingest_stream(
     query.awaitTermination()
 
 
+def read_judged(spark: SparkSession, table: str) -> DataFrame:
+    """All judged rows of an ingested table; the batch rule is applied to them as to one batch."""
+    return spark.read.parquet(table).drop("batch_id")
+
+
 def read_latest(
     spark: SparkSession, table: str, keys: Sequence[str], version: Sequence[str]
 ) -> DataFrame:
@@ -40,7 +46,9 @@ def read_latest(
     return first_per_key(rows, null_safe, order).drop("batch_id")
 
 
-def compact(spark: SparkSession, table: str, target: str, keys: Sequence[str],
-            version: Sequence[str]) -> None:
-    """Write the current rows as one new table version for readers to switch to."""
-    read_latest(spark, table, keys, version).write.mode("errorifexists").parquet(target)
+def compact(spark: SparkSession, table: str, target: str, keys: Sequence, order: Sequence) -> None:
+    """Write the first row per key, in the batch rule's order, as one new table for readers to switch to.
+
+    Reject reasons stay, so that rows of later batches still meet the row that decided.
+    """
+    first_per_key(read_judged(spark, table), keys, order).write.mode("errorifexists").parquet(target)

@@ -111,3 +111,57 @@ def test_forecast_run(spark):
     run = T.forecast_run(F.col("d").cast("timestamp"), F.col("e").cast("timestamp"))
     got = [r.r for r in df.select(T.iso_utc(run).alias("r")).collect()]
     assert got == ["2024-03-01T00:00:00+00:00", None]
+
+
+def test_parse_instant_forms(spark):
+    texts = ["2024-10-27T02:30Z", "2024-10-27T02:30+05:00", "2024-10-27 02:30:00+00", "2024-10-27T02:30:00.5-0330",
+             "2024-10-27T02:30:15+05:30:10", "2024-10-27T02:30", "2024-10-27T25:30Z"]
+    assert many(spark, texts, lambda c: T.iso_utc(T.parse_instant(c))) == [
+        "2024-10-27T02:30:00+00:00", "2024-10-26T21:30:00+00:00", "2024-10-27T02:30:00+00:00",
+        "2024-10-27T06:00:00.500000+00:00", "2024-10-26T21:00:05+00:00", None, None,
+    ]
+
+
+def test_folds_of_any_length(spark):
+    cases = [
+        ("2024-10-27 02:30:00", "Europe/Paris", "2024-10-27T00:30:00+00:00", "2024-10-27T01:30:00+00:00", "ambiguous"),
+        ("2024-10-27 01:30:00", "Antarctica/Troll", "2024-10-26T23:30:00+00:00", "2024-10-27T01:30:00+00:00", "ambiguous"),
+        ("2007-12-09 02:45:00", "America/Caracas", "2007-12-09T06:45:00+00:00", "2007-12-09T07:15:00+00:00", "ambiguous"),
+        ("2024-04-07 01:45:00", "Australia/Lord_Howe", "2024-04-06T14:45:00+00:00", "2024-04-06T15:15:00+00:00", "ambiguous"),
+        ("2024-03-31 02:30:00", "Europe/Paris", None, None, "gap"),
+        ("2024-07-01 12:00:00", "Europe/Paris", "2024-07-01T10:00:00+00:00", None, "unambiguous"),
+        ("2024-07-01 12:00:00", "Factory", "2024-07-01T11:00:00+00:00", "2024-07-01T11:00:00+00:00", "fixed"),
+    ]
+    rows = spark.createDataFrame([(i, c[0], c[1]) for i, c in enumerate(cases)], "i int, wall string, zone string")
+    rows = rows.select("i", F.col("wall").cast("timestamp").alias("wall"), T.checked_zone(F.col("zone")).alias("zone"))
+    at = lambda n: T.iso_utc(T.local_to_utc(F.col("wall"), F.col("zone"), F.lit(3600), F.lit(n)))
+    got = rows.select(at(0), at(1), at(2), T.local_kind(F.col("wall"), F.col("zone"))).orderBy("i").collect()
+    assert [(r[0], r[1], r[3]) for r in got] == [c[2:] for c in cases]
+    assert [r[2] for r in got] == [None] * 6 + ["2024-07-01T11:00:00+00:00"]
+
+
+def test_every_known_zone_is_one_of_the_jvm(spark):
+    from zoneinfo import available_timezones
+
+    zones = spark.createDataFrame([(z,) for z in sorted(available_timezones())], "zone string")
+    known = zones.select(T.checked_zone(F.col("zone")).alias("zone")).where("zone is not null")
+    shifted = known.select(F.from_utc_timestamp(F.timestamp_seconds(F.lit(0)), F.col("zone")).alias("t")).collect()
+    assert len(shifted) >= 590
+
+
+def test_year_of_hours_in_one_document(spark):
+    import json
+    from datetime import datetime, timedelta
+
+    from bucketwise.operators import normalize
+
+    hours = [(datetime(2024, 1, 1) + timedelta(hours=i)).strftime("%Y-%m-%dT%H:%M") for i in range(8760)]
+    hours[100] = hours[100] + "-05:00"
+    hours += [hours[7], hours[7]]
+    doc = json.dumps({"timezone": "Europe/Paris", "utc_offset_seconds": 3600, "hourly": {"time": hours}})
+    frame = spark.createDataFrame([(doc,)], "payload string")
+    times = normalize.weather_documents(frame).select(F.transform("valid_times", T.iso_utc).alias("t")).first()["t"]
+    assert times[0] == "2023-12-31T23:00:00+00:00" and times[100] == "2024-01-05T09:00:00+00:00"
+    assert times[-2:] == [None, None] and len(times) == 8762
+    fold = hours.index("2024-03-31T02:00")
+    assert times[fold] is None

@@ -147,13 +147,22 @@ def test_whole_degree_fahrenheit_settlement(spark):
     assert got == ["t0", "t0", "t1", "t1", "t2", "t3"]
 
 
-def test_large_ladder_path_equals_array_path(spark, monkeypatch):
+def test_error_model_shares(spark):
     rows = model_rows(spark)
     fit = spark.createDataFrame([(None, -1.0, 3), (None, 0.5, 1), ("LFPG", 1.0, 2), ("LFPG", -2.0, 2)], "station string, error double, n bigint")
-    small = {tuple(r) for r in models.predict_errors(rows, fit).collect()}
-    monkeypatch.setattr(models, "LADDER_ARRAY_LIMIT", 1)
-    assert {tuple(r) for r in models.predict_errors(rows, fit).collect()} == small
-    assert {(t, p) for _k, t, _l, p in small} == {("t0", 0.5), ("t1", 0.0), ("t2", 0.5), ("t3", 0.0)}
+    got = {tuple(r) for r in models.predict_errors(rows, fit).collect()}
+    assert {(t, p) for _k, t, _l, p in got} == {("t0", 0.5), ("t1", 0.0), ("t2", 0.5), ("t3", 0.0)}
+
+
+def test_wide_ladder_matches(spark):
+    n = 2000
+    rows = ladder(spark, [("exact", float(d), float(d)) for d in range(n)]).withColumn("event_key", F.lit("k")).withColumns(
+        {"temperature_celsius_min": F.col("temperature_native_min"), "temperature_celsius_max": F.col("temperature_native_max"),
+         "temperature_unit": F.lit("C")}
+    )
+    values = spark.createDataFrame([("k", v) for v in (0.0, 0.4, 3.7, 1234.0, 1999.49, 2100.0)], "event_key string, value double")
+    got = [r.token_id for r in models.match_values(values, models.ladder_rungs(rows)).orderBy("value").collect()]
+    assert got == ["t0", "t0", "t4", "t1234", "t1999", None]
 
 
 def test_no_history_is_uniform(spark):
