@@ -26,6 +26,8 @@ from bucketwise.sources.scratch import materialize
 WEIGHTS = (5, 2, 1)
 MOST = 3
 BLOCK = 64
+#: smallest part of the last gap that a document may have that helps to close it
+GAP_SHARE = 64
 
 
 def word_count(text: Column) -> Column:
@@ -52,9 +54,12 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MO
         (F.sum("source_size").over(Window.partitionBy()) - F.coalesce(F.sum("limit").over(before), F.lit(0.0)))
         / F.sum("weight").over(behind),
     )
-    level = F.min(F.when(F.col("level") <= F.col("ratio"), F.struct("ratio", "level"))).over(Window.partitionBy())
+    # of equal ratios the first one, which has the highest level
+    first = F.min(F.when(F.col("level") <= F.col("ratio"), F.struct("ratio", (-F.col("level")).alias("minus")))).over(
+        Window.partitionBy()
+    )
     return leveled.select(
-        *sizes.columns, F.least("limit", F.coalesce(level["level"], F.lit(0.0)) * F.col("weight")).alias("target")
+        *sizes.columns, F.least("limit", F.coalesce(-first["minus"], F.lit(0.0)) * F.col("weight")).alias("target")
     )
 
 
@@ -126,10 +131,43 @@ def _decided(units: DataFrame, seed: int) -> DataFrame:
         )
         level, most = level + 1, -(-most // BLOCK)
     drawn = F.expr(f"{_draw(seed - 1, 'id', 'nth')} * size < mass").cast("int")
-    out = units.select("source", "id", "nth", F.col("size").cast("double").alias("size"), drawn.alias("extra"))
-    for done in levels:
-        out = out.unionByName(done)
-    return out.groupBy("source", "id", F.col("size").cast("long").alias("size")).agg(F.sum("extra").alias("extra"))
+    last = materialize(
+        units.select("source", "id", "nth", F.col("size").cast("double").alias("size"), "mass", drawn.alias("extra")), "drawn"
+    )
+    done = last.select("source", "id", "nth", "size", "extra")
+    for part in levels:
+        done = done.unionByName(part)
+    settled = done.drop("nth").unionByName(
+        _settled(done, last.select(F.col("source").alias("s"), (F.col("mass") - F.col("extra") * F.col("size")).alias("gap")), seed)
+    )
+    return settled.groupBy("source", "id", F.col("size").cast("long").alias("size")).agg(F.sum("extra").alias("extra"))
+
+
+def _settled(done: DataFrame, gaps: DataFrame, seed: int) -> DataFrame:
+    """(source, id, size, extra): a few smaller documents moved up or down to make good the last draw's gap.
+
+    Per source some ``GAP_SHARE * 4`` documents between a ``GAP_SHARE``-th and a half of the gap are picked by hash, and
+    the largest that still fit are moved, so what is left is a small part of the last document.
+    """
+    wide = F.abs(F.col("gap"))
+    near = done.join(gaps, F.col("source").eqNullSafe(F.col("s"))).where(
+        (F.col("extra") == F.when(F.col("gap") > 0, 0).otherwise(1)) & F.col("size").between(wide / GAP_SHARE, wide / 2)
+    )
+    sums = near.groupBy("source").agg(F.sum("size").alias("all")).select(F.col("source").alias("s2"), "all")
+    picked = (
+        near.join(sums, F.col("source").eqNullSafe(F.col("s2")))
+        .where(F.expr(f"{_draw(seed - 2, 'id', 'nth')} * all < 4 * abs(gap)"))
+        .groupBy("source", "gap").agg(F.sort_array(F.collect_list(F.struct("size", "id", "nth")), asc=False).alias("members"))
+    )
+    id_type = done.schema["id"].dataType.simpleString()
+    kind = f"array<struct<size:double,id:{id_type},nth:bigint>>"
+    fold = F.expr(
+        f"aggregate(members, named_struct('left', abs(gap), 'moved', cast(array() as {kind})), (acc, x) -> "
+        "IF(x.size <= acc.left, named_struct('left', acc.left - x.size, 'moved', array_append(acc.moved, x)), acc)).moved"
+    )
+    return picked.select("source", F.explode(fold).alias("m"), F.signum("gap").cast("int").alias("extra")).select(
+        "source", "m.id", "m.size", "extra"
+    )
 
 
 def _sized(docs: DataFrame, id_col: str, text_col: str, source_col: str) -> DataFrame:
