@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, functions as F
 
 from bucketwise.functions import text as X
+from bucketwise.operators.asof import lookahead_reason
 
 
 def date_route(event_date: Column, start: str, end: str) -> Column:
@@ -40,3 +41,15 @@ def market_reason(known_station: Column) -> Column:
         .when(~F.array_contains(labels, "yes"), "YES token missing")
         .when(bucket.isNull(), "unknown/ambiguous temperature bucket")
     )
+
+
+def outcome_reason() -> Column:
+    """The checks after the market's own, per outcome row: weather, identity, lookahead; the first that fails.
+
+    Expects weather_reject, identity and the snapshot's stamps. Put behind :func:`market_reason` by coalesce.
+    """
+    return (
+        F.when(F.col("weather_reject").isNotNull(), F.col("weather_reject"))
+        .when(F.col("identity.ambiguous"), F.col("identity.quarantine_reason"))
+        .when(lookahead_reason().isNotNull(), F.concat(F.lit("lookahead rejected: "), lookahead_reason()))
+    )

@@ -381,3 +381,25 @@ def manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept, copies = split_first_seen(snapshots(spark, sf_dir), KEYS, ["seq"])
     out = audit.manifest(kept, copies, {"start_date": "1995-01-01"})
     return out.withColumn("usable_event_dates", F.array_join("usable_event_dates", ","))
+
+
+@query(
+    "outcome_router",
+    f"""WITH {B1}, w AS (SELECT token_id, raw_weight, CASE WHEN forecast_daily_max_c IS NULL THEN 'NO_USABLE_EVENT_COVERAGE'
+      WHEN starts_with(event_key, 'ambiguous') THEN 'event_identity_ambiguous'
+      WHEN weather_issued_at > decision_ts THEN 'lookahead rejected: weather issued_at is after decision_ts'
+      WHEN weather_available_at > decision_ts THEN 'lookahead rejected: weather available_at is after decision_ts; run not yet public'
+      WHEN weather_available_at < weather_issued_at THEN 'lookahead rejected: weather available_at precedes issued_at'
+      WHEN market_price_observed_at > decision_ts THEN 'lookahead rejected: price observed_at is after decision_ts'
+      WHEN observation_as_of > decision_ts THEN 'lookahead rejected: observation_as_of is after decision_ts'
+      WHEN observation_max_so_far_c IS NOT NULL AND observation_as_of IS NULL
+        THEN 'lookahead rejected: observation_max_so_far_c requires observation_as_of <= decision_ts' END AS reason FROM b1k)
+    SELECT * FROM w""",
+)
+def outcome_router(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from bucketwise.operators.router import outcome_reason
+
+    rows = with_identity(snapshots(spark, sf_dir)).withColumn(
+        "weather_reject", F.when(F.col("forecast_daily_max_c").isNull(), "NO_USABLE_EVENT_COVERAGE")
+    )
+    return rows.select("token_id", "raw_weight", outcome_reason().alias("reason"))

@@ -300,6 +300,8 @@ rt AS (SELECT mk.o_orderkey, coalesce(mk.condition_id, 'unknown:' || mk.id) AS c
 @query("reject_router", f"WITH {ROUTE_SQL} SELECT o_orderkey, condition_id, reason, CASE WHEN reason IS NOT NULL THEN question END AS details FROM rt")
 def reject_router(spark: SparkSession, sf_dir: str) -> DataFrame:
     from bucketwise.operators.router import market_reason
+    from bucketwise.plans.bindings import STATION_CODE
+    from bucketwise.sources.stations import resolve_stations
 
     raw = raw_markets(spark, sf_dir)
     market = N.normalize_markets(raw)
@@ -308,9 +310,11 @@ def reject_router(spark: SparkSession, sf_dir: str) -> DataFrame:
         raw.select(F.col("id").alias("market_id"), "o_orderkey", "resolved", "outcomes", "outcomePrices", "groupItemTitle"),
         "market_id",
     )
-    known = ~F.coalesce(F.substring("station_icao", 4, 1).isin("D", "K"), F.lit(False))
-    reason = market_reason(known_station=known)
-    routed = facts.withColumn("reason", reason)
+    # the dimension lacks some nations' codes, so that their markets meet no station
+    code = F.expr(STATION_CODE.format(n="n_nationkey"))
+    dim = table(spark, sf_dir, "nation").select(code.alias("station_id")).where("substr(station_id, 4, 1) NOT IN ('D', 'K')")
+    placed = resolve_stations(facts, dim, "station_icao")
+    routed = placed.withColumn("reason", market_reason(known_station=F.col("station_id").isNotNull()))
     return routed.select(
         "o_orderkey", "condition_id", "reason", F.when(F.col("reason").isNotNull(), F.col("question")).alias("details")
     )
