@@ -7,11 +7,12 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from bucketwise import constants as C
 from bucketwise.functions import classify as M
 from bucketwise.functions.times import month_of
-from bucketwise.operators import breakdowns as D, metrics, models
+from bucketwise.operators import breakdowns as D, groups, metrics, models
 from bucketwise.plans.bindings import (
     snapshot_sql, snapshots, snapshots_scored, snapshots_unique, table,
 )
 from bucketwise.plans.registry import means, query, rounded
+from bucketwise.plans.snapshot_queries import ACCEPT_SQL, GROUP_COLUMNS
 from bucketwise.sources.scratch import materialize
 
 B1 = snapshot_sql()
@@ -56,7 +57,11 @@ def split_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     Written once: fits, predictions and tables all read these rows.
     """
-    rows = materialize(snapshots_unique(spark, sf_dir).select(*MODEL_COLUMNS), "snapshots")
+    return _split(snapshots_unique(spark, sf_dir))
+
+
+def _split(source: DataFrame) -> DataFrame:
+    rows = materialize(source.select(*MODEL_COLUMNS), "snapshots")
     dates = materialize(models.split_dates(rows), "split-dates")
     tagged = models.with_split(rows, dates)
     return tagged.withColumn("event_key", F.concat_ws("\u0001", "split", "event_key"))
@@ -350,7 +355,10 @@ def bucket_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def test_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Test rows with the forecast-error model's probability (null where the lookup misses)."""
-    rows = split_rows(spark, sf_dir)
+    return _candidates(split_rows(spark, sf_dir))
+
+
+def _candidates(rows: DataFrame) -> DataFrame:
     fit = materialize(models.fit_errors(_train(rows)), "fit")
     test = rows.filter("split = 'test'")
     return D.with_model_probability(test, models.predict_errors(test, fit))
@@ -390,6 +398,19 @@ def edge_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return means(D.fixed_bucket_stats(rows, M.edge_bucket(F.col("edge")), C.EDGE_BUCKETS))
 
 
+ACCEPTED_EDGE_SQL = f"""{ACCEPT_SQL}, acc AS (SELECT * EXCLUDE (copy, code, detail) FROM routed WHERE code IS NULL),
+{EDGE_SQL.removeprefix(B1 + ", ").replace("b1u", "acc")}"""
+
+
+@query("accepted_edges", f"WITH {ACCEPTED_EDGE_SQL} {fixed_sql(C.EDGE_BUCKETS, 'tv', EDGE_CASE, 'mp')}")
+def accepted_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """End to end: identity, dedupe and group acceptance first; only accepted rows are split, fitted and scored."""
+    columns = dict.fromkeys([*GROUP_COLUMNS, *(c for c in MODEL_COLUMNS if c != "event_key")])
+    accepted, _ = groups.accept_event_groups(snapshots(spark, sf_dir).select(*columns), ["seq"])
+    rows = D.valid_candidates(_candidates(_split(accepted)))
+    return means(D.fixed_bucket_stats(rows, M.edge_bucket(F.col("edge")), C.EDGE_BUCKETS))
+
+
 @query("price_buckets", f"WITH {MV_SQL} {fixed_sql(C.PRICE_BUCKETS, 'mv', PRICE_CASE, 'model_p')}")
 def price_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = D.valid_candidates(snapshots_scored(spark, sf_dir))
