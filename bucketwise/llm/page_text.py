@@ -49,10 +49,13 @@ _INLINE = frozenset(
 )
 _TEXT_BLOCKS = frozenset("p h1 h2 h3 h4 h5 h6 li blockquote pre dd dt td th figcaption caption".split())
 _WORDS = frozenset(
-    "ad ads advert advertisement adverts banner breadcrumb breadcrumbs comment comments consent cookie cookies disqus "
-    "footer gdpr masthead menu modal nav navbar navigation newsletter notice pagination pager popup promo promoted related "
-    "share sharing sidebar signup skip social sponsor sponsored subscribe subscription toolbar widget".split()
+    "ad ads adsbygoogle advert advertisement advertising adverts alert aside banner breadcrumb breadcrumbs comment "
+    "commentform commentlist comments consent cookie cookies disqus footer gdpr masthead menu modal nav navbar navigation "
+    "newsletter notice notices pagination pager popup promo promoted related respond share sharing sidebar sidenav signup "
+    "skip social sponsor sponsored subnav subscribe subscription toolbar topbar topnav widget".split()
 )
+#: a header of these is the article's own
+_OWN_HEADER = frozenset("article content entry page post story".split())
 _ROLES = frozenset("navigation banner contentinfo complementary search dialog alertdialog alert form menu menubar".split())
 _NEVER = frozenset("html body main article".split())
 #: an element of the first kind closes an open one of the second
@@ -124,6 +127,8 @@ def _is_furniture(name: str, rest: str, in_home: bool) -> bool:
     words = re.split(r"[^a-z0-9]+", f"{own.get('class', '')} {own.get('id', '')}".lower())
     if not _WORDS.isdisjoint(words) or own.get("role", "").lower() in _ROLES:
         return True
+    if "header" in words and not in_home and _OWN_HEADER.isdisjoint(words):
+        return True
     return "hidden" in own or own.get("aria-hidden") == "true" or "display:none" in own.get("style", "").replace(" ", "").lower()
 
 

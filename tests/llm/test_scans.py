@@ -126,6 +126,8 @@ def test_pages():
         f"<script>var a='<p>x</p>';</script><style>p{{}}</style>{article}<aside>side</aside><form>in <input></form>",
         f"<div id=cookie-notice>c</div><div class=content>{article}</div><div role=contentinfo>i</div><!-- <p>no</p> -->",
         f"<ARTICLE>{article}<footer>by</footer></ARTICLE><p hidden>h</p></div></p>",
+        f"<div id=header>Site</div><div class='entry-header'></div><div>{article}<ol class=commentlist><li>nice</ol></div><div class='site-notice'>n</div>",
+        f"<header><a href=/>Home</a></header><article><header>{article}</header><section id=comments><p>{'so true ' * 90}</p></section></article>",
     ):
         assert page_text.main_text(page) == want, page
     assert page_text.main_text("") == page_text.main_text("<nav>x</nav><script>y") == ""
