@@ -84,14 +84,13 @@ _COPYRIGHT = (
     r"(?:^|\n)[ \t#*/;]*(?:(?:copyright[ \t]*(?:\(c\)|©|[0-9]{4}|[<\[{])|(?:\(c\)|©)[ \t]*[0-9]{4})[^\n]*"
     r"|all rights reserved[. \t]*(?:\n|$))"
 )
-_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: everything but ASCII letters and digits, letters of other scripts and line breaks
 _OTHER = r"[^a-z0-9\n\x{C0}-\x{1FFF}\x{2C00}-\x{10FFFF}]+"
 
 
 def canonical_lines(text: Column) -> Column:
     """Canonical text with its line breaks, each line still untrimmed."""
-    out = F.regexp_replace(F.translate(F.coalesce(text, F.lit("")), _UPPER, _LOWER), _COPYRIGHT, "\n")
+    out = F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), _COPYRIGHT, "\n")
     for one, other in SPELLINGS:
         out = F.replace(out, F.lit(one), F.lit(other))
     return F.regexp_replace(out, _OTHER, " ")
@@ -132,8 +131,10 @@ def scan(
     )
     of_text = digests.select(F.col("digest").alias("canonical_sha256"), F.col("license").alias("text_license"))
     lines = only(docs, id=id_col, text=text_col).select("id", canonical_lines(F.col("text")).alias("lines"))
-    exploded = lines.select(
-        "id", F.sha2(whole(F.col("lines")), 256).alias("canonical_sha256"), F.posexplode(F.split("lines", "\n")).alias("at", "line")
+    # the digest of the whole text is taken before the lines are exploded, once per document
+    digested = lines.select("id", F.sha2(whole(F.col("lines")), 256).alias("canonical_sha256"), "lines")
+    exploded = digested.select(
+        "id", "canonical_sha256", F.posexplode(F.split("lines", "\n")).alias("at", "line")
     ).withColumn("line", F.sha2(F.trim("line"), 256))
     summed = exploded.join(of_line, "line", "left").groupBy("id", "canonical_sha256").agg(
         F.sum((F.col("at") == 0).cast("long")).alias("copies"), F.count("hit").alias("hits"),
@@ -156,7 +157,7 @@ def scan(
 
 def _sql() -> str:
     quoted = lambda t: t.replace("'", "''")
-    spell = "regexp_replace(translate(coalesce(text, ''), '{u}', '{l}'), '{c}', chr(10), 'g')".format(u=_UPPER, l=_LOWER, c=_COPYRIGHT)
+    spell = f"regexp_replace(lower(coalesce(text, '')), '{_COPYRIGHT}', chr(10), 'g')"
     for one, other in SPELLINGS:
         spell = f"replace({spell}, '{one}', '{other}')"
     canonical = f"regexp_replace({spell}, '{_OTHER}', ' ', 'g')"
