@@ -1,8 +1,8 @@
 """Line dedup by content-defined chunks of lines.
 
 A rolling hash over the digests of two consecutive lines starts a new chunk behind them where it is divisible by
-``DIVISOR``, so a passage is cut alike wherever it stands, whatever was inserted before it. Of chunks of at least
-``LEAST`` lines that occur more than once in all documents, the first occurrence (least id, then place) stays and the
+``DIVISOR``, so a passage is cut alike wherever it stands, whatever was inserted before it. Of chunks of two or more
+lines that occur more than once in all documents, the first occurrence (least id, then place) stays and the
 others are removed, after their bytes were compared with the first's. A chunk whose digest agrees but whose bytes differ
 stays.
 
@@ -22,7 +22,6 @@ from bucketwise.llm.textkit import only, table
 from bucketwise.sources.scratch import materialize
 
 DIVISOR = 3
-LEAST = 2
 #: occurrences that share one copy of the first one's text
 SHARE = 512
 _LAST = (1 << 63) - 1
@@ -33,12 +32,12 @@ def line_digest(line: Column) -> Column:
     return F.conv(F.substring(F.md5(line.cast("binary")), 1, 7), 16, 10).cast("long")
 
 
-def marked_chunks(rows: DataFrame) -> DataFrame:
-    """Adds ``chunks``: the text's chunks, each line with a mark in front, ``#`` for the first of a chunk, else ``=``.
+def marked_chunks(text: Column) -> Column:
+    """The text's chunks, each line with a mark in front, ``#`` for the first of a chunk, else ``=``.
 
     Every line meets its two predecessors in a zip, so the work is linear in the text however long it is.
     """
-    lines = F.split("text", "\n", -1)
+    lines = F.split(text, "\n", -1)
     digests = F.concat(F.array(F.lit(0).cast("long"), F.lit(0).cast("long")), F.transform(lines, line_digest))
     n = F.size(lines)
     zipped = F.arrays_zip(
@@ -47,7 +46,7 @@ def marked_chunks(rows: DataFrame) -> DataFrame:
     )
     starts = lambda e: (e["at"] == 0) | ((e["before"] * 31 + e["earlier"] * 17) % DIVISOR == 0)
     marked = F.transform(zipped, lambda e: F.concat(F.when(starts(e), F.lit("#")).otherwise(F.lit("=")), e["line"]))
-    return rows.withColumn("chunks", F.split(F.array_join(marked, "\n"), "\n(?=#)", -1))
+    return F.split(F.array_join(marked, "\n"), "\n(?=#)", -1)
 
 
 def unmarked(text: Column) -> Column:
@@ -59,17 +58,20 @@ def _lines_in(chunk: Column) -> Column:
 
 
 def _eligible(chunk: Column) -> Column:
-    return (_lines_in(chunk) >= LEAST) & chunk.rlike(r"(?:^|\n)[#=][^\n]*[^\s]")
+    """Two lines or more, not all blank; most chunks show it by their first letter."""
+    return F.contains(chunk, F.lit("\n")) & (chunk.rlike(r"[^\s#=]") | chunk.rlike(r"(?:^|\n)[#=][^\n]*[^\s]"))
 
 
 def _repeated(base: DataFrame, places: DataFrame) -> DataFrame:
     """(doc, at) of chunks that occur earlier, byte for byte."""
-    groups = (
+    # a table of its own, so that the join has two plain exchanges and Spark can split a hot chunk
+    groups = materialize(
         places.where("eligible").groupBy("key", "size")
         .agg(F.count("*").alias("n"), F.min(F.struct("rank", "doc", "at")).alias("first")).where("n > 1")
-        .select("key", "size", "first", F.ceil(F.col("n") / SHARE).cast("int").alias("shares"))
+        .select("key", "size", "first", F.ceil(F.col("n") / SHARE).cast("int").alias("shares")),
+        "groups",
     )
-    exploded = base.select("doc", F.posexplode("chunks").alias("at", "chunk")).where(_eligible(F.col("chunk")))
+    exploded = base.select("doc", F.posexplode(marked_chunks(F.col("text"))).alias("at", "chunk")).where(_eligible(F.col("chunk")))
     found = materialize(
         exploded.withColumn("key", F.xxhash64("chunk")).withColumn("size", F.octet_length("chunk")).join(groups, ["key", "size"])
         .select(
@@ -92,9 +94,9 @@ def _repeated(base: DataFrame, places: DataFrame) -> DataFrame:
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, text without repeated chunks, n_lines and n_removed (lines) of every document."""
     rows = only(docs, id=id_col, text=text_col).select("id", F.coalesce("text", F.lit("")).alias("text"))
-    base = marked_chunks(rows.withColumn("doc", F.xxhash64("id", "text")))
+    base = rows.withColumn("doc", F.xxhash64("id", "text"))
     places = materialize(
-        base.select("doc", F.coalesce("id", F.lit(_LAST)).alias("rank"), F.posexplode("chunks").alias("at", "chunk")).select(
+        base.select("doc", F.coalesce("id", F.lit(_LAST)).alias("rank"), F.posexplode(marked_chunks(F.col("text"))).alias("at", "chunk")).select(
             "doc", "rank", "at", F.xxhash64("chunk").alias("key"), F.octet_length("chunk").alias("size"),
             _eligible(F.col("chunk")).alias("eligible"),
         ).distinct(),
@@ -105,7 +107,8 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         places.select("doc", "at").join(gone.select("doc").distinct(), "doc", "left_semi").join(gone, ["doc", "at"], "left")
         .groupBy("doc").agg(F.sort_array(F.collect_list(F.struct("at", F.coalesce("gone", F.lit(False)).alias("gone")))).alias("flags"))
     )
-    zipped = F.arrays_zip(F.col("chunks").alias("chunk"), F.col("flags").alias("flag"))
+    # only documents with flags are cut again
+    zipped = F.arrays_zip(marked_chunks(F.col("text")).alias("chunk"), F.col("flags").alias("flag"))
     kept = F.transform(F.filter(zipped, lambda z: ~z["flag"]["gone"]), lambda z: z["chunk"])
     removed = F.aggregate(
         F.filter(zipped, lambda z: z["flag"]["gone"]), F.lit(0).cast("long"), lambda n, z: n + _lines_in(z["chunk"])
@@ -113,7 +116,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     clean = F.when(F.col("flags").isNull(), F.col("text")).otherwise(unmarked(F.array_join(kept, "\n")))
     return base.join(flags, "doc", "left").select(
         "id", clean.alias("text"), _lines_in(F.col("text")).cast("long").alias("n_lines"),
-        F.coalesce(removed, F.lit(0)).cast("long").alias("n_removed"),
+        F.when(F.col("flags").isNull(), 0).otherwise(removed).cast("long").alias("n_removed"),
     )
 
 
