@@ -7,7 +7,7 @@ neighbours is one that Spark can split.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Observation, functions as F
 
 from bucketwise.sources.scratch import materialize
 
@@ -25,9 +25,12 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     return moved.unionByName(least.select(F.col("m").alias("u"), "v")).distinct()
 
 
-def _digest(edges: DataFrame) -> tuple[int, int]:
-    row = edges.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)")).alias("s")).first()
-    return row["n"], row["s"]
+def _written(edges: DataFrame) -> tuple[DataFrame, tuple[int, int]]:
+    """The edges as a table, and their number and a sum of hashes, taken while they are written."""
+    seen = Observation()
+    total = F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))
+    rows = materialize(edges.observe(seen, F.count("*").alias("n"), F.coalesce(total, F.lit(0)).alias("s")), "edges")
+    return rows, (seen.get["n"], seen.get["s"])
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -35,13 +38,12 @@ def components(edges: DataFrame) -> DataFrame:
 
     ``edges``: longs ``u`` and ``v``; loops, repeats and either direction are fine.
     """
-    now = materialize(
-        edges.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).where("u < v").distinct(), "edges"
+    now, seen = _written(
+        edges.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).where("u < v").distinct()
     )
-    seen = _digest(now)
     while seen[0]:
-        now = materialize(_star(_star(now, large=True), large=False), "edges")
-        then, seen = seen, _digest(now)
+        then = seen
+        now, seen = _written(_star(_star(now, large=True), large=False))
         if then == seen:
             break
     return now.select(F.col("v").alias("node"), F.col("u").alias("component")).unionByName(

@@ -9,7 +9,7 @@ Documents with the same shingle set (equal digests of the sorted set) are one no
 sketch. Links are then confirmed on full shingle sets, in three passes that never emit all pairs of a bucket:
 
 1. every node with one pivot, the one it shares most buckets with (the pivot of a bucket is a pseudo-random member);
-2. every node with the other pivots of its buckets, where the two are not yet connected;
+2. every node with the other pivots of its buckets, where pass 1 has not connected the two;
 3. what is left: members of one bucket that are still in different components.
 
 Pass 3 makes the search complete: a pair that shares a bucket is verified, already connected, or ruled out by proof, so
@@ -134,6 +134,16 @@ def _merge(labels: DataFrame, links: DataFrame) -> DataFrame:
     )
 
 
+def _hung(nodes: DataFrame, links: DataFrame) -> DataFrame:
+    """Labels after following each node's link to its pivot twice; nodes of one label are connected."""
+    up = links.select(F.col("node").alias("n1"), F.col("pivot").alias("p1"))
+    further = links.select(F.col("node").alias("n2"), F.col("pivot").alias("p2"))
+    return (
+        nodes.join(up, F.col("node") == F.col("n1"), "left").join(further, F.col("p1") == F.col("n2"), "left")
+        .select("node", F.coalesce("p2", "p1", "node").alias("label"))
+    )
+
+
 def _side(placed: DataFrame, prefix: str) -> DataFrame:
     return placed.select(*[F.col(c).alias(prefix + c) for c in placed.columns])
 
@@ -176,36 +186,36 @@ def near_classes(
         rows.mapInArrow(_sketches(words), "id long, size long, digest binary, bands array<long>"), "sketches"
     )
     named = sketches.where("id is not null and digest is not null")
-    nodes = named.groupBy("digest").agg(F.min("id").alias("node"))
-    banded = named.join(nodes, "digest").where("id = node").select("node", F.explode("bands").alias("bucket"))
+    banded = named.groupBy("digest").agg(F.min("id").alias("node"), F.first("bands").alias("bands")).select(
+        "node", F.explode("bands").alias("bucket")
+    )
     crowded = banded.groupBy("bucket").agg(F.min("node").alias("a"), F.max("node").alias("b")).where("a <> b")
-    buckets = materialize(banded.join(crowded.select("bucket"), "bucket").distinct(), "buckets")
-    labels = materialize(buckets.select("node", F.col("node").alias("label")).distinct(), "labels")
-    # an id may repeat with other texts: its sets are united, as the id is what links stand for
+    buckets = materialize(banded.join(crowded.select("bucket"), "bucket"), "buckets")
+    nodes = materialize(buckets.select("node").distinct(), "nodes")
+    # should an id repeat with other texts, a link of either counts
     sets = materialize(
-        rows.join(labels.select("node"), rows["id"] == labels["node"]).select("node", "text").mapInArrow(
+        rows.join(nodes, rows["id"] == nodes["node"]).select("node", "text").mapInArrow(
             _full_sets(words), "node long, items array<long>, n long, " + ", ".join(f"{b} long" for b in BITS)
         ),
         "sets",
     )
     marks = sets.drop("items")
     starred = materialize(_pivot_pairs(buckets), "pairs")
-    best = _ordered(starred.groupBy("node").agg(F.max_by("pivot", "n").alias("pivot")))
-    for candidates in (
-        lambda placed: _across(best, placed, percent),
-        lambda placed: _across(_ordered(starred), placed, percent),
-        lambda placed: _rest(buckets, placed, _ordered(starred), percent),
-    ):
-        labels = _merge(labels, _linked(candidates(labels.join(marks, "node")), sets, percent))
-    return _result(sketches, nodes, labels)
+    best = starred.groupBy("node").agg(F.max_by("pivot", "n").alias("pivot"))
+    first = materialize(_linked(best.select(F.col("pivot").alias("u"), F.col("node").alias("v")), sets, percent), "links")
+    placed = _hung(nodes, first.select(F.col("u").alias("pivot"), F.col("v").alias("node"))).join(marks, "node")
+    second = _linked(_across(_ordered(starred), placed, percent), sets, percent)
+    labels = _merge(nodes.withColumn("label", F.col("node")), first.unionByName(second))
+    third = _linked(_rest(buckets, labels.join(marks, "node"), percent), sets, percent)
+    return _result(sketches, _merge(labels, third))
 
 
 def _ordered(stars: DataFrame) -> DataFrame:
     return stars.select(F.least("pivot", "node").alias("u"), F.greatest("pivot", "node").alias("v")).distinct()
 
 
-def _rest(buckets: DataFrame, placed: DataFrame, seen: DataFrame, percent: int) -> DataFrame:
-    """Pairs of one bucket in different components that may link, without those already looked at.
+def _rest(buckets: DataFrame, placed: DataFrame, percent: int) -> DataFrame:
+    """Pairs of one bucket in different components that may link.
 
     One of the two is outside the bucket's least component, so only such members are met with the others.
     """
@@ -219,11 +229,11 @@ def _rest(buckets: DataFrame, placed: DataFrame, seen: DataFrame, percent: int)
         v,
         (F.col("u_bucket") == F.col("v_bucket")) & (F.col("u_label") != F.col("v_label")) & other & _may_link(percent),
     )
-    pairs = met.select(F.least("u_node", "v_node").alias("u"), F.greatest("u_node", "v_node").alias("v")).distinct()
-    return pairs.join(seen, ["u", "v"], "left_anti")
+    return met.select(F.least("u_node", "v_node").alias("u"), F.greatest("u_node", "v_node").alias("v")).distinct()
 
 
-def _result(sketches: DataFrame, nodes: DataFrame, labels: DataFrame) -> DataFrame:
+def _result(sketches: DataFrame, labels: DataFrame) -> DataFrame:
+    nodes = sketches.where("id is not null and digest is not null").groupBy("digest").agg(F.min("id").alias("node"))
     # a label is its component's least node and a node its set's least id, so the label is the least id of all
     of_set = nodes.join(labels, "node", "left").select("digest", F.coalesce("label", "node").alias("component_id"))
     joined = sketches.where("id is not null").join(of_set, "digest", "left").select(
