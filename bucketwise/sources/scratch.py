@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 from functools import lru_cache
 from uuid import uuid4
@@ -11,7 +13,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 @lru_cache(maxsize=1)
 def _local_dir() -> str:
-    return tempfile.mkdtemp(prefix="bucketwise-")
+    path = tempfile.mkdtemp(prefix="bucketwise-")
+    atexit.register(shutil.rmtree, path, ignore_errors=True)
+    return path
+
+
+_MADE: list[str] = []
 
 
 def work_dir(spark: SparkSession) -> str:
@@ -27,7 +34,18 @@ def work_dir(spark: SparkSession) -> str:
 
 
 def new_path(spark: SparkSession, name: str) -> str:
-    return f"{work_dir(spark)}/{name}-{uuid4().hex}"
+    path = f"{work_dir(spark)}/{name}-{uuid4().hex}"
+    _MADE.append(path)
+    return path
+
+
+def release(spark: SparkSession) -> None:
+    """Delete the working tables made so far. Call it when the results that read them are written."""
+    jvm = spark.sparkContext._jvm
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    while _MADE:
+        path = jvm.org.apache.hadoop.fs.Path(_MADE.pop())
+        path.getFileSystem(conf).delete(path, True)
 
 
 def materialize(df: DataFrame, name: str = "rows") -> DataFrame:

@@ -92,3 +92,15 @@ def test_features_come_from_the_chosen_run(spark):
     got = {r["run"]: r for r in W.attach_weather(decisions, weather, ["station", "run", "date"]).collect()}
     assert got["early"]["forecast_daily_max_c"] == 10.0 and len(got["early"]["forecast_hourly"]) == 2
     assert got["none"]["weather_reject"] == "no weather for station and date"
+
+
+def test_working_tables_are_released(spark):
+    from pathlib import Path
+
+    from bucketwise.sources import scratch
+
+    rows = scratch.materialize(spark.range(5).toDF("i"), "numbers")
+    path = Path(scratch._MADE[-1])
+    assert rows.count() == 5 and path.exists()
+    scratch.release(spark)
+    assert not path.exists()
