@@ -179,8 +179,12 @@ def exact_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         *[F.col(c) for c in prints.columns], F.when(F.col("sha") != F.col("lead_sha"), F.col("sha")).alias("part")
     )
     members = named.unionByName(unnamed).withColumn("part", F.coalesce("part", F.lit("")))
-    classes = members.groupBy("fp", "size", "part").agg(
-        F.sum("copies").alias("group_size"), F.max(F.struct("chars", (-F.col("id")).alias("rank"))).alias("best")
+    # a table of its own, so that the join has two plain exchanges and Spark can split a hot group
+    classes = materialize(
+        members.groupBy("fp", "size", "part").agg(
+            F.sum("copies").alias("group_size"), F.max(F.struct("chars", (-F.col("id")).alias("rank"))).alias("best")
+        ),
+        "classes",
     )
     joined = members.join(classes, ["fp", "size", "part"]).select(
         "id", "raw", "group_size", "sha", "copies", (-F.col("best.rank")).alias("keep_id"),
