@@ -73,7 +73,7 @@ def _repeated(base: DataFrame, places: DataFrame) -> DataFrame:
     )
     exploded = base.select("doc", F.posexplode(marked_chunks(F.col("text"))).alias("at", "chunk")).where(_eligible(F.col("chunk")))
     found = materialize(
-        exploded.withColumn("key", F.xxhash64("chunk")).withColumn("size", F.octet_length("chunk")).join(groups, ["key", "size"])
+        exploded.withColumn("key", F.xxhash64("chunk")).withColumn("size", F.octet_length("chunk")).join(groups.hint("merge"), ["key", "size"])
         .select(
             "doc", "at", "key", "size", "chunk", "shares",
             ((F.col("doc") == F.col("first.doc")) & (F.col("at") == F.col("first.at"))).alias("is_first"),
@@ -114,7 +114,8 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         F.filter(zipped, lambda z: z["flag"]["gone"]), F.lit(0).cast("long"), lambda n, z: n + _lines_in(z["chunk"])
     )
     clean = F.when(F.col("flags").isNull(), F.col("text")).otherwise(unmarked(F.array_join(kept, "\n")))
-    return base.join(flags, "doc", "left").select(
+    # merge joins at every size: both sides grow with the corpus
+    return base.join(flags.hint("merge"), "doc", "left").select(
         "id", clean.alias("text"), _lines_in(F.col("text")).cast("long").alias("n_lines"),
         F.when(F.col("flags").isNull(), 0).otherwise(removed).cast("long").alias("n_removed"),
     )
