@@ -1,15 +1,14 @@
-"""Benchmark decontamination by spaced seeds.
+"""Benchmark decontamination by lossless seeds.
 
-A seed hashes the tokens that a fixed mask selects from a window and ignores the others, so a passage with replaced
-words still meets its source in some window. Items and documents are hashed alike and joined on the seed. Documents
+A seed hashes the tokens that a mask selects from a window and ignores the others. The masks follow from the item's length
+(``masks_of``): whatever tokens are replaced, an overlap that counts has a window that one of them selects unharmed. Items and documents are hashed alike and joined on the seed. Documents
 first pass a bitmap of the items' seeds: it has a fixed size whatever the benchmark's, and only thins the rows out, as
 the join that follows is exact. Around every hit, document and item are laid on each other at the hit's offset and the
-best run of agreeing tokens is taken, where one replaced token costs as much as four equal ones gain (a run has to
-agree in four of five tokens).
+run with the most equal tokens is taken, of all that agree in four of five tokens or more.
 
 A document is contaminated by an item if a run holds ``min(overlap, 0.8 * item tokens)`` equal tokens. Tokens are words
-with A-Z in lower case and trailing ASCII punctuation left out. Items shorter than a mask are searched by exact windows of
-their own length; items under ``MIN_ITEM`` tokens name no passage and match nothing.
+with A-Z in lower case and trailing ASCII punctuation left out. Items under ``MIN_ITEM`` tokens name no passage and match
+nothing; nor does a document that has fewer than ``MIN_ITEM`` tokens beside an item's.
 
 Defined cases: null text has no tokens; a null id is reported as null; equal texts are verified once and all reported;
 repeated rows are reported once each; empty documents or an empty benchmark give no rows. Other columns take no part.
@@ -18,6 +17,7 @@ repeated rows are reported once each; empty documents or an empty benchmark give
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -27,7 +27,6 @@ from bucketwise.llm import textkit
 from bucketwise.llm.textkit import byte_rows, mix, only, pieces, seeds, table
 from bucketwise.sources.scratch import materialize
 
-MASKS = ("11011010111", "11101001111", "10111100111")
 MIN_ITEM = 5
 OVERLAP = 13
 #: bits of the bitmap that thins out document seeds; its size is the broadcast's proven bound (4 MiB)
@@ -46,6 +45,24 @@ def tokens(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 _TOKEN_CODES = textkit.byte_codes(fold=True, ignored=_PUNCTUATION)
 
 
+def needed(n: int, overlap: int = OVERLAP) -> int:
+    """Equal tokens that an item of ``n`` tokens has to share."""
+    return min(overlap, -(-4 * n // 5))
+
+
+def masks_of(n: int, overlap: int = OVERLAP) -> tuple[str, ...]:
+    """Masks, one of which selects equal tokens only in every overlap that counts.
+
+    ``k`` other tokens cut a run's equal ones, of which there are ``4 k`` at least, into ``k + 1`` stretches, the longest of
+    which is the mask. Where that is under three tokens, short items have a mask for every choice of equal tokens.
+    """
+    least = min(-(-max(needed(n, overlap), 4 * k) // (k + 1)) for k in range(n // 5 + 1))
+    if least >= 3 or n > 7:
+        return ("1" * least,)
+    chosen = combinations(range(n), needed(n, overlap))
+    return tuple(sorted({"".join("1" if i in c else "0" for i in range(n)).strip("0") for c in chosen}))
+
+
 def windows(words: np.ndarray, bounds: np.ndarray, mask: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(seed, row, position in the row) of every window of the mask that lies inside a row."""
     span, n = len(mask), len(words)
@@ -69,23 +86,25 @@ def _item_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("item"), lists], names=["item", "tokens"])
 
 
-def _seed_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(seed, item, at) of the items; a short item has one window, itself."""
-    for batch in batches:
-        seed, item, at = [], [], []
-        for id_, own in zip(batch.column("item").to_pylist(), batch.column("tokens").to_pylist(), strict=True):
-            words = np.array(own, dtype=np.int64).view(_U)
-            if len(words) < MIN_ITEM:
-                continue
-            masks = MASKS if len(words) >= len(MASKS[0]) else ("1" * len(words),)
-            for mask in masks:
-                s, _, p = windows(words, np.array([0, len(words)]), mask)
-                seed.extend(s.view(np.int64).tolist())
-                at.extend(p.tolist())
-                item.extend([id_] * len(s))
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(seed, pa.int64()), pa.array(item, pa.int64()), pa.array(at, pa.int64())], names=["seed", "item", "at"]
-        )
+def _seed_rows(overlap: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """(seed, item, at) of the items."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            seed, item, at = [], [], []
+            for id_, own in zip(batch.column("item").to_pylist(), batch.column("tokens").to_pylist(), strict=True):
+                words = np.array(own, dtype=np.int64).view(_U)
+                if len(words) < MIN_ITEM:
+                    continue
+                for mask in masks_of(len(words), overlap):
+                    s, _, p = windows(words, np.array([0, len(words)]), mask)
+                    seed.extend(s.view(np.int64).tolist())
+                    at.extend(p.tolist())
+                    item.extend([id_] * len(s))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(seed, pa.int64()), pa.array(item, pa.int64()), pa.array(at, pa.int64())], names=["seed", "item", "at"]
+            )
+    return run
 
 
 def _bitmap(seed_rows: DataFrame) -> np.ndarray:
@@ -100,9 +119,7 @@ def _bitmap(seed_rows: DataFrame) -> np.ndarray:
     return out
 
 
-def _hits(bitmap, lengths: tuple[int, ...]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    masks = (*MASKS, *("1" * n for n in lengths))
-
+def _hits(bitmap, masks: tuple[str, ...]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = bitmap.value
         for batch in pieces(batches, "text"):
@@ -130,6 +147,21 @@ def best_run(equal: np.ndarray) -> tuple[int, int, int]:
     return int(equal[first:end].sum()), first, end
 
 
+def most_equal(equal: np.ndarray) -> tuple[int, int, int]:
+    """(equal tokens, first, end) of the run with the most equal tokens among those that agree in four of five or more.
+
+    From each place the furthest end counts at which the sum of 1 per equal and -4 per other token is not below zero. Ties
+    go to the first, and the run begins and ends with an equal token.
+    """
+    total = np.concatenate([[0], np.cumsum(np.where(equal, 1, -4))])
+    count = np.concatenate([[0], np.cumsum(equal)])
+    ahead = np.maximum.accumulate(total[::-1])  # the greatest sum from a place on, from the last place back
+    end = len(equal) - np.searchsorted(ahead, total)
+    first = int(np.argmax(count[end] - count))
+    held = first + np.flatnonzero(equal[first : end[first]])
+    return (len(held), int(held[0]), int(held[-1]) + 1) if len(held) else (0, 0, 0)
+
+
 def _verified(overlap: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, "text"):
@@ -140,10 +172,10 @@ def _verified(overlap: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.
                 for x in alignments:
                     wanted, offset = np.array(x["tokens"], dtype=np.int64), x["offset"]
                     a, b = max(0, -offset), min(len(wanted), len(own) - offset)
-                    if a >= b:
+                    if b - a < MIN_ITEM:
                         continue
-                    n, first, _ = best_run(own[a + offset : b + offset] == wanted[a:b])
-                    if n >= min(overlap, -(-4 * len(wanted) // 5)):
+                    n, first, _ = most_equal(own[a + offset : b + offset] == wanted[a:b])
+                    if n >= needed(len(wanted), overlap):
                         row.append(i)
                         item.append(x["item"])
                         equal_n.append(n)
@@ -173,14 +205,15 @@ def leaks(
         only(items, item=item_id, text=item_text).select(F.col("item").cast("long"), "text")
         .mapInArrow(_item_rows, "item long, tokens array<long>"), "items",
     )
-    seed_rows = materialize(wanted.mapInArrow(_seed_rows, "seed long, item long, at long"), "seeds")
-    # at most len(mask) - 1 lengths
-    lengths = tuple(sorted(
-        r["n"] for r in wanted.where(F.size("tokens").between(MIN_ITEM, len(MASKS[0]) - 1))
-        .select(F.size("tokens").alias("n")).distinct().collect()
-    ))
+    seed_rows = materialize(wanted.mapInArrow(_seed_rows(overlap), "seed long, item long, at long"), "seeds")
+    # lengths above the cap have the masks of the cap
+    lengths = (
+        wanted.where(F.size("tokens") >= MIN_ITEM)
+        .select(F.least(F.size("tokens"), F.lit(max(25, 2 * overlap))).alias("n")).distinct().collect()
+    )
+    masks = tuple(sorted({m for r in lengths for m in masks_of(r["n"], overlap)}))
     bitmap = spark.sparkContext.broadcast(_bitmap(seed_rows))
-    found = rows.select("raw", "size", "text").mapInArrow(_hits(bitmap, lengths), "raw long, size long, seed long, pos long")
+    found = rows.select("raw", "size", "text").mapInArrow(_hits(bitmap, masks), "raw long, size long, seed long, pos long")
     aligned = materialize(
         found.join(seed_rows, "seed").select("raw", "size", "item", (F.col("pos") - F.col("at")).alias("offset")).distinct(),
         "aligned",

@@ -184,6 +184,43 @@ def test_best_run_is_the_best_of_all():
         assert n == equal[a:b].sum()
 
 
+def test_replaced_tokens_at_every_place(spark):
+    import itertools
+
+    docs, want = [], set()
+    for n in range(5, 21):
+        item = [f"i{n}x{k}" for k in range(n)]
+        for count in (0, 1, 2):
+            for gone in itertools.combinations(range(n), count):
+                text = " ".join(["before", "it", *("zzz" if k in gone else w for k, w in enumerate(item)), "after", "it"])
+                equal = [k not in gone for k in range(n)]
+                most = max(sum(equal[a:b]) for a in range(n) for b in range(a + 1, n + 1) if 5 * sum(equal[a:b]) >= 4 * (b - a))
+                if most >= min(13, -(-4 * n // 5)):
+                    want.add((len(docs), n))
+                docs.append((len(docs), text))
+    fifth = [f"f{k}" for k in range(30)]
+    for shift in range(5):
+        want.add((len(docs), 30))
+        docs.append((len(docs), " ".join("zzz" if k % 5 == shift else w for k, w in enumerate(fifth))))
+    items = [(n, " ".join(f"i{n}x{k}" for k in range(n))) for n in range(5, 21)] + [(30, " ".join(fifth))]
+    got = decontaminate.leaks(
+        spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    ).collect()
+    assert {(r["id"], r["item"]) for r in got} == want and len(got) == len(want) > 1000
+
+
+def test_run_with_the_most_equal_tokens():
+    import numpy as np
+
+    rng = np.random.default_rng(4)
+    for _ in range(300):
+        equal = rng.random(rng.integers(1, 30)) < 0.7
+        n, a, b = decontaminate.most_equal(equal)
+        size = len(equal)
+        fits = [equal[x:y].sum() for x in range(size) for y in range(x + 1, size + 1) if 5 * equal[x:y].sum() >= 4 * (y - x)]
+        assert n == max(fits, default=0) == equal[a:b].sum() and (n == 0 or 5 * n >= 4 * (b - a))
+
+
 def test_licenses(spark):
     mit = next(t for n, k, t in license_scan.KNOWN if (n, k) == ("MIT", "text"))
     variant = mit.replace("MIT License\n", "  mit   LICENCE\nCopyright (c) 2020 A. Person\nAll rights reserved.\n").replace("sublicense", "sub-license").replace('"', "“")
