@@ -1,15 +1,16 @@
 """Registered queries of the corpus operators and, where SQL can state them, their SQL twins."""
 
 from bucketwise.llm import (
-    chat, decontaminate, exact_dedup, license_scan, line_dedup, mixing, near_dedup, page_text, quality, secret_scan,
+    chat, decontaminate, exact_dedup, license_scan, line_dedup, mixing, near_dedup, page_text, passage_dedup, quality,
+    secret_scan,
 )
 
 QUERIES = {
     f.__name__: f
     for f in (
         exact_dedup.op1_exact_dedup, secret_scan.op2_secret_scan, chat.op3_chat_format, near_dedup.op4_near_dedup,
-        page_text.op5_page_text, mixing.op6_mixing, line_dedup.op7_line_dedup, quality.op8_quality,
-        decontaminate.op9_decontaminate, license_scan.op10_license_scan,
+        page_text.op5_page_text, mixing.op6_mixing, line_dedup.op7_line_dedup,
+        passage_dedup.op7_passage_dedup, quality.op8_quality, decontaminate.op9_decontaminate, license_scan.op10_license_scan,
     )
 }
 SQL = {

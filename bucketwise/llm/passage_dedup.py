@@ -1,0 +1,98 @@
+"""Dedup of repeated passages of whole lines, wherever they stand and whatever stands before them.
+
+The unit is two neighbouring lines, blank ones between them passed over, or one line of ``LONG`` characters. A unit that
+occurs more than once in all documents keeps its first occurrence (least id, then place); every other occurrence is
+removed, blank lines inside it too. Units overlap by a line, so a passage of any length is removed from its first line to
+its last, as by extending a match line by line. Of each line that is removed an equal one stays earlier.
+
+Units are counted by 64-bit hashes first; those that repeat are grouped by SHA-256, which decides. Only DataFrame
+functions run, and no text is shuffled before the last join.
+
+Defined cases: null text is empty, and its result is empty; blank lines alone are no unit; where an occurrence overlaps the
+first one, the first one's lines stay; a null id ranks last; rows that repeat id and text are one document and come back
+equal; an empty table gives no rows; other columns take no part.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+
+from bucketwise.llm.textkit import only, table
+from bucketwise.sources.scratch import materialize
+
+#: characters from which on a line is a passage by itself; a line of over 50 words has more
+LONG = 100
+_LAST = (1 << 63) - 1
+
+
+def _units(text: Column, digest) -> Column:
+    """(at, last, key) of the text's units; ``digest`` turns a line, or two joined by a line break, into a key."""
+    lines = F.split(text, "\n", -1)
+    placed = F.filter(F.transform(lines, lambda x, i: F.struct(x.alias("line"), i.alias("at"))), lambda e: e["line"].rlike(r"\S"))
+    next_ = F.slice(placed, 2, F.greatest(F.size(placed), F.lit(1)))
+    pairs = F.zip_with(
+        placed, next_,
+        lambda a, b: F.when(b.isNotNull(), F.struct(
+            a["at"].alias("at"), b["at"].alias("last"), digest(F.concat(a["line"], F.lit("\n"), b["line"])).alias("key"))),
+    )
+    long = F.transform(
+        F.filter(placed, lambda e: F.length(e["line"]) >= LONG),
+        lambda e: F.struct(e["at"].alias("at"), e["at"].alias("last"), digest(e["line"]).alias("key")),
+    )
+    return F.concat(F.filter(pairs, lambda p: p.isNotNull()), long)
+
+
+def _exploded(base: DataFrame, digest) -> DataFrame:
+    return base.select("doc", "rank", F.explode(_units(F.col("text"), digest)).alias("u")).select("doc", "rank", "u.*")
+
+
+def _marks(gone: Column) -> Column:
+    """An array with true at the places of the sorted array ``gone``, as long as the last of them needs."""
+    before = F.concat(F.array(F.lit(-1)), gone)
+    return F.flatten(F.zip_with(
+        gone, F.slice(before, F.lit(1), F.size(gone)),
+        lambda at, last: F.concat(F.array_repeat(F.lit(False), at - last - 1), F.array(F.lit(True))),
+    ))
+
+
+def _repeated(base: DataFrame) -> DataFrame:
+    """doc, gone: the sorted places of lines that are removed."""
+    short = lambda x: F.xxhash64(x)
+    both = lambda x: F.struct(F.xxhash64(x).alias("key"), F.sha2(x, 256).alias("digest"))
+    keys = materialize(_exploded(base, short).groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"), "keys")
+    exact = _exploded(base, both).select("doc", "rank", "at", "last", F.col("key.key").alias("key"), F.col("key.digest").alias("digest"))
+    # repeated rows give equal places
+    found = materialize(exact.join(keys.hint("merge"), "key", "left_semi").drop("key").distinct(), "units")
+    # a table of its own, so that the join has two plain exchanges and Spark can split a hot unit
+    firsts = materialize(
+        found.groupBy("digest").agg(F.count("*").alias("n"), F.min(F.struct("rank", "doc", "at", "last")).alias("first")).where("n > 1")
+        .select("digest", "first"),
+        "firsts",
+    )
+    own = F.col("doc") == F.col("first.doc")
+    later = found.join(firsts.hint("merge"), "digest").where(~own | (F.col("at") != F.col("first.at")))
+    start = F.when(own, F.greatest("at", F.col("first.last") + 1)).otherwise(F.col("at"))
+    return (
+        later.withColumn("start", start).where("start <= last")
+        .groupBy("doc").agg(F.sort_array(F.array_distinct(F.flatten(F.collect_set(F.sequence("start", "last"))))).alias("gone"))
+    )
+
+
+def dedup_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """id, text without repeated passages, n_lines and n_removed (lines) of every document."""
+    rows = only(docs, id=id_col, text=text_col).select("id", F.coalesce("text", F.lit("")).alias("text"))
+    base = rows.withColumn("doc", F.xxhash64("id", "text")).withColumn("rank", F.coalesce("id", F.lit(_LAST)))
+    gone = materialize(_repeated(base), "gone")
+    marked = F.zip_with(
+        F.split("text", "\n", -1), _marks(F.col("gone")), lambda line, m: F.struct(line.alias("line"), F.coalesce(m, F.lit(False)).alias("gone"))
+    )
+    kept = F.transform(F.filter(marked, lambda e: ~e["gone"]), lambda e: e["line"])
+    n_lines = F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit(""))) + 1
+    return base.join(gone.hint("merge"), "doc", "left").select(
+        "id", F.when(F.col("gone").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n")).alias("text"),
+        n_lines.cast("long").alias("n_lines"), F.when(F.col("gone").isNull(), 0).otherwise(F.size("gone")).cast("long").alias("n_removed"),
+    )
+
+
+def op7_passage_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dedup_passages(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")

@@ -8,7 +8,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 
-from bucketwise.llm import components, exact_dedup, line_dedup, near_dedup, textkit
+from bucketwise.llm import components, exact_dedup, line_dedup, near_dedup, passage_dedup, textkit
 
 WORD = re.compile(r"[^\x20\x09-\x0d]+")
 
@@ -183,3 +183,58 @@ def test_line_dedup_equals_brute_force(spark):
     for r in got:
         assert (r["text"], r["n_lines"], r["n_removed"]) == want[r["id"], texts[r["id"]]], r["id"]
     assert line_dedup.dedup_lines(docs.limit(0)).count() == 0
+
+
+def brute_passages(rows):
+    """{(id, text): (text, lines removed)}: units of two lines or a long one, the first occurrence by id and place stays."""
+    docs = sorted({(i, t or "") for i, t in rows}, key=lambda r: (r[0] is None, r[0] or 0, r[1]))
+    first, out = {}, {}
+    units = {}
+    for doc in docs:
+        lines = doc[1].split("\n")
+        full = [k for k, x in enumerate(lines) if x.strip()]
+        own = [(a, b, (lines[a], lines[b])) for a, b in zip(full, full[1:])] + [(a, a, (lines[a],)) for a in full if len(lines[a]) >= 100]
+        units[doc] = sorted(own)
+        for a, b, body in units[doc]:
+            first.setdefault(body, (doc, a, b))
+    for doc in docs:
+        gone = set()
+        for a, b, body in units[doc]:
+            home, c, d = first[body]
+            if (home, c) != (doc, a):
+                gone.update(range(max(a, d + 1) if home == doc else a, b + 1))
+        lines = doc[1].split("\n")
+        out[doc] = ("\n".join(x for k, x in enumerate(lines) if k not in gone), len(gone))
+    return out
+
+
+def test_planted_passages_are_removed_whole(spark):
+    rng = random.Random(17)
+    word = lambda: f"w{rng.randrange(10**9)}"
+    line = lambda n: " ".join(word() for _ in range(n))
+    passages = {n: [line(60 // n) for _ in range(n)] for n in range(1, 6)}
+    rows, clean = [], {}
+    for i in range(40):
+        n = i % 5 + 1
+        before, after = ([line(rng.randrange(3, 30)) for _ in range(rng.randrange(4))] for _ in range(2))
+        rows.append((i, "\n".join(before + passages[n] + after)))
+        clean[i] = "\n".join(before + (passages[n] if i < 5 else []) + after)
+    got = {r["id"]: r for r in passage_dedup.dedup_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert {i: r["text"] for i, r in got.items()} == clean
+    assert all(r["n_removed"] == (0 if i < 5 else i % 5 + 1) for i, r in got.items())
+
+
+def test_passages_equal_brute_force(spark):
+    rng = random.Random(18)
+    pool = ["a", "b", "c d", " ", "", "x" * 100, "é" * 99, "last\r", "e f g"]
+    rows = [(i, "\n".join(rng.choice(pool[: rng.randrange(2, 10)]) for _ in range(rng.randrange(9)))) for i in range(60)]
+    rows += [(0, rows[0][1]), (None, "a\nb\nq"), (60, None), (61, ""), (62, "a\n" * 20_000), (63, "x\nx\nx\nx")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = passage_dedup.dedup_passages(docs).collect()
+    want = brute_passages(rows)
+    texts = {i: t or "" for i, t in rows}
+    assert len(got) == len(rows)
+    for r in got:
+        assert (r["text"], r["n_removed"]) == want[r["id"], texts[r["id"]]], r["id"]
+        assert r["n_lines"] == texts[r["id"]].count("\n") + 1
+    assert passage_dedup.dedup_passages(docs.limit(0)).count() == 0
