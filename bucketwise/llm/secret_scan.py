@@ -3,9 +3,11 @@
 Three patterns give base spans: assignments to secret names, access keys, long hex runs. Beyond them, candidates in
 base64 or hex are decoded and reported only if their structure holds:
 
-- ``pem``: a private-key block whose body decodes to a key encoding;
-- ``der``: a bare base64 or hex run that decodes to a key: nested lengths fill it to the last byte, as PKCS#1, PKCS#8 or
-  SEC 1 lay it out, or length-prefixed fields behind the OpenSSH magic;
+- ``pem``: a private-key block whose body decodes to a key encoding, its lines broken by line breaks or backslash-n, behind
+  header lines or not; a body that its headers name encrypted is of whole cipher blocks;
+- ``der``: a base64 or hex run, also wrapped over lines, that decodes to a key: nested lengths fill it to the last byte, as
+  PKCS#1, PKCS#8, SEC 1 or DSA lay it out, or length-prefixed fields behind the OpenSSH magic; or to a private-key block or a
+  signed token;
 - ``jwt``: a signed token whose header decodes to an object with an algorithm and whose payload decodes to an object.
 
 Texts are scanned whole, per task in pieces of bounded size. Defined cases: null text is empty; an empty text has no
@@ -34,10 +36,17 @@ _NAMES = ("passw", "secret", "token", "apikey", "api_key")
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _LONG_HEX = re.compile(r"[0-9a-f]{24,}")
 
-_PEM = re.compile(r"-----BEGIN ([A-Z0-9]+ )*PRIVATE KEY-----([A-Za-z0-9+/=\s]*+)-----END ([A-Z0-9]+ )*PRIVATE KEY-----")
-# a DER sequence starts with 0x30, so its base64 with M; the OpenSSH magic with b3BlbnNzaC
-_BASE64 = re.compile(r"(?<![A-Za-z0-9+/=_-])(?:M|b3BlbnNzaC)[A-Za-z0-9+/_-]{30,}={0,2}")
-_HEX_DER = re.compile(r"(?<![0-9A-Fa-f])30[0-9A-Fa-f]{46,}(?![0-9A-Fa-f])")
+_PEM = re.compile(
+    r"-----BEGIN (?:[A-Z0-9]+ )*PRIVATE KEY-----"
+    r"(?P<head>(?:(?:\\[rnt]|\s)*+[A-Za-z][A-Za-z0-9-]*:[^\r\n\\]*+(?:(?:\\r|\\n|[\r\n])+[ \t]+[^\r\n\\]*+)*)*+)"
+    r"(?P<body>(?:[A-Za-z0-9+/=\s]|\\[rnt/])*+)-----END (?:[A-Z0-9]+ )*PRIVATE KEY-----"
+)
+_SPACES = re.compile(r"\\[rnt]|\s+")
+#: runs of base64 as they stand, and the breaks over which one is wrapped
+_BASE64 = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{31,}={0,2}")
+_WRAP = re.compile(r"(?:\\r)?\\n[ \t]*|\r?\n[ \t]*|\r[ \t]*")
+_PART = re.compile(r"[A-Za-z0-9+/_-]+={0,2}")
+_HEX = re.compile(r"(?<![0-9A-Fa-f])[0-9A-Fa-f]{48,}(?![0-9A-Fa-f])")
 _JWT = re.compile(r"(?<![A-Za-z0-9_-])e[A-Za-z0-9_-]{9,}\.[A-Za-z0-9_-]{2,}\.[A-Za-z0-9_-]*")
 _OPENSSH = b"openssh-key-v1\x00"
 
@@ -94,6 +103,8 @@ def is_key(data: bytes | None) -> bool:
         return False
     if len(tags) >= 9 and set(tags[:9]) == {0x02}:  # PKCS#1: version and eight numbers
         return len(items[1][1]) >= 16
+    if tags == [0x02] * 6:  # DSA: version zero, p, q, g, public and private number
+        return items[0][1] == b"\x00" and len(items[1][1]) >= 64 and len(items[2][1]) >= 16
     if tags[:3] == [0x02, 0x30, 0x04]:  # PKCS#8: version, algorithm, octets
         return _algorithm(items[1][1])
     return tags[:2] == [0x02, 0x04] and items[0][1] == b"\x01" and len(items[1][1]) >= 16  # SEC 1
@@ -149,16 +160,88 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
     return out
 
 
+def _is_pem(block: re.Match) -> bool:
+    data = decode64(_SPACES.sub("", block["body"]).replace("\\/", "/"))
+    if "ENCRYPTED" in block["head"]:  # cipher text, of whole blocks
+        return bool(data) and len(data) >= 32 and len(data) % 8 == 0
+    return is_key(data)
+
+
+def is_secret(data: bytes | None) -> bool:
+    """A key by its encoding, a private-key block or a signed token."""
+    if not data:
+        return False
+    if data[0] == 0x30 or data.startswith(_OPENSSH):
+        return is_key(data)
+    if b"PRIVATE KEY-----" not in data and b"." not in data:
+        return False
+    try:
+        text = data.decode()
+    except UnicodeDecodeError:
+        return False
+    return any(_is_pem(m) for m in _PEM.finditer(text)) or any(is_token(m[0]) for m in _JWT.finditer(text))
+
+
+def _wrapped(text: str, first: re.Match) -> list[tuple[int, int]]:
+    """[start, end) of the lines that continue a run of base64: all but the last are as long as the first."""
+    out, width = [(first.start(), first.end())], first.end() - first.start()
+    while out[-1][1] - out[-1][0] == width and text[out[-1][1] - 1] != "=":
+        gap = _WRAP.match(text, out[-1][1])
+        part = _PART.match(text, gap.end()) if gap else None
+        if part is None or part.end() - part.start() > width:
+            break
+        out.append((part.start(), part.end()))
+    return out
+
+
+def _base64_spans(text: str) -> list[tuple[int, int]]:
+    out, done = [], 0
+    for m in _BASE64.finditer(text):
+        if m.start() < done:
+            continue
+        # behind a backslash-n the n is not the run's
+        if m[0][0] in "rnt" and m.start() and text[m.start() - 1] == "\\":
+            m = _BASE64.match(text, m.start() + 1) or _PART.match(text, m.start() + 1)
+        if is_secret(decode64(m[0])):
+            out.append((m.start(), m.end()))
+            continue
+        lines = _wrapped(text, m)
+        at = 0
+        while len(lines) > 1 and at < len(lines):
+            n = next((n for n in _ends(text, lines, at) if is_secret(decode64("".join(text[a:b] for a, b in lines[at:n])))), 0)
+            if n:
+                out.append((lines[at][0], lines[n - 1][1]))
+            at = n or at + 1
+        done = lines[-1][1] if len(lines) > 1 else 0
+    return out
+
+
+def _ends(text: str, lines: list[tuple[int, int]], at: int) -> list[int]:
+    """Numbers of the lines behind which a secret that begins with line ``at`` may end; a sequence states its length."""
+    first, last = lines[at]
+    head = decode64(text[first : first + 8]) or b""
+    if len(head) >= 6 and head[0] == 0x30 and head[1] & 0x80 and 1 <= head[1] & 0x7F <= 4:
+        n = head[1] & 0x7F
+        size = 2 + n + int.from_bytes(head[2 : 2 + n])
+    elif len(head) >= 6 and head[0] == 0x30:
+        size = 2 + head[1]
+    elif at == 0 or text.startswith(("b3BlbnNzaC", "LS0t", "ZXlK"), first):
+        return [n for n in (len(lines), len(lines) - 1) if n > at]
+    else:
+        return []
+    signs = -(-size * 4 // 3)
+    end = at - (-signs // (last - first))
+    return [end] if end <= len(lines) else []
+
+
 def confirmed_spans(text: str) -> list[tuple[int, int, str]]:
     out = []
     if "PRIVATE KEY-----" in text:
-        out += [(m.start(), m.end(), "pem") for m in _PEM.finditer(text) if is_key(decode64("".join(m[2].split())))]
+        out += [(m.start(), m.end(), "pem") for m in _PEM.finditer(text) if _is_pem(m)]
     inside = [(a, b) for a, b, _ in out]
-    for m in _BASE64.finditer(text):
-        if not any(a <= m.start() < b for a, b in inside) and is_key(decode64(m[0])):
-            out.append((m.start(), m.end(), "der"))
-    for m in _HEX_DER.finditer(text):
-        if len(m[0]) % 2 == 0 and is_key(bytes.fromhex(m[0])):
+    out += [(a, b, "der") for a, b in _base64_spans(text) if not any(c <= a < d for c, d in inside)]
+    for m in _HEX.finditer(text):
+        if len(m[0]) % 2 == 0 and is_secret(bytes.fromhex(m[0])):
             out.append((m.start(), m.end(), "der"))
     out += [(m.start(), m.end(), "jwt") for m in _JWT.finditer(text) if is_token(m[0])]
     return out

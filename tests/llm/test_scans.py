@@ -73,6 +73,38 @@ def test_secret_scan(spark):
     assert by[len(rows) - 2]["spans"] == "" == by[len(rows) - 3]["spans"]
 
 
+def test_keys_in_other_spellings():
+    rng = random.Random(5)
+    number = lambda n: der(2, b"\x01" + rng.randbytes(n))
+    dsa = der(0x30, der(2, b"\x00") + number(128) + number(20) + number(128) + number(128) + number(20))
+    field = lambda b: len(b).to_bytes(4) + b
+    ssh = b"openssh-key-v1\x00" + field(b"none") * 2 + field(b"") + (1).to_bytes(4) + field(rng.randbytes(51)) + field(rng.randbytes(136))
+    b64 = lambda b: base64.b64encode(b).decode()
+    wrap = lambda t, by="\n", n=64: by.join(t[i : i + n] for i in range(0, len(t), n))
+    block = lambda body, by="\n": f"-----BEGIN RSA PRIVATE KEY-----{by}{body}{by}-----END RSA PRIVATE KEY-----"
+    pem = block(wrap(b64(PKCS1)))
+    sealed = "Proc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,00112233445566778899AABBCCDDEEFF\n\n" + wrap(b64(rng.randbytes(640)))
+    jwt = url64({"alg": "RS256"}) + "." + url64({"a": 1}) + ".c2lnbmF0dXJl"
+    spans = lambda t: [(k, t[a:b]) for a, b, k in secret_scan.confirmed_spans(t)]
+    assert secret_scan.is_key(dsa) and not secret_scan.is_key(dsa[:-1])
+    for text, kind, whole in (
+        ("PRIVATE_KEY=" + b64(PKCS1), "der", b64(PKCS1)),
+        ("key=" + b64(ssh) + "\n", "der", b64(ssh)),
+        ("x " + b64(dsa), "der", b64(dsa)),
+        ("data: " + b64(pem.encode()), "der", b64(pem.encode())),
+        ("hex " + pem.encode().hex(), "der", pem.encode().hex()),
+        ("v=" + b64(jwt.encode()), "der", b64(jwt.encode())),
+        ("lines\n" + wrap(b64(PKCS1)) + "\nend of it", "der", wrap(b64(PKCS1))),
+        (wrap(b64(rng.randbytes(96))) + "\n" + wrap(b64(PKCS1)) + "\nend", "der", wrap(b64(PKCS1))),
+        ('{"k": "' + wrap(b64(PKCS8), "\\n", 20 * 2) + '"}', "der", wrap(b64(PKCS8), "\\n", 20 * 2)),
+        ('{"k": "' + block(wrap(b64(PKCS8), "\\n"), "\\n") + '\\n"}', "pem", block(wrap(b64(PKCS8), "\\n"), "\\n")),
+        ("a " + block(sealed), "pem", block(sealed)),
+    ):
+        assert spans(text) == [(kind, whole)], text
+    for text in (b64(rng.randbytes(900)), wrap(b64(rng.randbytes(900))), "A" * 5000, block("QUJD"), "ab" * 500, "key=" + b64(PKCS1[:-3])):
+        assert spans(text) == [], text
+
+
 def test_escape_is_reversible_and_leaves_no_control():
     rng = random.Random(4)
     bits = ["<", "|", "\\", "s>", "</s>", "<s>", "[INST]", "[/INST]", "<<SYS>>", "<</SYS>>", "<|image|>", "x", "\n", "[", "/"]
