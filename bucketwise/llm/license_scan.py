@@ -14,6 +14,9 @@ once per line; repeated rows are scanned one by one; ids of any kind come back a
 
 from __future__ import annotations
 
+import re
+from pathlib import Path
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from bucketwise.llm.textkit import only, table
@@ -31,8 +34,67 @@ _ISC_WARRANTY = (
     "ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF "
     "THIS SOFTWARE."
 )
+#: whole licence texts, a file per SPDX name
+_TEXTS = Path(__file__).parent / "licenses"
+_END = "END OF TERMS AND CONDITIONS"
+_GNU = {"GPL": "General Public", "LGPL": "Lesser General Public", "AGPL": "Affero General Public"}
+_CC = {"BY": "Attribution", "BY-SA": "Attribution-ShareAlike", "BY-NC": "Attribution-NonCommercial",
+       "BY-ND": "Attribution-NoDerivatives", "BY-NC-SA": "Attribution-NonCommercial-ShareAlike",
+       "BY-NC-ND": "Attribution-NonCommercial-NoDerivatives"}
+#: fixed values: customary names by SPDX name
+_NAMES = {
+    "MIT": ("MIT License", "MIT", "Expat License"), "ISC": ("ISC License", "ISC"), "0BSD": ("BSD Zero Clause License", "Zero-Clause BSD License", "0BSD"),
+    "Apache-2.0": ("Apache License, Version 2.0", "Apache License 2.0", "Apache 2.0 License", "Apache 2.0", "Apache-2.0"),
+    "BSD-2-Clause": ("BSD 2-Clause License", "2-Clause BSD License", "Simplified BSD License", "BSD-2-Clause"),
+    "BSD-3-Clause": ("BSD 3-Clause License", "3-Clause BSD License", "New BSD License", "Modified BSD License", "BSD-3-Clause"),
+    "Unlicense": ("Unlicense",), "Zlib": ("zlib License",), "BSL-1.0": ("Boost Software License, Version 1.0", "Boost Software License 1.0", "BSL-1.0"),
+    "CC0-1.0": ("CC0 1.0 Universal", "Creative Commons Zero v1.0 Universal", "CC0 1.0", "CC0"),
+    **{f"MPL-{v}": (f"Mozilla Public License, Version {v}", f"Mozilla Public License, v. {v}", f"Mozilla Public License {v}", f"MPL {v}")
+       for v in ("1.1", "2.0")},
+    **{f"{k}-{v}": tuple(
+        f"{name}{version}" for name, short in ((f"GNU {long} License", False), (f"GNU {k}", True), (k, True))
+        for n in {v, v.removesuffix(".0")}
+        for version in (f" v{n}", f" {n}", f", version {n}", f" version {n}") if not (short and "version" in version))
+       for k, long in _GNU.items() for v in ("2.0", "2.1", "3.0") if (k, v) in
+       {("GPL", "2.0"), ("GPL", "3.0"), ("LGPL", "2.1"), ("LGPL", "3.0"), ("AGPL", "3.0")}},
+    **{f"CC-{k}-{v}": tuple(
+        f"{name}{kind}" for name in (f"Creative Commons {long} {v}", f"CC {k} {v}")
+        for kind in ("", " License", f" {'International' if v == '4.0' else 'Unported'}", f" {'International' if v == '4.0' else 'Unported'} License"))
+       for k, long in _CC.items() for v in ("3.0", "4.0")},
+}
+_PHRASES = ("Licensed under {}", "Released under {}", "Distributed under {}", "License: {}",
+            *(f"This {what} is licensed under {{}}" for what in ("work", "project", "software")))
+
+
+def _notices() -> tuple[tuple[str, str, str], ...]:
+    """Every customary phrase with every name, and the SPDX tags."""
+    out = {}
+    for license_, names in _NAMES.items():
+        for name in names:
+            for phrase in _PHRASES:
+                for article in (("", "the ") + (("a ",) if license_.startswith("CC-") else ())) if "under" in phrase else ("",):
+                    text = phrase.format(article + name) + "."
+                    out.setdefault(re.sub(r"[^a-z0-9]+", " ", text.lower()), (license_, "notice", text))
+        for tail in ("", "-only", "-or-later") if license_.split("-")[0] in _GNU else ("",):
+            text = f"SPDX-License-Identifier: {license_}{tail}"
+            out[text] = (license_, "tag", text)
+    return tuple(out.values())
+
+
+def _whole_texts() -> tuple[tuple[str, str, str], ...]:
+    """The texts of the files, with and without what follows the end of the terms."""
+    out = []
+    for path in sorted(_TEXTS.glob("*.txt")):
+        text = path.read_text(encoding="utf-8")
+        out.append((path.stem, "text", text))
+        if _END in text:
+            out.append((path.stem, "text", text[: text.index(_END)]))
+            out.append((path.stem, "text", text[: text.index(_END) + len(_END)]))
+    return tuple(out)
+
+
 #: fixed values: public licence texts and customary notices, by SPDX name and form
-KNOWN = (
+_LISTED = (
     ("MIT", "text",
      "MIT License\n\nPermission is hereby granted, free of charge, to any person obtaining a copy of this software and "
      'associated documentation files (the "Software"), to deal in the Software without restriction, including without '
@@ -71,6 +133,7 @@ KNOWN = (
     ("GPL-3.0", "tag", "SPDX-License-Identifier: GPL-3.0-only"),
     ("BSD-3-Clause", "tag", "SPDX-License-Identifier: BSD-3-Clause"),
 )
+KNOWN = _LISTED + _whole_texts() + _notices()
 #: fixed values: spellings that mean the same, by the public matching guidelines for licence texts
 SPELLINGS = (
     ("licence", "license"), ("licenced", "licensed"), ("sub-license", "sublicense"), ("sub license", "sublicense"),
@@ -102,9 +165,11 @@ def whole(lines: Column) -> Column:
 
 def known_digests(spark: SparkSession, known: tuple[tuple[str, str, str], ...] = KNOWN) -> DataFrame:
     """digest, license: one row per canonical text of ``known``."""
-    rows = F.array(*[F.struct(F.lit(name).alias("license"), F.lit(text).alias("text")) for name, _, text in known])
+    # one literal, however many texts there are
+    rows = F.split(F.lit("\x01".join(f"{name}\x02{text}" for name, _, text in known)), "\x01")
+    pair = F.struct(F.split("k", "\x02")[0].alias("license"), F.split("k", "\x02")[1].alias("text"))
     return (
-        spark.range(1).select(F.explode(rows).alias("k"))
+        spark.range(1).select(F.explode(rows).alias("k")).select(pair.alias("k"))
         .select(F.sha2(whole(canonical_lines(F.col("k.text"))), 256).alias("digest"), F.col("k.license").alias("license"))
         .groupBy("digest").agg(F.min("license").alias("license"))
     )

@@ -5,6 +5,7 @@ import hashlib
 import json
 import random
 import re
+from pathlib import Path
 
 from bucketwise.llm import chat, decontaminate, license_scan, page_text, secret_scan
 
@@ -269,3 +270,19 @@ def test_licenses(spark):
     assert (by[None]["text_license"], by[None]["licenses"], by[7]["licenses"], by[7]["text_license"]) == ("MIT", "MIT", "MIT", None)
     assert by[6]["licenses"] == "" and by[5]["n_notices"] == 0
     assert license_scan.scan(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_licenses_are_covered(spark):
+    folder = Path(license_scan.__file__).parent / "licenses"
+    texts = {p.stem: p.read_text(encoding="utf-8") for p in folder.glob("*.txt")}
+    assert {"Apache-2.0", "BSD-2-Clause", "BSD-3-Clause", "GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0", "MPL-2.0", "Unlicense", "CC0-1.0"} <= set(texts)
+    lines = {
+        "Licensed under CC BY-NC 4.0.": "CC-BY-NC-4.0", "This work is licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License": "CC-BY-ND-4.0",
+        "Released under the GPL v3": "GPL-3.0", "SPDX-License-Identifier: LGPL-2.1-or-later": "LGPL-2.1", "Distributed under the Boost Software License, Version 1.0.": "BSL-1.0",
+        "License: BSD-2-Clause": "BSD-2-Clause",
+    }
+    names = sorted(texts)
+    rows = [(i, "(c) 2020 A. Person\n" + texts[n].replace("\n", " \n  ")) for i, n in enumerate(names)] + [(100 + i, f"words\n{x}\nwords") for i, x in enumerate(lines)]
+    got = {r["id"]: r for r in license_scan.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert [got[i]["text_license"] for i in range(len(names))] == names
+    assert [got[100 + i]["licenses"] for i in range(len(lines))] == list(lines.values())
