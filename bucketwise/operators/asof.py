@@ -3,14 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from bucketwise import constants as C
-
-
-def _bucket(ts: Column, seconds: int) -> Column:
-    return F.floor(F.unix_micros(ts) / F.lit(seconds * 1_000_000)).cast("bigint")
+from bucketwise.operators.lanes import LANE_ROWS, last_before
 
 
 def asof_join(
@@ -23,68 +21,29 @@ def asof_join(
     values: Sequence[str],
     tolerance_seconds: int | None = None,
     first_seen: Sequence[str] = (),
-    bucket_seconds: int = 86_400,
+    lane_rows: int = LANE_ROWS,
 ) -> DataFrame:
     """Latest ``right`` row at or before ``left_ts`` per key; left rows without one keep nulls.
 
-    Linear and free of hot tasks. Time is cut into buckets and the window runs inside (key,
-    bucket); what a bucket needs from its past is a single carried row, taken from a table with
-    one row per (key, bucket). Equal right timestamps collapse to the first in ``first_seen``
-    before the shuffle and repeated left (key, time) pairs are answered once.
+    A key with more than ``lane_rows`` rows is cut into lanes at quantiles of its own times; a lane gets one carried
+    row from its past. Equal right timestamps collapse to the first in ``first_seen`` before the shuffle and repeated
+    left (key, time) pairs are answered once. A null key matches nothing.
     """
     by = list(by)
+    known = reduce(Column.__and__, [F.col(c).isNotNull() for c in by], F.lit(True))
     point = F.struct(F.col(right_ts).alias("ts"), *[F.col(v) for v in values])
     tie = F.struct(*[F.col(c) for c in first_seen]) if first_seen else F.col(right_ts)
     points = (
-        right.filter(F.col(right_ts).isNotNull())
-        .groupBy(*by, F.col(right_ts).alias("_ts"))
+        right.filter(F.col(right_ts).isNotNull() & known)
+        .groupBy(*by, F.unix_micros(right_ts).alias("_ts"))
         .agg(F.min_by(point, tie).alias("_pt"))
-        .withColumn("_b", _bucket(F.col("_ts"), bucket_seconds))
-    )
-    wanted = (
-        left.select(*by, F.col(left_ts).alias("_ts"))
-        .filter(F.col("_ts").isNotNull())
-        .distinct()
-        .withColumn("_b", _bucket(F.col("_ts"), bucket_seconds))
-    )
-    no_point = F.lit(None).cast(points.schema["_pt"].dataType)
-
-    # one row per (key, bucket): the last point inside, and whether a left row asks for its past
-    edges = (
-        points.select(*by, "_b", "_ts", "_pt", F.lit(0).alias("_ask"))
-        .unionByName(
-            wanted.select(
-                *by, "_b", F.lit(None).cast("timestamp").alias("_ts"), no_point.alias("_pt"),
-                F.lit(1).alias("_ask"),
-            )
-        )
-        .groupBy(*by, "_b")
-        .agg(F.max_by("_pt", "_ts").alias("_pt"), F.max("_ask").alias("_ask"))
-    )
-    past = Window.partitionBy(*by).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    carried = (
-        edges.withColumn("_pt", F.last("_pt", ignorenulls=True).over(past))
-        .filter((F.col("_ask") == 1) & F.col("_pt").isNotNull())
-        .select(*by, "_b", F.col("_pt.ts").alias("_ts"), "_pt", F.lit(0).alias("_q"))
-    )
-    lane = (
-        points.select(*by, "_b", "_ts", "_pt", F.lit(0).alias("_q"))
-        .unionByName(carried)
-        .unionByName(wanted.select(*by, "_b", "_ts", no_point.alias("_pt"), F.lit(1).alias("_q")))
-    )
-    upto = (
-        Window.partitionBy(*by, "_b")
-        .orderBy("_ts", "_q")
-        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
+    wanted = left.filter(F.col(left_ts).isNotNull() & known).select(*by, F.unix_micros(left_ts).alias("_ts"))
     hit = F.col("_pt")
     if tolerance_seconds is not None:
-        age = F.unix_micros(F.col("_ts")) - F.unix_micros(F.col("_pt.ts"))
-        hit = F.when(age <= tolerance_seconds * 1_000_000, hit)
-    answers = (
-        lane.withColumn("_pt", F.last("_pt", ignorenulls=True).over(upto))
-        .filter("_q = 1")
-        .select(*by, F.col("_ts").alias(left_ts), hit.alias("_pt"))
+        hit = F.when(F.col("_ts") - F.unix_micros(F.col("_pt.ts")) <= tolerance_seconds * 1_000_000, hit)
+    answers = last_before(wanted, points, by, "_ts", "_pt", lane_rows).select(
+        *by, F.timestamp_micros("_ts").cast(left.schema[left_ts].dataType).alias(left_ts), hit.alias("_pt")
     )
     return left.join(answers, [*by, left_ts], "left").select(
         *[left[c] for c in left.columns],
@@ -102,6 +61,7 @@ def asof_price(
     observed_at: str,
     price: str,
     first_seen: Sequence[str] = (),
+    lane_rows: int = LANE_ROWS,
 ) -> DataFrame:
     """Bounded as-of price: only finite probabilities count, look-back seven days, inclusive."""
     p = F.col(price)
@@ -115,6 +75,7 @@ def asof_price(
         values=[price],
         tolerance_seconds=C.PRICE_LOOKBACK_DAYS * 86_400,
         first_seen=first_seen,
+        lane_rows=lane_rows,
     )
 
 

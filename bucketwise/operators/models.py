@@ -8,12 +8,13 @@ from bucketwise import constants as C
 from bucketwise.functions.classify import is_yes, settlement_degree
 from bucketwise.functions.text import celsius_to_fahrenheit, group
 from bucketwise.functions.times import month_of
+from bucketwise.operators import intervals as I
 from bucketwise.operators.keyed import first_per_key
+from bucketwise.operators.lanes import last_before, running_total
+from bucketwise.sources.scratch import materialize
 
 # first-seen order of snapshot rows inside one date or event
 ROW_ORDER = ("token_id", "event_date", "condition_id")
-# tasks that share the cases of stations without history, whose errors are all errors there are
-WORLD_SHARES = 16
 
 
 # ---- split -----------------------------------------------------------------------------
@@ -310,113 +311,139 @@ def settled_value(unit: Column, value: Column) -> Column:
     return F.when(unit == "F", degree).otherwise(value)
 
 
-def rung_accepts(
-    unit: Column, priority: Column, lo: Column, hi: Column, settled: Column
-) -> Column:
-    """Does a settled value belong to this rung? Single-degree Celsius rungs reach strictly less
-    than half a degree."""
-    exact = F.when(unit == "F", settled == settlement_degree(lo).cast("double")).otherwise(
-        F.abs(settled - lo) < 0.5
-    )
-    return F.coalesce(
-        F.when(priority == 0, exact)
-        .when(priority == 1, (lo <= settled) & (settled <= hi))
-        .when(priority == 2, settled <= hi)
-        .when(priority == 3, settled >= lo),
-        F.lit(False),
-    )
+def _half_degree(at: Column, side: int) -> tuple[Column, Column]:
+    """(bound, open) of the doubles whose difference from ``at``, as rounded, is under a half on one side.
 
+    Next to a half doubles lie 2^-54 apart, and a tie between two of them rounds to the half. So the difference reaches it
+    up to 2^-55 before ``at + 0.5`` where doubles are fine enough to show it.
+    """
+    half = at + side * 0.5
+    outside = lambda x: F.abs(x - at) >= 0.5
+    tries = [half - side * 2.0**-54, half - side * 2.0**-55, half]
+    bound = F.when(outside(tries[0]), tries[0]).when(outside(tries[1]), tries[1]).otherwise(half)
+    return bound, outside(tries[0]) | outside(tries[1]) | outside(half)
 
-def _ladders(rungs: DataFrame) -> DataFrame:
-    """(event_key, unit, ladder): an event's distinct rungs, sorted by priority and token."""
-    return rungs.groupBy("event_key").agg(
-        F.first("unit").alias("unit"),
-        F.array_sort(F.collect_list(F.struct("priority", *ROW_ORDER, "lo", "hi"))).alias("ladder"),
-    )
+
+def rung_spans(rungs: DataFrame) -> DataFrame:
+    """(event_key, start, start_open, end, end_open, rung): the settled values that a rung accepts, as an interval.
+
+    ``rung`` sorts as winners do: exact before range before below before above, first token inside a kind.
+    """
+    lo, hi, priority, is_f = F.col("lo"), F.col("hi"), F.col("priority"), F.col("unit") == "F"
+    degree = settlement_degree(lo).cast("double")
+    exact = priority == 0
+    low, low_open = _half_degree(lo, -1)
+    high, high_open = _half_degree(lo, 1)
+    start = F.when(exact, F.when(is_f, degree).otherwise(low)).when(priority.isin(1, 3), lo)
+    end = F.when(exact, F.when(is_f, degree).otherwise(high)).when(priority.isin(1, 2), hi)
+    near = exact & ~is_f
+    return rungs.select(
+        "event_key", start.alias("start"), (near & low_open).alias("start_open"), end.alias("end"), (near & high_open).alias("end_open"),
+        F.struct("priority", *ROW_ORDER).alias("rung"),
+    ).where("not (isnan(coalesce(start, 0D)) or isnan(coalesce(end, 0D)) or coalesce(start > end, false))")
 
 
 def match_values(values: DataFrame, rungs: DataFrame) -> DataFrame:
     """Adds the winning ``token_id`` to (event_key, value, ...) rows; null when none fits.
 
-    Winner: exact before range before below before above, first token inside a kind. A ladder holds
-    an event's distinct rungs, so its length is that of one market's listing.
+    Winner: exact before range before below before above, first token inside a kind. An event's rungs are cut into
+    disjoint segments, in which settled values are looked up in order; events with very many rungs or values are spread.
     """
-    hit = F.get(
-        F.filter(
-            F.col("ladder"),
-            lambda r: rung_accepts(F.col("unit"), r["priority"], r["lo"], r["hi"], F.col("_settled")),
-        ),
-        F.lit(0),
+    rungs = materialize(rungs, "rungs")
+    spans = rung_spans(rungs)
+    numbered = materialize(I.bounds(spans, ["event_key"]), "numbered")
+    units = rungs.groupBy("event_key").agg(F.first("unit").alias("unit"))
+    settled = materialize(values.join(units, "event_key", "left").withColumn("_settled", settled_value(F.col("unit"), F.col("value"))), "settled")
+    where = materialize(I.segment_of(settled.where("unit is not null"), numbered, ["event_key"], "_settled"), "where")
+    tree = materialize(I.nodes(spans, numbered, ["event_key"], "rung"), "tree")
+    hits = (
+        where.join(I.winners(where.select("event_key", "segment").distinct(), tree, ["event_key"]), ["event_key", "segment"])
+        .select("event_key", "_settled", F.col("winner").alias("_hit"))
     )
     return (
-        values.join(_ladders(rungs), "event_key", "left")
-        .withColumn("_settled", settled_value(F.col("unit"), F.col("value")))
-        .withColumn("_hit", hit)
+        settled.join(hits, ["event_key", "_settled"], "left")
         .withColumns({c: F.col(f"_hit.{c}") for c in ROW_ORDER})
-        .drop("_hit", "_settled", "unit", "ladder")
+        .select(*values.columns, *ROW_ORDER)
+    )
+
+
+def _below(unit: Column, implied: Column, bound: Column, behind: Column) -> Column:
+    """Does the implied value settle before the bound (or before what lies behind it)?"""
+    settled = settled_value(unit, implied)
+    return (settled < bound) | (behind & (settled == bound))
+
+
+def errors_below(asked: DataFrame, errors: DataFrame) -> DataFrame:
+    """Adds ``below`` to (source, forecast, unit, bound, behind): how many errors move the forecast below the bound.
+
+    A prefix sum of the source's histogram gives all errors that are clearly below. The rounding of forecast + error
+    and of whole degrees can only matter next to the bound: those few errors, found by an equality of thousandths, are
+    tested as they are. No error is compared with a bound otherwise.
+    """
+    edge = F.when(
+        F.col("unit") == "F",
+        (F.when(F.col("behind"), F.floor("bound") + 0.5).otherwise(F.ceil("bound") - 0.5) - 32.0) * 5.0 / 9.0,
+    ).otherwise(F.col("bound"))
+    slack = F.lit(1e-6) + (F.abs("bound") + F.abs("forecast")) * 1e-12
+    asked = materialize(asked.withColumn("_edge", edge - F.col("forecast")).withColumn("error", F.col("_edge") - slack).withColumn("_top", F.col("_edge") + slack), "asked")
+    sums = running_total(materialize(errors, "errors"), ["source"], "error", F.col("n"), "_upto")
+    upto = last_before(asked, sums.select("source", "error", "_upto"), ["source"], "error", "_upto")
+    cell = lambda x: F.floor(F.col(x) * 1000).cast("long")
+    key = ["source", "forecast", "unit", "bound", "behind"]
+    near = (
+        asked.select(*key, F.col("error").alias("_from"), "_top", F.explode(F.sequence(cell("error"), cell("_top"))).alias("_cell"))
+        .join(errors.withColumn("_cell", cell("error")), ["source", "_cell"])
+        .where("error > _from and error <= _top")
+        .where(_below(F.col("unit"), F.col("forecast") + F.col("error"), F.col("bound"), F.col("behind")))
+        .groupBy(*key).agg(F.sum("n").alias("_near"))
+    )
+    return (
+        asked.join(upto, ["source", "error"], "left").join(near, key, "left")
+        .select(*key, (F.coalesce("_upto", F.lit(0)) + F.coalesce("_near", F.lit(0))).alias("below"))
     )
 
 
 def predict_errors(rows: DataFrame, fit: DataFrame) -> DataFrame:
     """(event_key, token_id, label, probability) from the forecast-error model.
 
-    Every training error moves the event's forecast to an implied value; the share of implied
-    values settling in a bucket is its probability. Stations without history use all errors. Error
-    histograms hold one row per distinct error, at most one per training day and station. Events
-    with the same station, forecast and ladder get the same answer, so each such case is computed
-    once.
+    Every training error moves the event's forecast to an implied value; the share of implied values settling in a
+    bucket is its probability. Stations without history use all errors. An event's ladder is cut into disjoint segments;
+    a segment's weight is the difference of two prefix sums of the error histogram, each looked up once for all events
+    that ask for the same source, forecast and bound.
     """
-    heads = _event_heads(rows).select(
-        "event_key", _known(F.col("station")).alias("station"), "forecast_daily_max_c"
-    )
+    heads = _event_heads(rows).select("event_key", _known(F.col("station")).alias("station"), "forecast_daily_max_c")
     with_history = fit.filter("station IS NOT NULL").select("station").distinct()
     world = F.lit("\u0001all")
-    source = heads.join(
-        with_history.withColumn("_own", F.lit(True)), "station", "left"
-    ).select(
-        "event_key",
-        F.when(F.col("_own"), F.col("station")).otherwise(world).alias("_source"),
+    source = heads.join(with_history.withColumn("_own", F.lit(True)), "station", "left").select(
+        "event_key", F.when(F.col("_own"), F.col("station")).otherwise(world).alias("source"),
         F.col("forecast_daily_max_c").alias("forecast"),
-    ).filter("forecast IS NOT NULL")
-    is_world = F.col("_source") == world
-    # the global histogram meets the cases of all stations without history: each share of them has a copy
-    shares = F.when(is_world, F.sequence(F.lit(0), F.lit(WORLD_SHARES - 1))).otherwise(F.array(F.lit(0)))
-    errors = fit.select(F.coalesce("station", world).alias("_source"), "error", "n").withColumn(
-        "_share", F.explode(shares)
-    )
-
-    # equal cases are grouped by their rungs without token names and answered once
-    shaped = source.join(_ladders(ladder_rungs(rows)), "event_key").withColumn(
-        "_shape",
-        F.transform("ladder", lambda r: F.struct(r["priority"], r["lo"], r["hi"])),
-    )
-    case = ["_source", "forecast", "unit", "_shape"]
-    # the join below multiplies rows, so the cases keep full width whatever their own size
-    width = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    share = F.when(is_world, F.pmod(F.xxhash64(*case), F.lit(WORLD_SHARES))).otherwise(0).cast("int")
-    cases = shaped.select(*case).distinct().repartition(width, *case).withColumn("_share", share)
-    position = F.array_position(
-        F.transform(
-            "_shape",
-            lambda r: rung_accepts(
-                F.col("unit"), r["priority"], r["lo"], r["hi"], F.col("_settled")
-            ),
-        ),
-        F.lit(True),
-    )
-    # rung order inside a kind is token order, so equal shapes list their rungs alike
-    hits = (
-        cases.join(errors, ["_source", "_share"])
-        .withColumn("_settled", settled_value(F.col("unit"), F.col("forecast") + F.col("error")))
-        .withColumn("_pos", position.cast("int"))  # 0 = no rung; such groups meet no rung below
-        .groupBy(*case, "_pos")
-        .agg(F.sum("n").alias("weight"))
-    )
+    ).filter("forecast IS NOT NULL AND abs(forecast) < double('inf')")
+    errors = fit.select(F.coalesce("station", world).alias("source"), "error", "n").where("abs(error) < double('inf')")
+    totals = errors.groupBy("source").agg(F.sum("n").alias("total"))
+
+    rungs = materialize(ladder_rungs(rows), "rungs")
+    spans = rung_spans(rungs)
+    numbered = materialize(I.bounds(spans, ["event_key"]), "numbered")
+    tree = materialize(I.nodes(spans, numbered, ["event_key"], "rung"), "tree")
+    units = rungs.groupBy("event_key").agg(F.first("unit").alias("unit"))
+    cases = materialize(source.join(units, "event_key").join(totals, "source", "left"), "cases")
+    # the border in front of segment 2 k + 1 is the bound, that in front of 2 k + 2 lies behind it
+    borders = materialize(
+        numbered.join(cases, "event_key").withColumn("behind", F.explode(F.array(F.lit(False), F.lit(True))))
+        .withColumn("segment", 2 * F.col("k") + 1 + F.col("behind").cast("int")),
+        "borders",
+    )
+    case = ["source", "forecast", "unit", "bound", "behind"]
+    below = borders.join(errors_below(borders.select(*case).distinct(), errors), case).select("event_key", "segment", "below")
+    below = materialize(below, "below")
+    segments = borders.select("event_key", "segment").unionByName(cases.select("event_key", F.lit(0).cast("long").alias("segment")))
     weights = (
-        shaped.select("event_key", *case, F.posexplode("ladder").alias("_i", "_rung"))
-        .withColumn("_pos", F.col("_i") + 1)
-        .join(hits, [*case, "_pos"])
-        .select("event_key", *[f"_rung.{c}" for c in ROW_ORDER], "weight")
+        I.winners(segments, tree, ["event_key"])
+        .join(below, ["event_key", "segment"], "left").withColumnRenamed("below", "_low").withColumn("segment", F.col("segment") + 1)
+        .join(below, ["event_key", "segment"], "left").join(cases.select("event_key", "total"), "event_key")
+        .groupBy("event_key", "winner")
+        .agg(F.sum(F.coalesce("below", "total", F.lit(0)) - F.coalesce("_low", F.lit(0))).alias("weight"))
+        .select("event_key", *[f"winner.{c}" for c in ROW_ORDER], "weight")
     )
     labelled = rows.select(
         "event_key", *ROW_ORDER, F.coalesce("bucket_label", F.lit("")).alias("label")

@@ -1,18 +1,20 @@
 from __future__ import annotations
 
+import math
 import random
 from datetime import datetime, timedelta
 
 import pytest
 from pyspark.sql import functions as F
 
-from bucketwise.operators import asof, groups, keyed, metrics, models, normalize as N, validate as V
+from bucketwise.operators import asof, groups, keyed, lanes, metrics, models, normalize as N, validate as V
 from bucketwise.operators.weather import localize_series
 
 T0 = datetime(2024, 1, 1)
 
 
-def test_asof_matches_brute_force_with_one_hot_key(spark):
+@pytest.mark.parametrize("lane_rows", [asof.LANE_ROWS, 40])
+def test_asof_matches_brute_force_with_one_hot_key(spark, lane_rows):
     rng = random.Random(7)
     points, asks = [], []
     for i in range(600):
@@ -26,7 +28,7 @@ def test_asof_matches_brute_force_with_one_hot_key(spark):
     got = {
         r.id: r.p
         for r in asof.asof_price(
-            left, right, by=["k"], decision_ts="at", observed_at="seen", price="p", first_seen=["seq"]
+            left, right, by=["k"], decision_ts="at", observed_at="seen", price="p", first_seen=["seq"], lane_rows=lane_rows
         ).collect()
     }
     for i, key, at in asks:
@@ -155,14 +157,102 @@ def test_error_model_shares(spark):
 
 
 def test_wide_ladder_matches(spark):
-    n = 2000
-    rows = ladder(spark, [("exact", float(d), float(d)) for d in range(n)]).withColumn("event_key", F.lit("k")).withColumns(
-        {"temperature_celsius_min": F.col("temperature_native_min"), "temperature_celsius_max": F.col("temperature_native_max"),
-         "temperature_unit": F.lit("C")}
+    n = 200_000
+    rungs = spark.range(n).select(
+        F.lit("k").alias("event_key"), F.lit("C").alias("unit"), F.lit(0).alias("priority"), F.col("id").cast("double").alias("lo"),
+        F.col("id").cast("double").alias("hi"), F.concat(F.lit("t"), "id").alias("token_id"), F.lit("d").alias("event_date"), F.lit("c").alias("condition_id"),
     )
-    values = spark.createDataFrame([("k", v) for v in (0.0, 0.4, 3.7, 1234.0, 1999.49, 2100.0)], "event_key string, value double")
-    got = [r.token_id for r in models.match_values(values, models.ladder_rungs(rows)).orderBy("value").collect()]
-    assert got == ["t0", "t0", "t4", "t1234", "t1999", None]
+    values = spark.createDataFrame([("k", v) for v in (0.0, 0.4, 3.7, 1234.0, 199_999.49, 200_100.0)], "event_key string, value double")
+    matched = models.match_values(values, rungs)
+    assert "collect_list" not in matched._jdf.queryExecution().toString()
+    assert [r.token_id for r in matched.orderBy("value").collect()] == ["t0", "t0", "t4", "t1234", "t199999", None]
+
+
+def accepts(unit, kind, lo, hi, value):
+    if unit == "F":
+        value = value * 9.0 / 5.0 + 32.0
+        value = float(math.floor(value + 0.5) if value >= 0 else math.ceil(value - 0.5))
+    if kind == 0:
+        whole = math.floor(lo + 0.5) if lo >= 0 else math.ceil(lo - 0.5)
+        return value == whole if unit == "F" else abs(value - lo) < 0.5
+    return (kind not in (1, 3) or value >= lo) and (kind not in (1, 2) or value <= hi)
+
+
+def random_ladders(seed, events):
+    """Overlapping rungs of all kinds on tenths, with bounds around zero, and values next to their bounds."""
+    rng = random.Random(seed)
+    rungs, values = [], []
+    for e in range(events):
+        unit, key = rng.choice("CF"), f"e{e}"
+        near = []
+        for i in range(rng.randrange(1, 14)):
+            lo, kind = rng.choice([rng.randrange(-12, 12) / 10, float(rng.randrange(-20, 60))]), rng.randrange(4)
+            hi = lo + rng.choice([0.0, 0.1, 1.0, 30.0, -1.0])
+            rungs.append((key, unit, kind, lo, hi, f"t{rng.randrange(100):02d}{i}", "d", "c"))
+            near += [lo - 0.5, lo + 0.5, lo, hi, lo - 0.4, hi + 0.3]
+        if unit == "F":
+            near = [(x + rng.choice([0.0, 0.5, -0.5]) - 32) * 5 / 9 for x in near]
+        values += {(key, y) for x in near for y in (x, math.nextafter(x, -99), math.nextafter(x, 99))}
+    return rungs, values
+
+
+def winner(rungs, key, value):
+    fit = [(r[2], r[5]) for r in rungs if r[0] == key and accepts(r[1], r[2], r[3], r[4], value)]
+    return min(fit)[1] if fit else None
+
+
+RUNGS = "event_key string, unit string, priority int, lo double, hi double, token_id string, event_date string, condition_id string"
+
+
+def test_overlapping_ladders_equal_brute_force(spark):
+    rungs, values = random_ladders(3, 60)
+    got = models.match_values(
+        spark.createDataFrame(values + [("none", 1.0), ("e0", None)], "event_key string, value double"), spark.createDataFrame(rungs, RUNGS)
+    ).collect()
+    assert len(got) == len(values) + 2
+    for r in got:
+        assert r.token_id == (None if r.value is None else winner(rungs, r.event_key, r.value)), r
+
+
+@pytest.mark.parametrize("lane_rows", [lanes.LANE_ROWS, 7])
+def test_prefix_sums_equal_brute_force(spark, lane_rows, monkeypatch):
+    monkeypatch.setattr(lanes.running_total, "__defaults__", (lane_rows,))
+    monkeypatch.setattr(lanes.last_before, "__defaults__", (lane_rows,))
+    rng = random.Random(9)
+    errors = [(s, rng.randrange(-300, 300) / 10 + rng.choice([0.0, 1e-15, 1e-9]), rng.randrange(1, 5)) for s in "ab" for _ in range(150)]
+    asked = {
+        (rng.choice("abz"), rng.randrange(-50, 300) / 10, rng.choice("CF"), rng.choice([float(rng.randrange(-20, 90)), rng.randrange(-90, 90) / 10]), rng.random() < 0.5)
+        for _ in range(400)
+    }
+    got = models.errors_below(
+        spark.createDataFrame(list(asked), "source string, forecast double, unit string, bound double, behind boolean"),
+        spark.createDataFrame(errors, "source string, error double, n bigint").groupBy("source", "error").agg(F.sum("n").alias("n")),
+    ).collect()
+    assert len(got) == len(asked)
+    for r in got:
+        def settles(x):
+            if r.unit == "C":
+                return x
+            x = x * 9.0 / 5.0 + 32.0
+            return math.floor(x + 0.5) if x >= 0 else math.ceil(x - 0.5)
+        want = sum(n for s, e, n in errors if s == r.source and (settles(r.forecast + e) < r.bound or r.behind and settles(r.forecast + e) == r.bound))
+        assert r.below == want, r
+
+
+def test_one_day_of_one_key_is_cut_into_lanes(spark):
+    n = 20_000
+    rows = spark.range(n).select(
+        F.when(F.col("id") % 10 == 0, F.lit("k")).otherwise("hot").alias("k"), F.when(F.col("id") % 10 == 0, F.col("id") * 1000).otherwise(F.col("id")).alias("at"), "id"
+    )
+    sizes = lanes.with_lane(rows, ["k"], "at", lane_rows=5000).groupBy("k", "_lane").count().collect()
+    hot = [r["count"] for r in sizes if r.k == "hot"]
+    assert sum(hot) == n * 9 // 10 and len(hot) > 500 and max(hot) < 200
+    assert [r["count"] for r in sizes if r.k == "k"] == [n // 10]
+    total = lanes.running_total(rows, ["k"], "at", F.col("id"), "upto", lane_rows=5000).where("k = 'hot'").orderBy("at").collect()
+    want = 0
+    for r in total:
+        want += r.id
+        assert r.upto == want
 
 
 def test_no_history_is_uniform(spark):
