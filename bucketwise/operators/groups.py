@@ -11,7 +11,7 @@ from bucketwise.functions import text as X
 from bucketwise.functions.classify import is_yes
 from bucketwise.functions.identity import dedup_key, key_text, with_identity
 from bucketwise.functions.times import month_name, month_number
-from bucketwise.operators.keyed import flag_first_seen
+from bucketwise.operators.keyed import first_rows, with_row_id
 from bucketwise.sources.scratch import materialize
 
 TEMPERATURE_KINDS = ("exact", "range", "above", "below")
@@ -69,6 +69,14 @@ def child_evidence(df: DataFrame) -> DataFrame:
     )
 
 
+# what the verdict on a group reads
+VERDICT_COLUMNS = (
+    "event_key", "identity", "token_id", "question", "slug", "event_id", "event_slug", "city", "station_icao", "event_date",
+    "temperature_unit", "temperature_native_min", "temperature_native_max", "bucket_label", "bucket_kind", "settlement_label",
+    "neg_risk_market_id", "source_station_icao", "provenance_urls",
+)
+
+
 def group_facts(rows: DataFrame) -> DataFrame:
     """One row per event_key with everything the coherence checks need.
 
@@ -432,11 +440,17 @@ def route_event_groups(
         "_dedup",
         dedup_key(F.col("condition_id"), F.col("token_id"), F.col("event_date"), F.col("decision_ts")),
     )
-    # four branches read the flagged rows: facts, labels, ladder and the final join
-    flagged = materialize(flag_first_seen(keyed, ["event_key", "_dedup"], order), "event-groups")
-    clear = flagged.filter(~F.col("identity.ambiguous") & F.col("is_first"))
-    verdicts = group_verdicts(clear, order).select("event_key", "code", "detail")
-    out = flagged.join(verdicts, "event_key", "left")
+    rows = with_row_id(keyed, "event-groups")
+    # first rows and verdicts are found on narrow columns; the wide rows meet both in one join
+    firsts = materialize(first_rows(rows, ["event_key", "_dedup"], order), "firsts")
+    clear = rows.filter(~F.col("identity.ambiguous")).join(firsts, "_row", "left_semi")
+    verdicts = group_verdicts(materialize(clear.select(*VERDICT_COLUMNS, *order), "clear"), order).select("event_key", "code", "detail")
+    judged = (
+        rows.select("_row", "event_key").join(firsts.withColumn("is_first", F.lit(True)), "_row", "left")
+        .join(verdicts, "event_key", "left")
+        .select("_row", F.coalesce("is_first", F.lit(False)).alias("is_first"), "code", "detail")
+    )
+    out = rows.join(judged, "_row")
     ambiguous, copy = F.col("identity.ambiguous"), ~F.col("is_first")
     return (
         out.withColumn(
@@ -451,5 +465,5 @@ def route_event_groups(
             .when(copy, F.col("_dedup"))
             .otherwise(F.col("detail")),
         )
-        .drop("_dedup", "is_first", "code", "detail", "identity")
+        .drop("_row", "_dedup", "is_first", "code", "detail", "identity")
     )

@@ -8,6 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from bucketwise import constants as C
+from bucketwise.sources.scratch import materialize
 
 
 def _cols(names: Sequence[str | Column]) -> list[Column]:
@@ -24,29 +25,29 @@ def first_per_key(df: DataFrame, keys: Sequence, order: Sequence) -> DataFrame:
     return df.withColumn("_rn", F.row_number().over(w)).filter("_rn = 1").drop("_rn")
 
 
+def with_row_id(df: DataFrame, name: str = "rows") -> DataFrame:
+    """The rows as a table with a number ``_row`` of their own: narrow columns can be judged apart and joined back."""
+    return materialize(df.withColumn("_row", F.monotonically_increasing_id()), name)
+
+
+def first_rows(rows: DataFrame, keys: Sequence, order: Sequence) -> DataFrame:
+    """``_row`` of the first row of every key: a map-side combined minimum over key, order and row number."""
+    names = [f"_k{i}" for i in range(len(keys))]
+    narrow = rows.select(
+        *[c.alias(n) for n, c in zip(names, _cols(keys), strict=True)], F.struct(*_cols(order), F.col("_row")).alias("_at")
+    )
+    return narrow.groupBy(*names).agg(F.min("_at").alias("_at")).select("_at._row")
+
+
 def flag_first_seen(df: DataFrame, keys: Sequence, order: Sequence) -> DataFrame:
     """Adds ``is_first``; keeps every row.
 
-    Two rounds: rows are ranked inside (key, salt), then only the round winners of a key compete
-    while the losers stay spread over the salts. No task ever sees all copies of a hot key. The
-    salt mixes the input partition with the row's own order values and is stable on task retry.
+    The winners are chosen on key, order and row number alone; only the flag is joined back, by row number, so wide
+    rows are shuffled once and no task sees the copies of a hot key.
     """
-    keys_c, order_c = _cols(keys), _cols(order)
-    spark = df.sparkSession
-    salts = max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    salted = df.withColumn("_part", F.spark_partition_id()).withColumn(
-        "_salt", F.pmod(F.xxhash64(F.col("_part"), *order_c), F.lit(salts)).cast("int")
-    )
-    local = Window.partitionBy(*keys_c, F.col("_salt")).orderBy(*order_c)
-    ranked = salted.withColumn("_local", F.row_number().over(local)).withColumn(
-        "_round", F.when(F.col("_local") == 1, F.lit(-1)).otherwise(F.col("_salt"))
-    )
-    final = Window.partitionBy(*keys_c, F.col("_round")).orderBy(*order_c)
-    return (
-        ranked.withColumn("_final", F.row_number().over(final))
-        .withColumn("is_first", (F.col("_round") == -1) & (F.col("_final") == 1))
-        .drop("_part", "_salt", "_local", "_round", "_final")
-    )
+    rows = with_row_id(df)
+    firsts = first_rows(rows, keys, order).withColumn("_first", F.lit(True))
+    return rows.join(firsts, "_row", "left").withColumn("is_first", F.col("_first").isNotNull()).drop("_row", "_first")
 
 
 def split_first_seen(
