@@ -5,12 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from bucketwise.functions.classify import is_yes
-from bucketwise.operators import keyed as K, normalize as N
+from bucketwise.operators import keyed as K, merge, normalize as N
 from bucketwise.plans.bindings import (
     SEQ_COLUMNS, hourly, hourly_sql, market_sql, price_payloads, snapshot_sql, snapshots,
     snapshots_unique, table,
 )
-from bucketwise.plans.registry import query, rounded
+from bucketwise.plans.registry import SQL, query, rounded
 from bucketwise.plans.text_queries import raw_markets
 from bucketwise.sources import rawstore, snapshots as files
 from bucketwise.sources.scratch import new_path
@@ -161,8 +161,34 @@ bw AS (SELECT *, row_number() OVER k AS last, first_value(snapshot_id) OVER (PAR
     round(o_totalprice, 2) AS price FROM bw WHERE last = 1""",
 )
 def upsert_children(spark: SparkSession, sf_dir: str) -> DataFrame:
-    o = table(spark, sf_dir, "orders")
-    parents = o.select(
+    parents, children = _books(spark, sf_dir)
+    kept, levels = K.upsert_with_children(
+        parents, children, natural_key=["token_id", "observed", "hash"], id_col="snapshot_id",
+        version=["version"],
+    )
+    return kept.join(levels, "snapshot_id").select(
+        "snapshot_id", "token_id", "hash", "version", "level_index", F.round("price", 2).alias("price")
+    )
+
+
+@query("merge_latest", SQL["upsert_latest"])
+def merge_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stored table takes the delta in two merges; each rewrites the buckets it touches."""
+    lines, path = table(spark, sf_dir, "lineitem"), new_path(spark, "lines")
+    version = ["l_shipdate", *[c for c in SEQ_COLUMNS if c != "l_shipdate"]]
+    keys = ["l_orderkey", "l_linenumber"]
+    base = lines.filter("l_linestatus = 'F'")
+    merge.create(K.first_per_key(base, keys, [F.col(c).desc() for c in version]), path, keys, buckets=32)
+    for part in ("l_linestatus <> 'F' and l_orderkey % 2 = 0", "l_linestatus <> 'F' and l_orderkey % 2 <> 0"):
+        merge.upsert_into(path, lines.filter(part), version)
+    return merge.read(spark, path).select(
+        "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_quantity", "l_linestatus",
+        F.date_format("l_shipdate", "yyyy-MM-dd").alias("shipped"),
+    )
+
+
+def _books(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    parents = table(spark, sf_dir, "orders").select(
         F.concat(F.lit("b"), "o_orderkey").alias("snapshot_id"), F.concat(F.lit("a"), "o_custkey").alias("token_id"),
         F.date_trunc("year", "o_orderdate").alias("observed"),
         F.when(F.col("o_orderstatus") != "P", F.col("o_orderstatus")).alias("hash"),
@@ -171,10 +197,23 @@ def upsert_children(spark: SparkSession, sf_dir: str) -> DataFrame:
     children = parents.select(
         "snapshot_id", "version", F.explode(F.array(F.lit(0), F.lit(1))).alias("level_index"), "price"
     )
-    kept, levels = K.upsert_with_children(
-        parents.drop("price"), children, natural_key=["token_id", "observed", "hash"], id_col="snapshot_id",
-        version=["version"],
-    )
+    return parents.drop("price"), children
+
+
+@query("merge_children", SQL["upsert_children"])
+def merge_children(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Books arrive in three writes by version; parents and their levels are merged into stored tables."""
+    parents, children = _books(spark, sf_dir)
+    home = new_path(spark, "books")
+    merge.create(parents.limit(0), f"{home}/parents", ["token_id", "observed", "hash"], buckets=32)
+    merge.create(children.drop("version").limit(0), f"{home}/levels", ["snapshot_id"], buckets=32)
+    edges = parents.agg(F.percentile_approx("version", [0.4, 0.8]).alias("v")).first()["v"] or [0, 0]
+    place = F.when(F.col("version") <= edges[0], 0).when(F.col("version") <= edges[1], 1).otherwise(2)
+    for i in range(3):
+        merge.upsert_parents_into(
+            f"{home}/parents", f"{home}/levels", parents.where(place == i), children.where(place == i), id_col="snapshot_id", version=["version"]
+        )
+    kept, levels = merge.read(spark, f"{home}/parents"), merge.read(spark, f"{home}/levels")
     return kept.join(levels, "snapshot_id").select(
         "snapshot_id", "token_id", "hash", "version", "level_index", F.round("price", 2).alias("price")
     )
@@ -231,7 +270,7 @@ def stream_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     def judge(batch: DataFrame) -> DataFrame:
         return N.judge_trades(raw_trades(batch), ["seq"])
 
-    ingest_stream(source, f"{home}/table", f"{home}/checkpoint", judge)
+    ingest_stream(source, f"{home}/table", f"{home}/checkpoint", judge, ["trade_id"], ["seq"], compact_every=4)
     current, _ = N.split_judged(read_judged(spark, f"{home}/table"), ["seq"])
     return rounded(current.select("trade_id", "token_id", "price", "size", "condition_id"))
 

@@ -5,8 +5,8 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from bucketwise.operators import normalize as N, weather as W
-from bucketwise.sources import rawstore, snapshots as files, stations as S
+from bucketwise.operators import keyed, merge, normalize as N, weather as W
+from bucketwise.sources import rawstore, snapshots as files, stations as S, versions
 from bucketwise.streaming import ingest
 
 FIELDS = ("transactionHash", "conditionId", "asset", "timestamp", "side", "price", "size", "outcome", "outcomeIndex", "id", "market")
@@ -32,14 +32,73 @@ def test_stream_result_does_not_depend_on_the_cut(spark, tmp_path, cut):
     got, bad = N.split_judged(ingest.read_judged(spark, f"{tmp_path}/table"), ["seq"])
     assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
     assert sorted(map(tuple, bad.collect())) == sorted(map(tuple, rejects.collect())) != []
-    # a replayed batch replaces its own folder
-    before = spark.read.parquet(f"{tmp_path}/table").count()
-    batch = spark.read.parquet(f"{tmp_path}/table/batch_id=0").collect()
-    spark.createDataFrame(batch, N.judge_trades(rows, ["seq"]).schema).write.mode("overwrite").parquet(f"{tmp_path}/table/batch_id=0")
-    assert spark.read.parquet(f"{tmp_path}/table").count() == before
-    ingest.compact(spark, f"{tmp_path}/table", f"{tmp_path}/small", ["trade_id"], ["seq"])
-    again, _ = N.split_judged(spark.read.parquet(f"{tmp_path}/small"), ["seq"])
-    assert sorted(map(str, again.collect())) == sorted(map(str, want.collect()))
+    assert len(ingest.folders(spark, f"{tmp_path}/table")) == cut
+    # a batch that comes again is part of the table already
+    again = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
+    ingest.ingest_stream(again, f"{tmp_path}/table", f"{tmp_path}/lost-checkpoint", judge)
+    assert len(ingest.folders(spark, f"{tmp_path}/table")) == cut
+    assert ingest.read_judged(spark, f"{tmp_path}/table").count() == N.judge_trades(rows, ["seq"]).count()
+    # the compacted part and newer batches only
+    ingest.ingest_stream(again, f"{tmp_path}/small", f"{tmp_path}/small-checkpoint", judge, ["trade_id"], ["seq"], compact_every=2)
+    opened = ingest.folders(spark, f"{tmp_path}/small")
+    assert [f.split("-")[0] for f in opened] == ["compacted"] * (cut > 1) + ["batch"] * (cut % 2)
+    small, _ = N.split_judged(ingest.read_judged(spark, f"{tmp_path}/small"), ["seq"])
+    assert sorted(map(str, small.collect())) == sorted(map(str, want.collect()))
+
+
+def test_one_of_two_writers_is_refused(spark, tmp_path):
+    versions.publish(spark, f"{tmp_path}/t", 0, {"a": 1})
+    with pytest.raises(FileExistsError):
+        versions.publish(spark, f"{tmp_path}/t", 0, {"a": 2})
+    assert versions.current(spark, f"{tmp_path}/t") == (1, {"a": 1})
+
+
+def files_of(path):
+    return {str(f): f.stat().st_mtime_ns for f in path.rglob("part-*.parquet")}
+
+
+def test_merge_rewrites_touched_buckets_only(spark, tmp_path):
+    rows = spark.range(500).select(F.concat(F.lit("k"), "id").alias("k"), F.when(F.col("id") % 3 > 0, "m").alias("m"), F.lit(1).alias("v"), "id")
+    merge.create(rows, f"{tmp_path}/t", ["k", "m"], buckets=16)
+    before, names = files_of(tmp_path), set(merge.versions.current(spark, f"{tmp_path}/t")[1]["buckets"].items())
+    delta = spark.createDataFrame([("k0", None, 2, 900), ("k0", "", 3, 901), ("k1", "m", 0, 902), ("new", "m", 1, 903)], "k string, m string, v int, id long")
+    for _ in range(2):  # twice the same
+        merge.upsert_into(f"{tmp_path}/t", delta, ["v"])
+        want = keyed.upsert(rows, delta, ["k", "m"], ["v"])
+        assert sorted(map(tuple, merge.read(spark, f"{tmp_path}/t").collect()), key=str) == sorted(map(tuple, want.collect()), key=str)
+    after = files_of(tmp_path)
+    assert {f: t for f, t in after.items() if f in before} == before
+    moved = names - set(merge.versions.current(spark, f"{tmp_path}/t")[1]["buckets"].items())
+    assert 1 <= len(moved) <= 3 and len(names) == 16
+    merge.upsert_into(f"{tmp_path}/t", delta.limit(0), ["v"])
+    assert merge.read(spark, f"{tmp_path}/t").count() == 501
+
+
+def test_merge_of_an_empty_table(spark, tmp_path):
+    empty = spark.createDataFrame([], "k string, v int")
+    merge.create(empty, f"{tmp_path}/t", ["k"], buckets=4)
+    assert merge.read(spark, f"{tmp_path}/t").count() == 0
+    merge.upsert_into(f"{tmp_path}/t", spark.createDataFrame([("a", 1), ("a", 2), (None, 1)], empty.schema), ["v"])
+    assert sorted(map(str, merge.read(spark, f"{tmp_path}/t").collect())) == ["Row(k='a', v=2)", "Row(k=None, v=1)"]
+
+
+def test_merged_parents_keep_their_first_id_and_last_children(spark, tmp_path):
+    parents = spark.createDataFrame([], "id string, k string, v int")
+    children = spark.createDataFrame([], "id string, level int")
+    merge.create(parents, f"{tmp_path}/p", ["k"], buckets=8)
+    merge.create(children, f"{tmp_path}/c", ["id"], buckets=8)
+
+    def write(rows, levels):
+        merge.upsert_parents_into(
+            f"{tmp_path}/p", f"{tmp_path}/c", spark.createDataFrame(rows, parents.schema),
+            spark.createDataFrame(levels, "id string, v int, level int"), id_col="id", version=["v"],
+        )
+
+    write([("a", "x", 1), ("b", "y", 1)], [("a", 1, 0), ("a", 1, 1), ("b", 1, 0)])
+    for _ in range(2):
+        write([("c", "x", 2), ("d", "y", 0), ("e", "z", 1)], [("c", 2, 7), ("d", 0, 8)])
+        assert sorted(map(tuple, merge.read(spark, f"{tmp_path}/p").collect())) == [("a", "x", 2), ("b", "y", 1), ("e", "z", 1)]
+        assert sorted(map(tuple, merge.read(spark, f"{tmp_path}/c").collect())) == [("a", 7), ("b", 0)]
 
 
 def test_quarantine_log(spark, tmp_path):
