@@ -297,9 +297,8 @@ rt AS (SELECT mk.o_orderkey, coalesce(mk.condition_id, 'unknown:' || mk.id) AS c
   FROM mk JOIN st USING (o_orderkey) JOIN bk USING (o_orderkey))"""
 
 
-@query("reject_router", f"WITH {ROUTE_SQL} SELECT o_orderkey, condition_id, reason, CASE WHEN reason IS NOT NULL THEN question END AS details FROM rt")
-def reject_router(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from bucketwise.operators.router import market_reason
+def placed_markets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Normalised markets with their raw settlement fields and station."""
     from bucketwise.plans.bindings import STATION_CODE
     from bucketwise.sources.stations import resolve_stations
 
@@ -307,14 +306,20 @@ def reject_router(spark: SparkSession, sf_dir: str) -> DataFrame:
     market = N.normalize_markets(raw)
     # the record id is unique, so the raw settlement fields meet their market on it
     facts = market.join(
-        raw.select(F.col("id").alias("market_id"), "o_orderkey", "resolved", "outcomes", "outcomePrices", "groupItemTitle"),
+        raw.select(F.col("id").alias("market_id"), "o_orderkey", "resolved", "outcomes", "outcomePrices", "clobTokenIds", "groupItemTitle"),
         "market_id",
     )
     # the dimension lacks some nations' codes, so that their markets meet no station
     code = F.expr(STATION_CODE.format(n="n_nationkey"))
     dim = table(spark, sf_dir, "nation").select(code.alias("station_id")).where("substr(station_id, 4, 1) NOT IN ('D', 'K')")
-    placed = resolve_stations(facts, dim, "station_icao")
-    routed = placed.withColumn("reason", market_reason(known_station=F.col("station_id").isNotNull()))
+    return resolve_stations(facts, dim, "station_icao")
+
+
+@query("reject_router", f"WITH {ROUTE_SQL} SELECT o_orderkey, condition_id, reason, CASE WHEN reason IS NOT NULL THEN question END AS details FROM rt")
+def reject_router(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from bucketwise.operators.router import market_reason
+
+    routed = placed_markets(spark, sf_dir).withColumn("reason", market_reason(known_station=F.col("station_id").isNotNull()))
     return routed.select(
         "o_orderkey", "condition_id", "reason", F.when(F.col("reason").isNotNull(), F.col("question")).alias("details")
     )
