@@ -1,141 +1,131 @@
 """Line dedup by content-defined chunks of lines.
 
-A rolling hash over the digests of two consecutive lines starts a new chunk behind them where it is divisible by
-``DIVISOR``, so a passage is cut alike wherever it stands, whatever was inserted before it. Of chunks of two or more
-lines that occur more than once in all documents, the first occurrence (least id, then place) stays and the
-others are removed, after their bytes were compared with the first's. A chunk whose digest agrees but whose bytes differ
-stays.
-
-Only DataFrame functions run. Occurrences of a chunk, however many, are counted before the shuffle; the comparison
-spreads them over shares, each with its own copy of the first one's text.
-
-Defined cases: null text is empty, and its result is empty; chunks of blank lines only are left alone; a null id ranks
-last; rows that repeat id and text are one document and come back equal; an empty table gives no rows; other columns
-take no part.
+A hash rolls over the lines of a document, two at a time, blank ones between them passed over. Where its value occurs
+more than once in all documents a chunk begins, and it goes on as long as the value does: the borders depend on the
+lines inside only, so a passage is cut alike wherever it stands, whatever was inserted before it, and from its first
+line to its last. A line of more than ``LONG_WORDS`` words is a window by itself, so that a passage without line breaks
+counts like one with them. Of every repeated window the first occurrence (least id, then place) stays; the lines of
+all others go, blank ones inside a window too.
+
+Bytes decide: the windows of a hash are one group only if the least and the greatest of their texts are the same, which
+every task takes over its own rows first; where they differ, the groups are the texts themselves.
+
+Only DataFrame functions run. Windows are counted by 64-bit hashes first, and the text of a window is shuffled only where
+its hash repeats. A hot window's occurrences meet its first one in a join that Spark can split.
+
+Defined cases: null text is empty, and its result is empty; blank lines alone are no window; where an occurrence overlaps
+the first one, the first one's lines stay; a null id ranks last; rows that repeat id and text are one document and
+come back equal; an empty table gives no rows; other columns take no part. Ids are whole numbers.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from bucketwise.llm.textkit import only, table
+from bucketwise.llm.textkit import WHITE_CLASS, only, table
 from bucketwise.sources.scratch import materialize
 
-DIVISOR = 3
-#: occurrences that share one copy of the first one's text
-SHARE = 512
+#: a line of more words is a passage by itself
+LONG_WORDS = 50
 _LAST = (1 << 63) - 1
+_FULL = "[^" + WHITE_CLASS[1:]
 
 
-def line_digest(line: Column) -> Column:
-    """28 bits of the line's MD5."""
-    return F.conv(F.substring(F.md5(line.cast("binary")), 1, 7), 16, 10).cast("long")
+def window_key(body: Column) -> Column:
+    return F.xxhash64(body)
 
 
-def marked_chunks(text: Column) -> Column:
-    """The text's chunks, each line with a mark in front, ``#`` for the first of a chunk, else ``=``.
-
-    Every line meets its two predecessors in a zip, so the work is linear in the text however long it is.
-    """
+def windows(text: Column, with_text: bool = False) -> Column:
+    """(at, last, key, and the text if asked for) of the windows of two full lines, and of the long lines."""
     lines = F.split(text, "\n", -1)
-    digests = F.concat(F.array(F.lit(0).cast("long"), F.lit(0).cast("long")), F.transform(lines, line_digest))
-    n = F.size(lines)
-    zipped = F.arrays_zip(
-        lines.alias("line"), F.slice(digests, 2, n).alias("before"), F.slice(digests, F.lit(1), n).alias("earlier"),
-        F.sequence(F.lit(0), n - 1).alias("at"),
-    )
-    starts = lambda e: (e["at"] == 0) | ((e["before"] * 31 + e["earlier"] * 17) % DIVISOR == 0)
-    marked = F.transform(zipped, lambda e: F.concat(F.when(starts(e), F.lit("#")).otherwise(F.lit("=")), e["line"]))
-    return F.split(F.array_join(marked, "\n"), "\n(?=#)", -1)
+    placed = F.filter(F.transform(lines, lambda x, i: F.struct(x.alias("line"), i.alias("at"))), lambda e: e["line"].rlike(_FULL))
+    following = F.slice(placed, 2, F.greatest(F.size(placed), F.lit(1)))
 
+    def window(at: Column, last: Column, body: Column) -> Column:
+        return F.struct(at.alias("at"), last.alias("last"), window_key(body).alias("key"), *([body.alias("body")] if with_text else []))
 
-def unmarked(text: Column) -> Column:
-    return F.regexp_replace(text, "(^|\n)[#=]", "$1")
+    pairs = F.zip_with(
+        placed, following,
+        lambda a, b: F.when(b.isNotNull(), window(a["at"], b["at"], F.concat(a["line"], F.lit("\n"), b["line"]))),
+    )
+    # a long line has a letter and a space per word at least, which most lines lack
+    long = F.filter(placed, lambda e: (F.length(e["line"]) > 2 * LONG_WORDS) & (F.regexp_count(e["line"], F.lit(_FULL + "+")) > LONG_WORDS))
+    return F.concat(F.filter(pairs, lambda p: p.isNotNull()), F.transform(long, lambda e: window(e["at"], e["at"], e["line"])))
 
 
-def _lines_in(chunk: Column) -> Column:
-    return F.length(chunk) - F.length(F.replace(chunk, F.lit("\n"), F.lit(""))) + 1
+def _exploded(base: DataFrame, with_text: bool) -> DataFrame:
+    return base.select("doc", "rank", F.explode(windows(F.col("text"), with_text)).alias("w")).select("doc", "rank", "w.*")
 
 
-def _eligible(chunk: Column) -> Column:
-    """Two lines or more, not all blank; most chunks show it by their first letter."""
-    return F.contains(chunk, F.lit("\n")) & (chunk.rlike(r"[^\s#=]") | chunk.rlike(r"(?:^|\n)[#=][^\n]*[^\s]"))
+def _marks(gone: Column) -> Column:
+    """An array with true at the places of the sorted array ``gone``, as long as the last of them needs."""
+    before = F.concat(F.array(F.lit(-1)), gone)
+    return F.flatten(F.zip_with(
+        gone, F.slice(before, F.lit(1), F.size(gone)),
+        lambda at, last: F.concat(F.array_repeat(F.lit(False), at - last - 1), F.array(F.lit(True))),
+    ))
 
 
-def _repeated(base: DataFrame, places: DataFrame) -> DataFrame:
-    """(doc, at) of chunks that occur earlier, byte for byte."""
-    # a table of its own, so that the join has two plain exchanges and Spark can split a hot chunk
+def _repeated(base: DataFrame) -> DataFrame:
+    """doc, gone: the sorted places of lines that are removed."""
+    keys = materialize(_exploded(base, False).groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"), "keys")
+    # repeated rows give equal places
+    found = materialize(_exploded(base, True).join(keys.hint("merge"), "key", "left_semi").distinct(), "windows")
+    place = F.struct("rank", "doc", "at", "last")
+    # tables of their own, so that the joins have two plain exchanges and Spark can split a hot window
     groups = materialize(
-        places.where("eligible").groupBy("key", "size")
-        .agg(F.count("*").alias("n"), F.min(F.struct("rank", "doc", "at")).alias("first")).where("n > 1")
-        .select("key", "size", "first", F.ceil(F.col("n") / SHARE).cast("int").alias("shares")),
+        found.groupBy("key").agg(F.count("*").alias("n"), F.min(place).alias("first"), (F.min("body") == F.max("body")).alias("equal")).where("n > 1"),
         "groups",
     )
-    exploded = base.select("doc", F.posexplode(marked_chunks(F.col("text"))).alias("at", "chunk")).where(_eligible(F.col("chunk")))
-    found = materialize(
-        exploded.withColumn("key", F.xxhash64("chunk")).withColumn("size", F.octet_length("chunk")).join(groups.hint("merge"), ["key", "size"])
-        .select(
-            "doc", "at", "key", "size", "chunk", "shares",
-            ((F.col("doc") == F.col("first.doc")) & (F.col("at") == F.col("first.at"))).alias("is_first"),
-        ),
-        "chunks",
+    mixed = found.join(groups.where("not equal").select("key"), "key", "left_semi")
+    by_text = materialize(mixed.groupBy("body").agg(F.count("*").alias("n"), F.min(place).alias("first")).where("n > 1"), "by-text")
+    places = ["doc", "at", "last", "first"]
+    later = (
+        found.select("key", "doc", "at", "last").join(groups.where("equal").select("key", "first").hint("merge"), "key").select(*places)
+        .unionByName(mixed.join(by_text, "body").select(*places))
     )
-    firsts = (
-        found.where("is_first").groupBy("key", "size", "shares").agg(F.min("chunk").alias("first_chunk"))
-        .withColumn("share", F.explode(F.sequence(F.lit(0), F.col("shares") - 1))).drop("shares")
-    )
-    share = F.pmod(F.xxhash64("doc", "at"), F.col("shares").cast("long")).cast("int")
+    own = F.col("doc") == F.col("first.doc")
+    start = F.when(own, F.greatest("at", F.col("first.last") + 1)).otherwise(F.col("at"))
     return (
-        found.where("not is_first").withColumn("share", share).join(firsts, ["key", "size", "share"])
-        .where("chunk = first_chunk").select("doc", "at").distinct()
+        later.where(~own | (F.col("at") != F.col("first.at"))).withColumn("start", start).where("start <= last")
+        .groupBy("doc").agg(F.sort_array(F.array_distinct(F.flatten(F.collect_set(F.sequence("start", "last"))))).alias("gone"))
     )
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, text without repeated chunks, n_lines and n_removed (lines) of every document."""
+    """id, text without repeated passages, n_lines and n_removed (lines) of every document."""
     rows = only(docs, id=id_col, text=text_col).select("id", F.coalesce("text", F.lit("")).alias("text"))
-    base = rows.withColumn("doc", F.xxhash64("id", "text"))
-    places = materialize(
-        base.select("doc", F.coalesce("id", F.lit(_LAST)).alias("rank"), F.posexplode(marked_chunks(F.col("text"))).alias("at", "chunk")).select(
-            "doc", "rank", "at", F.xxhash64("chunk").alias("key"), F.octet_length("chunk").alias("size"),
-            _eligible(F.col("chunk")).alias("eligible"),
-        ).distinct(),
-        "places",
-    )
-    gone = materialize(_repeated(base, places), "gone").withColumn("gone", F.lit(True))
-    flags = (
-        places.select("doc", "at").join(gone.select("doc").distinct(), "doc", "left_semi").join(gone, ["doc", "at"], "left")
-        .groupBy("doc").agg(F.sort_array(F.collect_list(F.struct("at", F.coalesce("gone", F.lit(False)).alias("gone")))).alias("flags"))
-    )
-    # only documents with flags are cut again
-    zipped = F.arrays_zip(marked_chunks(F.col("text")).alias("chunk"), F.col("flags").alias("flag"))
-    kept = F.transform(F.filter(zipped, lambda z: ~z["flag"]["gone"]), lambda z: z["chunk"])
-    removed = F.aggregate(
-        F.filter(zipped, lambda z: z["flag"]["gone"]), F.lit(0).cast("long"), lambda n, z: n + _lines_in(z["chunk"])
+    # two hashes, so that no two documents of a large corpus share a name
+    name = F.struct(F.xxhash64("id", "text").alias("a"), F.xxhash64("text", F.lit(1), "id").alias("b"))
+    base = rows.withColumn("doc", name).withColumn("rank", F.coalesce("id", F.lit(_LAST)))
+    gone = materialize(_repeated(base), "gone")
+    marked = F.zip_with(
+        F.split("text", "\n", -1), _marks(F.col("gone")), lambda line, m: F.struct(line.alias("line"), F.coalesce(m, F.lit(False)).alias("gone"))
     )
-    clean = F.when(F.col("flags").isNull(), F.col("text")).otherwise(unmarked(F.array_join(kept, "\n")))
-    # merge joins at every size: both sides grow with the corpus
-    return base.join(flags.hint("merge"), "doc", "left").select(
-        "id", clean.alias("text"), _lines_in(F.col("text")).cast("long").alias("n_lines"),
-        F.when(F.col("flags").isNull(), 0).otherwise(removed).cast("long").alias("n_removed"),
+    kept = F.transform(F.filter(marked, lambda e: ~e["gone"]), lambda e: e["line"])
+    n_lines = F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit(""))) + 1
+    # a merge join at every size: both sides grow with the corpus
+    return base.join(gone.hint("merge"), "doc", "left").select(
+        "id", F.when(F.col("gone").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n")).alias("text"),
+        n_lines.cast("long").alias("n_lines"), F.when(F.col("gone").isNull(), 0).otherwise(F.size("gone")).cast("long").alias("n_removed"),
     )
 
 
 SQL = r"""
 WITH l AS (
-  SELECT doc_id, i, line, ('0x' || substr(md5(line), 1, 7))::BIGINT AS h FROM (
-    SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
-           generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS i FROM documents)),
-s AS (SELECT *, i = 1 OR (coalesce(lag(h) OVER w, 0) * 31 + coalesce(lag(h, 2) OVER w, 0) * 17) % 3 = 0 AS starts
-      FROM l WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
-n AS (SELECT *, sum(starts::INT) OVER (PARTITION BY doc_id ORDER BY i) AS chunk FROM s),
-c AS (SELECT doc_id, chunk, string_agg(line, chr(10) ORDER BY i) AS body, count(*) AS lines FROM n GROUP BY 1, 2),
-r AS (SELECT *, lines >= 2 AND regexp_matches(body, '[^ 	-
-]')
-             AND row_number() OVER (PARTITION BY body, lines ORDER BY doc_id, chunk) > 1 AS gone FROM c)
-SELECT doc_id, coalesce(string_agg(body, chr(10) ORDER BY chunk) FILTER (NOT gone), '') AS text,
-       sum(lines)::BIGINT AS n_lines, coalesce(sum(lines) FILTER (gone), 0)::BIGINT AS n_removed
-FROM r GROUP BY doc_id
+  SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
+         generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) - 1 AS i FROM documents),
+f AS (SELECT doc_id, i, line, lead(i) OVER w AS j, lead(line) OVER w AS next FROM l
+      WHERE regexp_matches(line, '[^\x20\x09-\x0D]') WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
+u AS (SELECT doc_id, i, j, line || chr(10) || next AS body FROM f WHERE j IS NOT NULL UNION ALL
+      SELECT doc_id, i, i, line FROM f WHERE len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) > 50),
+r AS (SELECT *, first_value(doc_id) OVER w AS d1, first_value(i) OVER w AS i1, first_value(j) OVER w AS j1 FROM u
+      WINDOW w AS (PARTITION BY body ORDER BY doc_id, i)),
+g AS (SELECT DISTINCT doc_id, unnest(range(CASE WHEN doc_id = d1 THEN greatest(i, j1 + 1) ELSE i END, j + 1)) AS i
+      FROM r WHERE doc_id <> d1 OR i <> i1)
+SELECT l.doc_id, coalesce(string_agg(line, chr(10) ORDER BY l.i) FILTER (g.i IS NULL), '') AS text,
+       count(*) AS n_lines, count(g.i) AS n_removed
+FROM l LEFT JOIN g ON g.doc_id = l.doc_id AND g.i = l.i GROUP BY l.doc_id
 """
 
 
