@@ -18,8 +18,10 @@ in no more bits than the sets differ in shingles. It stands in the join's condit
 emitted. With 32 bands a pair at the threshold 0.85 shares no bucket with a probability of 6e-11, at 0.8 of 5e-8.
 
 Defined cases: null or blank text has no shingles and links with nothing; a text of fewer words than a shingle is one
-shingle; a null id is in no group, has component null and stays; rows that repeat an id share its component. An empty
-table gives no rows. Other columns take no part.
+shingle; a null id is in no group, has component null and stays. Of rows that repeat an id with other texts each has its
+own class, named by the least id of its texts' group; so one of them may go and another stay. A component's least id may then
+belong to a row of another class as well, and a row stays if its id names its own class. An empty table gives no
+rows. Other columns take no part. Ids are whole numbers.
 """
 
 from __future__ import annotations
@@ -81,10 +83,10 @@ def _sketches(words: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Re
             bands = [band_keys(sketch(s)) if len(s) else None for s in sets]
             yield pa.RecordBatch.from_arrays(
                 [
-                    batch.column("id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(digest, pa.binary()),
-                    pa.array(bands, pa.list_(pa.int64())),
+                    batch.column("id"), batch.column("raw"), pa.array([len(s) for s in sets], pa.int64()),
+                    pa.array(digest, pa.binary()), pa.array(bands, pa.list_(pa.int64())),
                 ],
-                names=["id", "size", "digest", "bands"],
+                names=["id", "raw", "size", "digest", "bands"],
             )
     return run
 
@@ -180,21 +182,20 @@ def _pivot_pairs(buckets: DataFrame) -> DataFrame:
 def near_classes(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80
 ) -> DataFrame:
-    """One row per document: id, n_shingles, component_id, kept."""
-    rows = only(docs, id=id_col, text=text_col)
+    """One row per document: id, n_shingles, component_id, raw (a hash of the text), kept."""
+    rows = only(docs, id=id_col, text=text_col).withColumn("raw", F.xxhash64(F.coalesce("text", F.lit(""))))
     sketches = materialize(
-        rows.mapInArrow(_sketches(words), "id long, size long, digest binary, bands array<long>"), "sketches"
+        rows.mapInArrow(_sketches(words), "id long, raw long, size long, digest binary, bands array<long>"), "sketches"
     )
     named = sketches.where("id is not null and digest is not null")
-    banded = named.groupBy("digest").agg(F.min("id").alias("node"), F.first("bands").alias("bands")).select(
-        "node", F.explode("bands").alias("bucket")
-    )
+    owners = _named_nodes(named)
+    banded = owners.select("node", F.explode("bands").alias("bucket"))
     crowded = banded.groupBy("bucket").agg(F.min("node").alias("a"), F.max("node").alias("b")).where("a <> b")
     buckets = materialize(banded.join(crowded.select("bucket"), "bucket"), "buckets")
     nodes = materialize(buckets.select("node").distinct(), "nodes")
-    # should an id repeat with other texts, a link of either counts
+    holders = owners.select("node", "id", "raw").join(nodes, "node")
     sets = materialize(
-        rows.join(nodes, rows["id"] == nodes["node"]).select("node", "text").mapInArrow(
+        rows.join(holders, ["id", "raw"]).select("node", "text").mapInArrow(
             _full_sets(words), "node long, items array<long>, n long, " + ", ".join(f"{b} long" for b in BITS)
         ),
         "sets",
@@ -207,7 +208,25 @@ def near_classes(
     second = _linked(_across(_ordered(starred), placed, percent), sets, percent)
     labels = _merge(nodes.withColumn("label", F.col("node")), first.unionByName(second))
     third = _linked(_rest(buckets, labels.join(marks, "node"), percent), sets, percent)
-    return _result(sketches, _merge(labels, third))
+    return _result(sketches, owners.select("digest", "node", "id"), _merge(labels, third))
+
+
+def _named_nodes(named: DataFrame) -> DataFrame:
+    """(digest, node, id, raw, bands): a node per set, named by the least id that holds it.
+
+    Where that id holds other sets too, which ids that repeat with other texts bring about, all but one of its sets are
+    named by a negative hash instead.
+    """
+    key = F.xxhash64("digest")
+    repeated = materialize(
+        named.groupBy("id").agg(F.min(key).alias("own"), F.max(key).alias("other")).where("own <> other").select("id", "own"), "repeated"
+    )
+    owners = named.groupBy("digest").agg(F.min(F.struct("id", "raw")).alias("at"), F.first("bands").alias("bands")).select(
+        "digest", "at.*", "bands"
+    )
+    extra = F.xxhash64("id", "digest").bitwiseOR(F.lit(-(1 << 63)).cast("long"))
+    node = F.when(F.col("own").isNull() | (F.col("own") == key), F.col("id")).otherwise(extra)
+    return owners.join(repeated, "id", "left").select("digest", node.alias("node"), "id", "raw", "bands")
 
 
 def _ordered(stars: DataFrame) -> DataFrame:
@@ -232,23 +251,30 @@ def _rest(buckets: DataFrame, placed: DataFrame, percent: int) -> DataFrame:
     return met.select(F.least("u_node", "v_node").alias("u"), F.greatest("u_node", "v_node").alias("v")).distinct()
 
 
-def _result(sketches: DataFrame, labels: DataFrame) -> DataFrame:
-    nodes = sketches.where("id is not null and digest is not null").groupBy("digest").agg(F.min("id").alias("node"))
-    # a label is its component's least node and a node its set's least id, so the label is the least id of all
-    of_set = nodes.join(labels, "node", "left").select("digest", F.coalesce("label", "node").alias("component_id"))
+def _result(sketches: DataFrame, owners: DataFrame, labels: DataFrame) -> DataFrame:
+    placed = owners.join(labels, "node", "left").select("digest", "id", F.coalesce("label", "node").alias("label"))
+    least = placed.groupBy("label").agg(F.min("id").alias("component_id"))
+    of_set = placed.select("digest", "label").join(least, "label").select("digest", "component_id")
     joined = sketches.where("id is not null").join(of_set, "digest", "left").select(
-        "id", F.col("size").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id")
+        "id", F.col("size").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id"), "raw"
     )
-    unnamed = sketches.where("id is null").select("id", F.col("size").alias("n_shingles"), F.col("id").alias("component_id"))
+    unnamed = sketches.where("id is null").select("id", F.col("size").alias("n_shingles"), F.col("id").alias("component_id"), "raw")
     return joined.unionByName(unnamed).withColumn(
         "kept", F.coalesce(F.col("id") == F.col("component_id"), F.lit(True))
     )
 
 
 def drop_near(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of ``docs`` that stay: one document of each group; rows without an id stay."""
-    gone = near_classes(docs, id_col, text_col, words, percent).where("not kept").select("id").distinct()
-    return docs.join(gone, docs[f"`{id_col}`"] == gone["id"], "left_anti")
+    """The rows of ``docs`` that stay: one document of each group; rows without an id stay.
+
+    Rows are named by id and a hash of their text, as an id may repeat with other texts.
+    """
+    text = F.coalesce(docs[f"`{text_col}`"], F.lit(""))
+    named = docs.select(
+        F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("row"), docs[f"`{id_col}`"].alias("id"), F.xxhash64(text).alias("raw"),
+    )
+    gone = near_classes(docs, id_col, text_col, words, percent).where("not kept").select("id", "raw").distinct()
+    return named.join(gone, ["id", "raw"], "left_anti").select("row.*")
 
 
 def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

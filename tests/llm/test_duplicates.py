@@ -139,6 +139,17 @@ def test_near_edge_cases(spark):
     assert near_dedup.drop_near(frame(spark, rows)).columns == ["doc_id", "text", "id", "fp"]
 
 
+def test_ids_that_repeat_with_other_texts_lose_none(spark):
+    rng = random.Random(6)
+    one, two, three = (" ".join(f"{n}{rng.randrange(900)}" for _ in range(40)) for n in "xyz")
+    rows = [(1, one, "", 0), (5, one, "", 0), (5, two, "", 0), (7, three + " end", "", 0), (3, three, "", 0), (7, two + " end", "", 0), (7, "alone a b c d e", "", 0),
+            (5, None, "", 0)]
+    kept = sorted((r["doc_id"], (r["text"] or "")[:5]) for r in near_dedup.drop_near(frame(spark, rows)).collect())
+    assert kept == sorted([(1, one[:5]), (5, two[:5]), (3, three[:5]), (7, "alone"), (5, "")])
+    again = near_dedup.drop_near(frame(spark, [(5, one, "", 0), (5, two, "", 0), (6, two + " end", "", 0), (5, three, "", 0), (4, three + " end", "", 0)]))
+    assert sorted((r["doc_id"], r["text"][:1], r["text"][-3:] == "end") for r in again.collect()) == [(4, "z", True), (5, "x", False), (5, "y", False)]
+
+
 def test_shingles_match_words():
     texts = ["a b c", "", None, "A b  C d\te", "é é é é", " ", "one two", "x" * 3_000_000 + " y z"]
     hashes, bounds = textkit.shingle_hashes(*textkit.word_hashes(*textkit.byte_rows(pa.array(texts))), 3)
