@@ -1,14 +1,16 @@
-"""Benchmark decontamination by lossless seeds.
+"""Benchmark decontamination by spaced seeds.
 
-A seed hashes the tokens that a mask selects from a window and ignores the others. The masks follow from the item's length
-(``masks_of``): whatever tokens are replaced, an overlap that counts has a window that one of them selects unharmed. Items and documents are hashed alike and joined on the seed. Documents
-first pass a bitmap of the items' seeds: it has a fixed size whatever the benchmark's, and only thins the rows out, as
-the join that follows is exact. Around every hit, document and item are laid on each other at the hit's offset and the
-run with the most equal tokens is taken, of all that agree in four of five tokens or more.
+A seed hashes the tokens that a fixed mask selects from a window and ignores the others, so a replaced token at an ignored
+position does no harm. The masks of an item length are a lossless family (:func:`masks_of`): whatever tokens are
+replaced, an overlap that counts holds a window in which one of them selects equal tokens only. Items and documents
+are hashed alike and joined on the seed. Documents first pass a bitmap of the items' seeds: it has a fixed size whatever
+the benchmark's, and only thins the rows out, as the join that follows is exact. Around every hit, document and item are
+laid on each other at the hit's offset and the run with the most equal tokens is taken, of all that agree in four of
+five tokens or more.
 
-A document is contaminated by an item if a run holds ``min(overlap, 0.8 * item tokens)`` equal tokens. Tokens are words
-with A-Z in lower case and trailing ASCII punctuation left out. Items under ``MIN_ITEM`` tokens name no passage and match
-nothing; nor does a document that has fewer than ``MIN_ITEM`` tokens beside an item's.
+A document is contaminated by an item if a run holds ``min(overlap, 0.8 * item tokens)`` equal tokens, rounded up: all of an
+item under five tokens. Tokens are words with A-Z in lower case and trailing ASCII punctuation left out; an item without
+tokens matches nothing.
 
 Defined cases: null text has no tokens; a null id is reported as null; equal texts are verified once and all reported;
 repeated rows are reported once each; empty documents or an empty benchmark give no rows. Other columns take no part.
@@ -17,6 +19,7 @@ repeated rows are reported once each; empty documents or an empty benchmark give
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 from itertools import combinations
 
 import numpy as np
@@ -27,8 +30,9 @@ from bucketwise.llm import textkit
 from bucketwise.llm.textkit import byte_rows, mix, only, pieces, seeds, table
 from bucketwise.sources.scratch import materialize
 
-MIN_ITEM = 5
 OVERLAP = 13
+#: masks per item length, and the most tokens that one selects
+FAMILY, HEAVIEST = 4, 6
 #: bits of the bitmap that thins out document seeds; its size is the broadcast's proven bound (4 MiB)
 BITMAP_BITS = 25
 #: alignments verified with one copy of a text
@@ -50,17 +54,57 @@ def needed(n: int, overlap: int = OVERLAP) -> int:
     return min(overlap, -(-4 * n // 5))
 
 
-def masks_of(n: int, overlap: int = OVERLAP) -> tuple[str, ...]:
-    """Masks, one of which selects equal tokens only in every overlap that counts.
+@lru_cache(maxsize=64)
+def runs(least: int, longest: int) -> tuple[tuple[int, np.ndarray], ...]:
+    """(tokens, bit sets of the other tokens) of all runs that count and of which no part counts by itself.
 
-    ``k`` other tokens cut a run's equal ones, of which there are ``4 k`` at least, into ``k + 1`` stretches, the longest of
-    which is the mask. Where that is under three tokens, short items have a mask for every choice of equal tokens.
+    A run has ``e >= least`` equal tokens, one at either end, and at most ``e // 4`` others. One with ``2 * least`` equal
+    tokens or more falls into two parts, one of which counts as well.
     """
-    least = min(-(-max(needed(n, overlap), 4 * k) // (k + 1)) for k in range(n // 5 + 1))
-    if least >= 3 or n > 7:
-        return ("1" * least,)
-    chosen = combinations(range(n), needed(n, overlap))
-    return tuple(sorted({"".join("1" if i in c else "0" for i in range(n)).strip("0") for c in chosen}))
+    out = []
+    for e in range(least, min(2 * least - 1, longest) + 1):
+        for other in range(min(e // 4, longest - e) + 1):
+            n = e + other
+            sets = [sum(1 << p for p in c) for c in combinations(range(1, n - 1), other)]
+            out.append((n, np.array(sets, dtype=np.int64)))
+    return tuple(out)
+
+
+def missed(n: int, sets: np.ndarray, mask: str) -> np.ndarray:
+    """The runs of ``n`` tokens in which the mask selects another token wherever it is laid."""
+    picks = int(mask[::-1], 2)
+    for shift in range(n - len(mask) + 1):
+        sets = sets[(sets & (picks << shift)) != 0]
+    return sets
+
+
+def _spaced(weight: int, longest: int) -> list[str]:
+    """Masks that select ``weight`` tokens, both ends among them, and ignore one to four between."""
+    spans = range(weight + 1, min(weight + 4, longest) + 1)
+    chosen = ((n, {0, n - 1, *c}) for n in spans for c in combinations(range(1, n - 1), weight - 2))
+    return ["".join("1" if i in c else "0" for i in range(n)) for n, c in chosen]
+
+
+@lru_cache(maxsize=64)
+def _family(least: int, longest: int) -> tuple[str, ...]:
+    """The heaviest spaced masks, ``FAMILY`` at most, that together miss no run that counts."""
+    for weight in range(min(least - 1, HEAVIEST), 1, -1):
+        left, masks = dict(enumerate(runs(least, longest))), []
+        candidates = _spaced(weight, longest)
+        while left and candidates and len(masks) < FAMILY:
+            shown = [(n, sets[:: len(sets) // 2000 + 1]) for n, sets in left.values()]
+            masks.append(min(candidates, key=lambda m: (sum(len(missed(n, sets, m)) for n, sets in shown), m)))
+            left = {k: (n, rest) for k, (n, sets) in left.items() if len(rest := missed(n, sets, masks[-1]))}
+        if masks and not left:
+            return tuple(sorted(masks))
+    return ("1" * max(1, least),)  # items of one or two tokens leave nothing to ignore
+
+
+def masks_of(n: int, overlap: int = OVERLAP) -> tuple[str, ...]:
+    """Fixed masks of the items of ``n`` tokens: whatever tokens are replaced, one selects equal tokens only in every run
+    that counts. Each ignores a position at least, and they select as many as a small lossless family can."""
+    least = min(needed(n, overlap), OVERLAP)
+    return _family(least, n if least < min(overlap, OVERLAP) else 2 * least + least // 2)
 
 
 def windows(words: np.ndarray, bounds: np.ndarray, mask: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -86,7 +130,7 @@ def _item_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("item"), lists], names=["item", "tokens"])
 
 
-def _seed_rows(overlap: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _seed_rows(masks: dict[int, tuple[str, ...]], top: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """(seed, item, at) of the items."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -94,9 +138,7 @@ def _seed_rows(overlap: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa
             seed, item, at = [], [], []
             for id_, own in zip(batch.column("item").to_pylist(), batch.column("tokens").to_pylist(), strict=True):
                 words = np.array(own, dtype=np.int64).view(_U)
-                if len(words) < MIN_ITEM:
-                    continue
-                for mask in masks_of(len(words), overlap):
+                for mask in masks.get(min(len(words), top), ()):
                     s, _, p = windows(words, np.array([0, len(words)]), mask)
                     seed.extend(s.view(np.int64).tolist())
                     at.extend(p.tolist())
@@ -172,7 +214,7 @@ def _verified(overlap: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.
                 for x in alignments:
                     wanted, offset = np.array(x["tokens"], dtype=np.int64), x["offset"]
                     a, b = max(0, -offset), min(len(wanted), len(own) - offset)
-                    if b - a < MIN_ITEM:
+                    if b <= a:
                         continue
                     n, first, _ = most_equal(own[a + offset : b + offset] == wanted[a:b])
                     if n >= needed(len(wanted), overlap):
@@ -205,13 +247,12 @@ def leaks(
         only(items, item=item_id, text=item_text).select(F.col("item").cast("long"), "text")
         .mapInArrow(_item_rows, "item long, tokens array<long>"), "items",
     )
-    seed_rows = materialize(wanted.mapInArrow(_seed_rows(overlap), "seed long, item long, at long"), "seeds")
-    # lengths above the cap have the masks of the cap
-    lengths = (
-        wanted.where(F.size("tokens") >= MIN_ITEM)
-        .select(F.least(F.size("tokens"), F.lit(max(25, 2 * overlap))).alias("n")).distinct().collect()
-    )
-    masks = tuple(sorted({m for r in lengths for m in masks_of(r["n"], overlap)}))
+    # from this length on items need as many equal tokens, and have the same masks
+    top = -(-5 * overlap // 4)
+    lengths = wanted.where("size(tokens) > 0").select(F.least(F.size("tokens"), F.lit(top)).alias("n")).distinct().collect()
+    by_length = {r["n"]: masks_of(r["n"], overlap) for r in lengths}
+    seed_rows = materialize(wanted.mapInArrow(_seed_rows(by_length, top), "seed long, item long, at long"), "seeds")
+    masks = tuple(sorted({m for own in by_length.values() for m in own}))
     bitmap = spark.sparkContext.broadcast(_bitmap(seed_rows))
     found = rows.select("raw", "size", "text").mapInArrow(_hits(bitmap, masks), "raw long, size long, seed long, pos long")
     aligned = materialize(

@@ -186,25 +186,46 @@ def test_decontamination(spark):
     docs = {
         1: noise(50) + item + noise(20), 2: noise(9) + swapped + noise(9), 3: noise(300), 4: [w.upper() + "," for w in item],
         5: noise(20) + item[:11] + noise(20), 6: noise(5) + item[:20], 7: short, 8: noise(30) + short + noise(3), 9: short[:4], 10: item[20:] + other,
-        11: [w for w in item for _ in (0, 1)],
+        11: [w for w in item for _ in (0, 1)], 15: noise(8) + ["one", "two", "three", "four"] + noise(8), 16: noise(8) + ["one", "two", "three"],
     }
     rows = [(i, " ".join(w), "x", 1) for i, w in docs.items()] + [(12, None, "x", 1), (13, "", "x", 1), (None, " ".join(item), "x", 1), (1, " ".join(docs[1]), "x", 1)]
     frame = spark.createDataFrame(rows, "doc_id long, text string, item string, size int")
     items = spark.createDataFrame(
-        [(100, " ".join(item), "e"), (101, " ".join(short), "e"), (102, "one two", "e"), (103, None, "e"), (104, " ".join(other), "e"), (104, " ".join(other), "e")],
+        [(100, " ".join(item), "e"), (101, " ".join(short), "e"), (102, "one two three four", "e"), (103, None, "e"), (105, " ", "e"), (104, " ".join(other), "e"), (104, " ".join(other), "e")],
         "item_id long, text string, seed string",
     )
     got = decontaminate.leaks(frame, items).collect()
     pairs = sorted((r["id"] or 0, r["item"]) for r in got)
-    assert pairs == [(0, 100), (1, 100), (1, 100), (2, 100), (4, 100), (6, 100), (7, 101), (8, 101), (10, 100), (10, 104)]
+    assert pairs == [(0, 100), (1, 100), (1, 100), (2, 100), (4, 100), (6, 100), (7, 101), (8, 101), (9, 101), (10, 100), (10, 104), (15, 102)]
     first = next(r for r in got if r["id"] == 1)
     assert (first["overlap_tokens"], first["item_tokens"], first["start_token"]) == (40, 40, 50)
     clean = decontaminate.drop_leaks(frame, items)
     assert clean.columns == frame.columns
-    assert sorted(r["doc_id"] for r in clean.collect()) == [3, 5, 9, 11, 12, 13]
+    assert sorted(r["doc_id"] for r in clean.collect()) == [3, 5, 11, 12, 13, 16]
     assert decontaminate.leaks(frame, items.limit(0)).count() == 0 == decontaminate.leaks(frame.limit(0), items).count()
 
 
+def test_mask_families_are_spaced_and_lossless():
+    rng = random.Random(21)
+    for n in [*range(1, 18), 24, 40]:
+        masks, least = decontaminate.masks_of(n), min(decontaminate.needed(n), 13)
+        assert n < 3 or all("0" in m for m in masks)
+        assert all(m[0] == m[-1] == "1" for m in masks) and len(masks) <= decontaminate.FAMILY
+        longest = n if least < 13 else 32
+        for size, sets in decontaminate.runs(least, longest):
+            for m in masks:
+                sets = decontaminate.missed(size, sets, m)
+            assert not len(sets), (n, size)
+        # any run that counts, drawn at random, with plain strings
+        for _ in range(300):
+            size = rng.randrange(least, max(least, min(n, 60)) + 1)
+            bad = {p for p in range(1, size - 1) if rng.random() < rng.choice([0.1, 0.2, 0.3])}
+            if size - len(bad) >= least and 5 * (size - len(bad)) >= 4 * size:
+                fits = (all(x == "0" or at + i not in bad for i, x in enumerate(m)) for m in masks for at in range(size - len(m) + 1))
+                assert any(fits), (n, size, bad)
+    assert min(m.count("1") for m in decontaminate.masks_of(40)) == 6
+
+
 def test_best_run_is_the_best_of_all():
     import numpy as np
 
@@ -221,13 +242,13 @@ def test_replaced_tokens_at_every_place(spark):
     import itertools
 
     docs, want = [], set()
-    for n in range(5, 21):
+    for n in range(1, 21):
         item = [f"i{n}x{k}" for k in range(n)]
         for count in (0, 1, 2):
             for gone in itertools.combinations(range(n), count):
                 text = " ".join(["before", "it", *("zzz" if k in gone else w for k, w in enumerate(item)), "after", "it"])
                 equal = [k not in gone for k in range(n)]
-                most = max(sum(equal[a:b]) for a in range(n) for b in range(a + 1, n + 1) if 5 * sum(equal[a:b]) >= 4 * (b - a))
+                most = max((sum(equal[a:b]) for a in range(n) for b in range(a + 1, n + 1) if 5 * sum(equal[a:b]) >= 4 * (b - a)), default=0)
                 if most >= min(13, -(-4 * n // 5)):
                     want.add((len(docs), n))
                 docs.append((len(docs), text))
@@ -235,7 +256,7 @@ def test_replaced_tokens_at_every_place(spark):
     for shift in range(5):
         want.add((len(docs), 30))
         docs.append((len(docs), " ".join("zzz" if k % 5 == shift else w for k, w in enumerate(fifth))))
-    items = [(n, " ".join(f"i{n}x{k}" for k in range(n))) for n in range(5, 21)] + [(30, " ".join(fifth))]
+    items = [(n, " ".join(f"i{n}x{k}" for k in range(n))) for n in range(1, 21)] + [(30, " ".join(fifth))]
     got = decontaminate.leaks(
         spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
     ).collect()
