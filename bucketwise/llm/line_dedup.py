@@ -69,8 +69,8 @@ def _marks(gone: Column) -> Column:
 def _repeated(base: DataFrame) -> DataFrame:
     """doc, gone: the sorted places of lines that are removed."""
     keys = materialize(_exploded(base, False).groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"), "keys")
-    # repeated rows give equal places
-    found = materialize(_exploded(base, True).join(keys.hint("merge"), "key", "left_semi").distinct(), "windows")
+    # a row that repeats gives the same places again, which are the first one's or counted once below
+    found = materialize(_exploded(base, True).join(keys.hint("merge"), "key", "left_semi"), "windows")
     place = F.struct("rank", "doc", "at", "last")
     # tables of their own, so that the joins have two plain exchanges and Spark can split a hot window
     groups = materialize(
