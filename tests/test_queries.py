@@ -12,7 +12,7 @@ ROOT = Path(__file__).resolve().parents[1]
 NAMES = (
     "asof_price", "dedupe_quarantine", "ladder_topology", "group_acceptance", "score_split", "market_text",
     "price_explode", "weather_unpivot", "trades_normalize", "upsert_children", "stream_upsert",
-    "snapshot_jsonl_roundtrip",
+    "snapshot_jsonl_roundtrip", "ladder_match", "merge_latest", "merge_children", "route_outcomes", "collection_counters",
 )
 
 
