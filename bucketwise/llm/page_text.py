@@ -3,21 +3,28 @@
 Markup is stripped into lines, one per block element. Lines of page furniture (menus, page headers and footers, sidebars,
 notices, adverts, forms, comments, scripts, styles) and lines that are mostly links weigh nothing. The text lengths of the
 others are summed over a sliding window of ``WINDOW`` lines: where the sum rises over the surge level the main text
-begins, where it falls to nothing it ends. The level is relative to the page's highest window, so short pages have one too.
+begins, where it falls to nothing it ends. The level is a part of the page's highest window, so short pages have one too,
+but never more than ``LEVEL``, so that one very long line does not hide the others.
 
-What lies between a surge and the next dive is main text. Its edges are then set by structure: inside an ``article`` or
-``main`` element the whole element's lines belong to it, elsewhere the headings and paragraphs that adjoin it. Nothing
-else is dropped or cut.
+What lies between a surge and the next dive is main text. Its edges are then set by structure. Where ``article`` and
+``main`` elements hold more than half of the page's weight, the page is read without the rest, and every such element with
+a surge belongs to the main text as a whole. Where they hold less they are teasers beside it and left out. Headings and
+paragraphs that adjoin a surge belong to it. Nothing else is dropped or cut.
+
+Time and memory are linear in the page: tags are read once, and the walk keeps counters and places per element name
+in place of searches through its open elements.
 
 Defined cases: null, empty or text-free html gives an empty text; markup may be unclosed or wrongly nested: an end tag
-without a start is skipped, and page furniture that is never closed ends where an article, a main element or its parent's
-end begins; repeated rows are extracted one by one; ids and urls come back as they are; other columns take no part.
+without a start is skipped, a ``<`` that no ``>`` follows is text, and page furniture that is never closed ends where an
+article, a main element or its parent's end begins; in a page whose quotes fail to close again and again, tags end at the
+next ``>``; repeated rows are extracted one by one; ids and urls come back as they are; other columns take no part.
 """
 
 from __future__ import annotations
 
 import html
 import re
+from collections import deque
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -27,17 +34,23 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from bucketwise.llm.textkit import pieces, table
 
 WINDOW = 3
-#: part of the page's highest window from which on a line is in a surge
-SURGE = 0.1
+#: part of the page's highest window from which on a line is in a surge, and the characters that are enough on any page
+SURGE, LEVEL = 0.1, 200
+#: part of the page's weight over which article and main elements hold the main text
+HOME_SHARE = 0.5
+#: a paragraph of more words inside an article is text under names that may mean page furniture or not
+PROSE_WORDS = 5
 LINK_SHARE = 0.6
 
-_TAG = re.compile(
-    r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>"
-    r"|<(?P<end>/?)(?P<name>[a-zA-Z][^\s/>]*)(?P<rest>(?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>"
-    r"|<(?P<end2>/?)(?P<name2>[a-zA-Z][^\s/>]*)(?P<rest2>[^>]*)>",
-    re.S,
-)
-_ATTRIBUTE = re.compile(r"([a-zA-Z:-]+)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+)|\b(hidden)\b")
+_START = re.compile(r"<(?:(?P<skip>!--|!\[CDATA\[)|[!?]|/?[a-zA-Z])")
+_NAME = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)")
+_QUOTED = re.compile(r"(?:[^>\"']|\"[^\"]*+\"|'[^']*+')*+>")
+#: failed searches for closing quotes may cost so many times the page
+_PATIENCE = 8
+_ATTRIBUTE = re.compile(r"([^\s\"'>/=]++)(?:\s*+=\s*+(\"[^\"]*+\"|'[^']*+'|[^\s\"'>]++))?")
+_SPLIT = re.compile(r"[^a-z0-9]+")
+#: decimal references beyond any code point; int() takes no text of thousands of digits
+_HUGE = re.compile(r"&#0*+[1-9][0-9]{7,}+")
 
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: their content is not text
@@ -54,6 +67,9 @@ _WORDS = frozenset(
     "newsletter notice notices pagination pager popup promo promoted related respond share sharing sidebar sidenav signup "
     "skip social sponsor sponsored subnav subscribe subscription toolbar topbar topnav widget".split()
 )
+#: of these, the ones that an article's own parts may carry too
+_UNSURE = frozenset("alert banner promoted respond share sharing skip social toolbar widget".split())
+_SURE = _WORDS - _UNSURE
 #: a header of these is the article's own
 _OWN_HEADER = frozenset("article content entry page post story".split())
 _ROLES = frozenset("navigation banner contentinfo complementary search dialog alertdialog alert form menu menubar".split())
@@ -76,9 +92,11 @@ class Line:
 @dataclass
 class _Open:
     name: str
-    furniture: bool
+    furniture: int  # 0 none, 1 by an unsure name, 2 certain
     home: int
-    closed: bool
+    block: int  # place of the nearest element that is not inline, itself included, -1 for none
+    scope: int  # place of the nearest of _SCOPES, itself included, -1 for none
+    gone: bool = False  # an inline element that was closed below others
 
 
 @dataclass
@@ -87,6 +105,9 @@ class _Pages:
 
     lines: list[Line] = field(default_factory=list)
     stack: list[_Open] = field(default_factory=list)
+    places: dict[str, list[int]] = field(default_factory=dict)  # of the open elements of a name, ascending
+    loose: deque[int] = field(default_factory=deque)  # of furniture without an end tag, ascending
+    within: list[int] = field(default_factory=lambda: [0, 0, 0])  # open elements by kind of furniture
     text: list[str] = field(default_factory=list)
     linked: int = 0
     links: int = 0
@@ -94,42 +115,76 @@ class _Pages:
 
     @property
     def furniture(self) -> bool:
-        return any(e.furniture for e in self.stack)
+        return self.within[1] + self.within[2] > 0
 
     @property
     def home(self) -> int:
         return self.stack[-1].home if self.stack else 0
 
+    def last(self, name: str) -> int:
+        places = self.places.get(name)
+        return places[-1] if places else -1
+
+    def push(self, element: _Open, closed: bool) -> None:
+        at = len(self.stack)
+        self.stack.append(element)
+        self.places.setdefault(element.name, []).append(at)
+        self.within[element.furniture] += 1
+        if element.furniture and not closed:
+            self.loose.append(at)
+
+    def leave(self, at: int) -> None:
+        """Count the newest open element of its name as closed."""
+        element = self.stack[at]
+        element.gone = True
+        self.places[element.name].pop()
+        self.within[element.furniture] -= 1
+
+    def cut(self, size: int) -> None:
+        """Close all but the lowest ``size`` elements, and the closed ones on top of those."""
+        while self.stack and (len(self.stack) > size or self.stack[-1].gone):
+            if not self.stack[-1].gone:
+                self.leave(len(self.stack) - 1)
+            self.stack.pop()
+        while self.loose and self.loose[-1] >= len(self.stack):
+            self.loose.pop()
+
     def flush(self) -> None:
         text = " ".join("".join(self.text).split())
         if text:
-            kind = next((e.name for e in reversed(self.stack) if e.name not in _INLINE), "body")
-            self.lines.append(Line(text, self.linked, kind, self.home, self.furniture))
+            block = self.stack[-1].block if self.stack else -1
+            line = Line(text, self.linked, self.stack[block].name if block >= 0 else "body", self.home, False)
+            unsure = self.within[1] > 0 and not (self.home and _is_prose(line))
+            line.furniture = self.within[2] > 0 or unsure
+            self.lines.append(line)
         self.text, self.linked = [], 0
 
 
+def _is_prose(line: Line) -> bool:
+    return line.kind in ("p", "blockquote", "pre") and len(line.text.split()) > PROSE_WORDS and not _mostly_links(line)
+
+
 def _attributes(rest: str) -> dict[str, str]:
-    out = {}
+    out: dict[str, str] = {}
+    if not rest.strip(" /"):
+        return out
     for m in _ATTRIBUTE.finditer(rest):
-        if m[3]:
-            out["hidden"] = ""
-        else:
-            out.setdefault(m[1].lower(), m[2].strip("\"'"))
+        out.setdefault(m[1].lower(), (m[2] or "").strip("\"'"))
     return out
 
 
-def _is_furniture(name: str, rest: str, in_home: bool) -> bool:
+def _furniture_of(name: str, own: dict[str, str], in_home: bool) -> int:
     if name in _FURNITURE or (name == "header" and not in_home):
-        return True
-    if name in _NEVER or not rest.strip(" /"):
-        return False
-    own = _attributes(rest)
-    words = re.split(r"[^a-z0-9]+", f"{own.get('class', '')} {own.get('id', '')}".lower())
-    if not _WORDS.isdisjoint(words) or own.get("role", "").lower() in _ROLES:
-        return True
+        return 2
+    if name in _NEVER or not own:
+        return 0
+    words = set(_SPLIT.split(f"{own.get('class', '')} {own.get('id', '')}".lower()))
+    hidden = "hidden" in own or own.get("aria-hidden") == "true" or "display:none" in own.get("style", "").replace(" ", "").lower()
+    if hidden or own.get("role", "").lower() in _ROLES or words & _SURE:
+        return 2
     if "header" in words and not in_home and _OWN_HEADER.isdisjoint(words):
-        return True
-    return "hidden" in own or own.get("aria-hidden") == "true" or "display:none" in own.get("style", "").replace(" ", "").lower()
+        return 2
+    return 0 if _UNSURE.isdisjoint(words) else 1 if in_home else 2
 
 
 def _matched(tags: list[tuple[int, int, bool, str, str]]) -> set[int]:
@@ -146,27 +201,48 @@ def _matched(tags: list[tuple[int, int, bool, str, str]]) -> set[int]:
 
 def _tags(page: str) -> list[tuple[int, int, bool, str, str]]:
     """(start, end, is an end tag, name, attributes) of the page's tags; comments and raw content are passed over."""
-    out, at = [], 0
-    while (m := _TAG.search(page, at)) is not None:
-        name = (m["name"] or m["name2"] or "").lower()
-        at = m.end()
-        if not name:
-            out.append((m.start(), m.end(), False, "", ""))
+    out: list[tuple[int, int, bool, str, str]] = []
+    at, last, patience = 0, page.rfind(">"), _PATIENCE * len(page)
+    unclosed: set[str] = set()  # raw elements without an end tag from here on
+    while (m := _START.search(page, at)) is not None:
+        start = m.start()
+        if m["skip"]:
+            end = "-->" if m["skip"] == "!--" else "]]>"
+            close = page.find(end, m.end())
+            at = close + len(end) if close >= 0 else len(page)
+            out.append((start, at, False, "", ""))
+            continue
+        if start > last:  # only a comment can come now
+            at = m.end()
+            continue
+        tag = _NAME.match(page, start)
+        if tag is None:
+            at = page.find(">", start) + 1
+            out.append((start, at, False, "", ""))
             continue
-        ends = bool(m["end"] or m["end2"])
-        rest = (m["rest"] if m["name"] else m["rest2"]) or ""
+        quoted = _QUOTED.match(page, tag.end()) if patience > 0 else None
+        if quoted is None:
+            patience -= len(page) - start
+        at = quoted.end() if quoted else page.find(">", tag.end()) + 1
+        ends, name, rest = bool(tag[1]), tag[2].lower(), page[tag.end() : at - 1]
         if name in _RAW and not ends and not rest.endswith("/"):
-            close = re.compile(rf"</{re.escape(name)}\s*>", re.I).search(page, at)
+            close = None if name in unclosed else re.compile(rf"</{re.escape(name)}\s*+>", re.I).search(page, at)
+            if close is None:
+                unclosed.add(name)
             if close is None and name in ("head", "template", "noscript", "object"):
-                out.append((m.start(), m.end(), False, "", ""))
+                out.append((start, at, False, "", ""))
                 continue
             at = close.end() if close else len(page)
-            out.append((m.start(), at, False, "", ""))
+            out.append((start, at, False, "", ""))
             continue
-        out.append((m.start(), m.end(), ends, name, rest))
+        out.append((start, at, ends, name, rest))
     return out
 
 
+def _plain(chunk: str) -> str:
+    return html.unescape(_HUGE.sub("&#99999999", chunk))
+
+
 def lines_of(page: str) -> list[Line]:
     tags = _tags(page)
     matched = _matched(tags)
@@ -175,7 +251,7 @@ def lines_of(page: str) -> list[Line]:
         chunk = page[at:start]
         at = end
         if chunk:
-            text = html.unescape(chunk)
+            text = _plain(chunk)
             walk.text.append(text)
             if walk.links:
                 walk.linked += len("".join(text.split()))
@@ -195,43 +271,42 @@ def lines_of(page: str) -> list[Line]:
             _open(walk, name, rest, start in matched)
     tail = page[at:]
     if tail:
-        walk.text.append(html.unescape(tail))
+        walk.text.append(_plain(tail))
     walk.flush()
     return walk.lines
 
 
 def _open(walk: _Pages, name: str, rest: str, closed: bool) -> None:
-    stack = walk.stack
     if name in ("article", "main"):  # furniture that nobody closes ends here
-        while (k := next((i for i, e in enumerate(stack) if e.furniture and not e.closed), None)) is not None:
-            del stack[k:]
-    closes = _CLOSES.get(name)
-    if closes:
-        for i in range(len(stack) - 1, -1, -1):
-            if stack[i].name in closes:
-                del stack[i:]
-                break
-            if stack[i].name in _SCOPES:
-                break
-    furniture = _is_furniture(name, rest, walk.home > 0)
-    home = walk.home
-    if (name in ("article", "main") or 'articlebody' in rest.lower() or re.search(r"role\s*=\s*[\"']?main", rest)) and not walk.furniture:
+        while walk.loose and walk.stack[walk.loose[0]].gone:
+            walk.loose.popleft()
+        if walk.loose:
+            walk.cut(walk.loose[0])
+    if name in _CLOSES:
+        at = max(walk.last(x) for x in _CLOSES[name])
+        if at >= 0 and at >= walk.stack[-1].scope:
+            walk.cut(at)
+    own = _attributes(rest)
+    furniture = _furniture_of(name, own, walk.home > 0)
+    home, at = walk.home, len(walk.stack)
+    is_home = name in ("article", "main") or "articlebody" in rest.lower() or own.get("role", "").lower() == "main"
+    if is_home and name not in _INLINE and not walk.furniture:
         walk.homes += 1
         home = home or walk.homes
-    stack.append(_Open(name, furniture, home, closed))
+    block = at if name not in _INLINE else walk.stack[-1].block if walk.stack else -1
+    scope = at if name in _SCOPES else walk.stack[-1].scope if walk.stack else -1
+    walk.push(_Open(name, furniture, home, block, scope), closed)
 
 
 def _close(walk: _Pages, name: str) -> None:
-    stack = walk.stack
-    for i in range(len(stack) - 1, -1, -1):
-        if stack[i].name == name:
-            if name in _INLINE:
-                del stack[i]
-            else:
-                del stack[i:]
-            return
-        if name in _INLINE and stack[i].name not in _INLINE:
-            return
+    at = walk.last(name)
+    if at < 0:
+        return
+    if name not in _INLINE:
+        walk.cut(at)
+    elif at > walk.stack[-1].block:
+        walk.leave(at)
+        walk.cut(len(walk.stack))
 
 
 def weight(line: Line) -> int:
@@ -247,7 +322,7 @@ def surges(weights: list[int]) -> list[tuple[int, int]]:
         sums.append(total)
     # window sums ending at i reach ahead; take the highest window that covers the line
     cover = [max(sums[i : i + WINDOW]) for i in range(len(sums))]
-    level = max(cover, default=0) * SURGE
+    level = min(max(cover, default=0) * SURGE, LEVEL)
     out, first = [], None
     for i, w in enumerate(weights):
         if first is None and w and cover[i] >= level:
@@ -261,22 +336,22 @@ def surges(weights: list[int]) -> list[tuple[int, int]]:
 
 
 def main_text(page: str) -> str:
-    lines = lines_of(page)
-    free = [x for x in lines if not x.furniture]
-    if any(x.home for x in free):
-        free = [x for x in free if x.home]
-    weights = [weight(x) for x in free]
-    chosen: set[int] = set()
-    for first, end in surges(weights):
-        chosen.update(range(first, end))
-        while first > 0 and free[first - 1].kind in _TEXT_BLOCKS and not _mostly_links(free[first - 1]):
-            first -= 1
-        while end < len(free) and free[end].kind in _TEXT_BLOCKS and not _mostly_links(free[end]):
-            end += 1
-        chosen.update(range(first, end))
-    homes = {free[i].home for i in chosen} - {0}
-    kept = [x for i, x in enumerate(free) if (i in chosen and not _mostly_links(x)) or x.home in homes]
-    return " ".join(x.text for x in kept)
+    free = [x for x in lines_of(page) if not x.furniture]
+    at_home = sum(weight(x) for x in free if x.home)
+    if at_home:
+        inside = at_home > HOME_SHARE * sum(map(weight, free))
+        free = [x for x in free if bool(x.home) == inside]
+    chosen = [False] * len(free)
+    for first, end in surges([weight(x) for x in free]):
+        chosen[first:end] = [True] * (end - first)
+    # headings and paragraphs that adjoin, first those behind a surge, then those before
+    joins = [x.kind in _TEXT_BLOCKS and not _mostly_links(x) for x in free]
+    for i in range(1, len(free)):
+        chosen[i] = chosen[i] or (joins[i] and chosen[i - 1])
+    for i in range(len(free) - 2, -1, -1):
+        chosen[i] = chosen[i] or (joins[i] and chosen[i + 1])
+    homes = {x.home for x, c in zip(free, chosen) if c} - {0}
+    return " ".join(x.text for x, c in zip(free, chosen) if (c and not _mostly_links(x)) or x.home in homes)
 
 
 def _mostly_links(line: Line) -> bool:

@@ -2,9 +2,11 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import html
 import json
 import random
 import re
+import time
 from pathlib import Path
 
 from bucketwise.llm import chat, decontaminate, license_scan, page_text, secret_scan
@@ -169,6 +171,108 @@ def test_pages():
     assert page_text.main_text(long) == "word " * 200_000 + "x"
 
 
+def test_pages_with_other_shapes():
+    story = [f"Paragraph {i} of the story goes on for quite a while, as stories do, and then it ends." for i in range(12)]
+    body = "".join(f"<p>{x}</p>" for x in story)
+    teaser = "<article><h2>Teaser</h2><p>Read more</p><p>short.</p></article>"
+    for page in (f"<div>{body}</div>{teaser}", f"{teaser}<div>{body}</div>", f"<main>{body}</main><aside>{teaser}</aside>"):
+        assert page_text.main_text(page) == " ".join(story), page
+    lines = [str(i) + "x" * 40 + " " + "y" * 56 for i in range(10)]
+    last = "long " * 999 + "end"
+    assert page_text.main_text("".join(f"<div>{x}</div>" for x in lines) + f"<div>{last}</div>") == " ".join([*lines, last])
+    price = "The price of one share rose by four in a hundred on Monday."
+    for markup in (f"<div class='share-price widget'><p>{price}</p></div>", f"<p class='share-price widget'>{price}</p>"):
+        page = f"<article><p>{story[0]}</p>{markup}<div class='social-share'><p>Share this:</p><a href=x>Mail</a></div><p>{story[1]}</p></article>"
+        assert page_text.main_text(page) == f"{story[0]} {price} {story[1]}"
+    assert page_text.main_text("<p>a &#x41;&#65;&#0000000000066; b" + "&#" + "9" * 5000 + ";</p>") == "a AAB b\ufffd"
+    assert page_text.main_text("<p title='1 > 0'>a</p><p title='>b</p><p>c</p>") == "a b c"
+
+
+def _random_page(rng):
+    """A page of random parts and the text of its article."""
+    def sentence(n):
+        return " ".join(rng.choice(["stone", "river", "caf\u00e9", "light", "a&b", "x<y", "many", "old"]) for _ in range(n)) + "."
+
+    def mark(text):
+        words = [html.escape(w) for w in text.split()]
+        k = rng.randrange(len(words))
+        words[k] = rng.choice(["<b>{}</b>", "<i><em>{}</em></i>", "<span class=x>{}</span>", "{}", "{}<!-- <p>no</p> -->"]).format(words[k])
+        return rng.choice([" ", "\n  ", "\t"]).join(words)
+
+    def furniture():
+        text = html.escape(sentence(rng.randrange(1, 60)))
+        return rng.choice([
+            "<nav><ul><li><a href='/'>{}</a></li></ul></nav>", "<footer><p>{}</p></footer>", "<aside><div><p>{}</p></div></aside>",
+            "<div class='ad-slot'><p>{}</p></div>", "<section id=comments><p>{}</p><p>nice</p></section>", "<form><p>{}</p><input></form>",
+            "<script>var a = '<p>{}</p>';</script>", "<style>p {{}} /* {} */</style>", "<div class=\"cookie notice\"><p>{}</p></div>",
+            "<div hidden><p>{}</p></div>", "<div role='navigation'>{}</div>",
+        ]).format(text)
+
+    blocks = [sentence(rng.randrange(8, 40)) for _ in range(rng.randrange(1, 12))]
+    tags = [rng.choice(["p", "p", "h2", "blockquote", "li"]) for _ in blocks]
+    inner = "".join(f"<{t}>{mark(b)}</{t}>" + (furniture() if rng.random() < 0.2 else "") for t, b in zip(tags, blocks))
+    holder = rng.choice(["<article>{}</article>", "<main>{}</main>", "<main><article>{}</article></main>", "<div class=content>{}</div>"])
+    before, after = ("".join(furniture() for _ in range(rng.randrange(4))) for _ in range(2))
+    return f"<html><head><title>T</title></head><body>{before}{holder.format(inner)}{after}</body></html>", " ".join(blocks)
+
+
+def test_random_pages_give_their_articles(spark):
+    rng = random.Random(5)
+    pages = [_random_page(rng) for _ in range(400)]
+    frame = spark.createDataFrame([(i, "u", page) for i, (page, _) in enumerate(pages)], "page_id long, url string, html string")
+    got = {r["id"]: (r["text"], r["n_chars"]) for r in page_text.extract(frame).collect()}
+    for i, (page, want) in enumerate(pages):
+        assert got[i] == (want, len(want)), page
+
+
+def test_walk_agrees_with_a_plain_stack():
+    """Kinds of furniture, homes and blocks by counters and places, against searches through all open elements."""
+    rng = random.Random(50)
+    names = ["p", "div", "b", "i", "span", "li", "ul", "article", "td", "tr", "table", "h1", "aside"]
+    for _ in range(400):
+        walk, plain = page_text._Pages(), []
+        for _ in range(60):
+            name = rng.choice(names)
+            inline = name in page_text._INLINE
+            if rng.random() < 0.5:
+                rest = rng.choice(["", "", " class='ad'", " class=x"])
+                page_text._open(walk, name, rest, True)
+                targets = page_text._CLOSES.get(name, ())
+                for k in range(len(plain) - 1, -1, -1):
+                    if plain[k][0] in targets:
+                        del plain[k:]
+                        break
+                    if targets and plain[k][0] in page_text._SCOPES:
+                        break
+                plain.append((name, name == "aside" or (name != "article" and "'ad'" in rest)))
+            else:
+                page_text._close(walk, name)
+                for k in range(len(plain) - 1, -1, -1):
+                    if plain[k][0] == name:
+                        plain[k:] = plain[k + 1 :] if inline else []
+                        break
+                    if inline and plain[k][0] not in page_text._INLINE:
+                        break
+            assert [e.name for e in walk.stack if not e.gone] == [x for x, _ in plain]
+            assert walk.furniture == any(f for _, f in plain)
+            block = walk.stack[walk.stack[-1].block].name if walk.stack and walk.stack[-1].block >= 0 else None
+            assert block == next((x for x, _ in reversed(plain) if x not in page_text._INLINE), None)
+
+
+def test_long_and_broken_pages_take_linear_time():
+    shapes = ["<a ", "<div>x", "<b>x", "<p><b></i>", "<h1><p></p>", "<!", "<head>", "<script", "<a \"'", "<a 'x>", "<p =", "<article>x",
+              "<aside><b></b>x", "</b>", "<i class=ad>", "a<aaaa", "<li><i></b>"]
+    for shape in shapes:
+        for tail in ("", "'>"):
+            page = shape * (100_000 // len(shape)) + tail
+            start = time.process_time()
+            page_text.main_text(page)
+            assert time.process_time() - start < 3, (shape, tail)
+    start = time.process_time()
+    page_text.main_text("<a " * 350_000)
+    assert time.process_time() - start < 4
+
+
 def test_page_rows(spark):
     rows = [(1, "u", "<article><p>a</p></article>", 1), (1, "u", "<article><p>a</p></article>", 1), (None, None, None, 2), (2, "", "", 0)]
     got = page_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string, text int")).collect()
