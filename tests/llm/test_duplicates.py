@@ -198,7 +198,7 @@ def test_planted_passages_are_removed_whole(spark):
 
 @pytest.mark.parametrize("keys", [1 << 62, 3])
 def test_passages_equal_brute_force(spark, monkeypatch, keys):
-    monkeypatch.setattr(line_dedup, "window_key", lambda body: F.pmod(F.xxhash64(body), F.lit(keys)))  # few keys: windows collide
+    monkeypatch.setattr(line_dedup, "line_key", lambda line: F.pmod(F.xxhash64(line), F.lit(keys)))  # few keys: lines collide
     rng = random.Random(18)
     pool = ["a", "b", "c d", " ", "", "x " * 51, " é" * 50, "last\r", "e f g"]
     rows = [(i, "\n".join(rng.choice(pool[: rng.randrange(2, 10)]) for _ in range(rng.randrange(9)))) for i in range(60)]
