@@ -10,7 +10,7 @@ base64 or hex are decoded and reported only if their structure holds:
   signed token;
 - ``jwt``: a signed token whose header decodes to an object with an algorithm and whose payload decodes to an object.
 
-Texts are scanned whole, per task in pieces of bounded size. Defined cases: null text is empty; an empty text has no
+A wrapped run is decoded once, whatever number of its lines could begin a secret. Texts are scanned whole, per task in pieces of bounded size. Defined cases: null text is empty; an empty text has no
 spans; ids of any kind, null too, come back as they are; repeated rows are scanned one by one; other columns take no part.
 """
 
@@ -18,9 +18,11 @@ from __future__ import annotations
 
 import base64
 import binascii
+import codecs
 import hashlib
 import json
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -48,6 +50,8 @@ _WRAP = re.compile(r"(?:\\r)?\\n[ \t]*|\r?\n[ \t]*|\r[ \t]*")
 _PART = re.compile(r"[A-Za-z0-9+/_-]+={0,2}")
 _HEX = re.compile(r"(?<![0-9A-Fa-f])[0-9A-Fa-f]{48,}(?![0-9A-Fa-f])")
 _JWT = re.compile(r"(?<![A-Za-z0-9_-])e[A-Za-z0-9_-]{9,}\.[A-Za-z0-9_-]{2,}\.[A-Za-z0-9_-]*")
+_TOKEN = re.compile(rb"e[A-Za-z0-9_-]{9,}\.[A-Za-z0-9_-]{2,}\.[A-Za-z0-9_-]*")
+_TOKEN_LETTERS = re.compile(rb"[A-Za-z0-9_-]*+")
 _OPENSSH = b"openssh-key-v1\x00"
 
 
@@ -62,7 +66,7 @@ def decode64(text: str) -> bytes | None:
         return None
 
 
-def der_items(data: bytes) -> list[tuple[int, bytes]] | None:
+def der_items(data: bytes | memoryview) -> list[tuple[int, bytes | memoryview]] | None:
     """(tag, content) of consecutive items that fill ``data`` exactly; None otherwise."""
     out, at = [], 0
     while at < len(data):
@@ -84,11 +88,11 @@ def der_items(data: bytes) -> list[tuple[int, bytes]] | None:
     return out
 
 
-def is_key(data: bytes | None) -> bool:
+def is_key(data: bytes | memoryview | None) -> bool:
     """A private key by its encoding."""
     if not data:
         return False
-    if data.startswith(_OPENSSH):
+    if data[: len(_OPENSSH)] == _OPENSSH:
         return _openssh(data[len(_OPENSSH) :])
     outer = der_items(data)
     if not outer or len(outer) != 1 or outer[0][0] != 0x30:
@@ -110,12 +114,12 @@ def is_key(data: bytes | None) -> bool:
     return tags[:2] == [0x02, 0x04] and items[0][1] == b"\x01" and len(items[1][1]) >= 16  # SEC 1
 
 
-def _algorithm(data: bytes) -> bool:
+def _algorithm(data: bytes | memoryview) -> bool:
     inner = der_items(data)
     return bool(inner) and inner[0][0] == 0x06 and len(inner[0][1]) >= 3
 
 
-def _openssh(data: bytes) -> bool:
+def _openssh(data: bytes | memoryview) -> bool:
     """Cipher, key derivation and its options as fields of stated length, then the number of keys and their fields."""
     at = 0
     for _ in range(3):
@@ -206,9 +210,10 @@ def _base64_spans(text: str) -> list[tuple[int, int]]:
             out.append((m.start(), m.end()))
             continue
         lines = _wrapped(text, m)
+        block = _Block(text, lines) if len(lines) > 1 else None
         at = 0
-        while len(lines) > 1 and at < len(lines):
-            n = next((n for n in _ends(text, lines, at) if is_secret(decode64("".join(text[a:b] for a, b in lines[at:n])))), 0)
+        while block and at < len(lines):
+            n = next((n for n in _ends(text, lines, at) if block.is_secret(at, n)), 0)
             if n:
                 out.append((lines[at][0], lines[n - 1][1]))
             at = n or at + 1
@@ -216,6 +221,76 @@ def _base64_spans(text: str) -> list[tuple[int, int]]:
     return out
 
 
+class _Suffixes:
+    """What begins at ascending places of decoded bytes and goes to their end; the bytes are read once for all places."""
+
+    def __init__(self, data: memoryview) -> None:
+        self.data = data
+        self.broken = -1  # no suffix from here or before is text
+        self.searched = False  # a suffix that is text was searched and holds no secret
+        self.run = -1  # end of the last run of token letters
+
+    def is_secret(self, at: int) -> bool:
+        head = bytes(self.data[at : at + len(_OPENSSH)])
+        if not head:
+            return False
+        if head[0] == 0x30 or head == _OPENSSH:
+            return is_key(self.data[at:])
+        if at <= self.broken:
+            return False
+        if not self.searched:
+            text = self._text(at)
+            self.searched = text is not None
+            return self.searched and (any(_is_pem(m) for m in _PEM.finditer(text)) or any(is_token(m[0]) for m in _JWT.finditer(text)))
+        # searched from an earlier place: only a token that begins right here could be new
+        if head[:1] != b"e":
+            return False
+        if at >= self.run:
+            self.run = _TOKEN_LETTERS.match(self.data, at).end()
+        token = _TOKEN.match(self.data, at) if self.data[self.run : self.run + 1] == b"." else None
+        return token is not None and is_token(token[0].decode())
+
+    def _text(self, at: int) -> str | None:
+        """The suffix as text. Pieces grow, so that a fault costs no more than what lies before it."""
+        decoder, out, start, size = codecs.getincrementaldecoder("utf-8")(), [], at, 256
+        while start < len(self.data):
+            end = min(start + size, len(self.data))
+            held = len(decoder.getstate()[0])
+            try:
+                out.append(decoder.decode(self.data[start:end], final=end == len(self.data)))
+            except UnicodeDecodeError as fault:
+                self.broken = start - held + fault.start
+                return None
+            start, size = end, size * 2
+        return "".join(out)
+
+
+class _Block:
+    """A wrapped run of base64, decoded once for each of the four ways in which lines can begin in a group of signs."""
+
+    def __init__(self, text: str, lines: list[tuple[int, int]]) -> None:
+        self.signs = "".join(text[a:b] for a, b in lines).rstrip("=").replace("-", "+").replace("_", "/")
+        self.width, self.n_lines = lines[0][1] - lines[0][0], len(lines)
+        self.decoded: dict[int, memoryview] = {}
+        self.suffixes: dict[tuple[int, int], _Suffixes] = {}
+
+    def is_secret(self, at: int, n: int) -> bool:
+        """Do the lines from ``at`` up to ``n`` decode to a secret?"""
+        first, end = at * self.width, len(self.signs) if n == self.n_lines else n * self.width
+        phase = first % 4
+        if (end - first) % 4 == 1 or end <= first:
+            return False
+        if phase not in self.decoded:
+            whole = self.signs[phase:]
+            whole = whole[:-1] if len(whole) % 4 == 1 else whole
+            self.decoded[phase] = memoryview(base64.b64decode(whole + "=" * (-len(whole) % 4)))
+        start, stop = (first - phase) * 3 // 4, (end - phase) * 3 // 4
+        if n < self.n_lines - 1:  # a sequence, whose length is stated
+            return is_key(self.decoded[phase][start:stop])
+        suffixes = self.suffixes.setdefault((phase, n), _Suffixes(self.decoded[phase][:stop]))
+        return suffixes.is_secret(start)
+
+
 def _ends(text: str, lines: list[tuple[int, int]], at: int) -> list[int]:
     """Numbers of the lines behind which a secret that begins with line ``at`` may end; a sequence states its length."""
     first, last = lines[at]
@@ -238,8 +313,8 @@ def confirmed_spans(text: str) -> list[tuple[int, int, str]]:
     out = []
     if "PRIVATE KEY-----" in text:
         out += [(m.start(), m.end(), "pem") for m in _PEM.finditer(text) if _is_pem(m)]
-    inside = [(a, b) for a, b, _ in out]
-    out += [(a, b, "der") for a, b in _base64_spans(text) if not any(c <= a < d for c, d in inside)]
+    starts, ends = [a for a, _, _ in out], [-1, *(b for _, b, _ in out)]
+    out += [(a, b, "der") for a, b in _base64_spans(text) if a >= ends[bisect_right(starts, a)]]
     for m in _HEX.finditer(text):
         if len(m[0]) % 2 == 0 and is_secret(bytes.fromhex(m[0])):
             out.append((m.start(), m.end(), "der"))

@@ -108,6 +108,78 @@ def test_keys_in_other_spellings():
         assert spans(text) == [], text
 
 
+def _spans_by_single_decodes(text):
+    """The spans of wrapped runs, every start and end decoded by itself."""
+    out, done = [], 0
+    for m in secret_scan._BASE64.finditer(text):
+        if m.start() < done:
+            continue
+        if m[0][0] in "rnt" and text[m.start() - 1] == "\\":
+            m = secret_scan._BASE64.match(text, m.start() + 1) or secret_scan._PART.match(text, m.start() + 1)
+        if secret_scan.is_secret(secret_scan.decode64(m[0])):
+            out.append(m.span())
+            continue
+        lines, at = secret_scan._wrapped(text, m), 0
+        while len(lines) > 1 and at < len(lines):
+            bodies = {n: "".join(text[a:b] for a, b in lines[at:n]) for n in secret_scan._ends(text, lines, at)}
+            n = next((n for n, body in bodies.items() if secret_scan.is_secret(secret_scan.decode64(body))), 0)
+            if n:
+                out.append((lines[at][0], lines[n - 1][1]))
+            at = n or at + 1
+        done = lines[-1][1] if len(lines) > 1 else 0
+    return out
+
+
+def test_wrapped_blocks_equal_single_decodes():
+    rng = random.Random(23)
+
+    def number(n):
+        return der(2, bytes([rng.randrange(1, 128)]) + rng.randbytes(n - 1))
+
+    def key():
+        return der(0x30, der(2, b"\0") + number(rng.choice([32, 64])) + b"".join(number(20) for _ in range(7)))
+
+    def token():
+        parts = [base64.urlsafe_b64encode(json.dumps(x).encode()).decode().rstrip("=") for x in ({"alg": "HS256"}, {"a": rng.randrange(99)})]
+        return ".".join([*parts, "sig"])
+
+    def openssh():
+        fields = [b"none", b"none", b"", None, rng.randbytes(50), rng.randbytes(90)]
+        return b"openssh-key-v1\0" + b"".join((1).to_bytes(4) if f is None else len(f).to_bytes(4) + f for f in fields)
+
+    def block():
+        body = base64.encodebytes(key()).decode()
+        return ("-----BEGIN RSA PRIVATE KEY-----\n" + body + "-----END RSA PRIVATE KEY-----\n").encode()
+
+    makers = [key, openssh, block, lambda: token().encode(), lambda: rng.randbytes(rng.randrange(30, 200)), lambda: b"plain text " * rng.randrange(3, 20),
+              lambda: b"---x" * rng.randrange(8, 40), lambda: ("\u00e9" + token() + " x").encode()]
+    found = 0
+    for _ in range(1500):
+        width, lines = rng.choice([32, 33, 35, 38, 48, 64]), []
+        for _ in range(rng.randrange(1, 5)):
+            signs = base64.b64encode(rng.choice(makers)()).decode()
+            cut = [signs[i : i + width] for i in range(0, len(signs), width)]
+            if rng.random() < 0.7:
+                cut[-1] = (cut[-1].rstrip("=") + "A" * width)[:width]
+            lines += cut
+        if rng.random() < 0.3:
+            lines.insert(0, (rng.choice(["A", "LS0t", "ZXlK"]) * width)[:width])
+        text = "pre " + rng.choice(["\n", "\r\n", "\\n"]).join(lines) + " post"
+        want = _spans_by_single_decodes(text)
+        assert secret_scan._base64_spans(text) == want, text
+        found += len(want)
+    assert found > 500
+
+
+def test_long_blocks_take_linear_time():
+    for start in ("LS0t", "ZXlK", "b3BlbnNzaC", "MIIC"):
+        for width in (64, 65):
+            text = "\n".join((start + "LS0t" * 64)[:width] for _ in range(16_000))
+            begun = time.process_time()
+            secret_scan.confirmed_spans(text)
+            assert time.process_time() - begun < 4, (start, width)
+
+
 def test_escape_is_reversible_and_leaves_no_control():
     rng = random.Random(4)
     bits = ["<", "|", "\\", "s>", "</s>", "<s>", "[INST]", "[/INST]", "<<SYS>>", "<</SYS>>", "<|image|>", "x", "\n", "[", "/"]
