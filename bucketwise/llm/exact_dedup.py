@@ -182,13 +182,13 @@ def exact_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     # a table of its own, so that the join has two plain exchanges and Spark can split a hot group
     classes = materialize(
         members.groupBy("fp", "size", "part").agg(
-            F.sum("copies").alias("group_size"), F.max(F.struct("chars", (-F.col("id")).alias("rank"))).alias("best")
+            F.sum("copies").alias("group_size"), F.max(F.struct("chars", F.bitwise_not("id").alias("rank"))).alias("best")
         ),
         "classes",
     )
     joined = members.join(classes, ["fp", "size", "part"]).select(
-        "id", "raw", "group_size", "sha", "copies", (-F.col("best.rank")).alias("keep_id"),
-        (F.col("id").eqNullSafe(-F.col("best.rank")) & (F.col("chars") == F.col("best.chars"))).alias("stays"),
+        "id", "raw", "group_size", "sha", "copies", F.bitwise_not("best.rank").alias("keep_id"),
+        (F.col("id").eqNullSafe(F.bitwise_not("best.rank")) & (F.col("chars") == F.col("best.chars"))).alias("stays"),
     )
     return joined.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).select(
         "id", "raw", "keep_id", "group_size", (F.col("stays") & (F.col("copy") == 1)).alias("kept"),

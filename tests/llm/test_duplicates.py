@@ -212,3 +212,10 @@ def test_passages_equal_brute_force(spark, monkeypatch, keys):
         assert (r["text"], r["n_removed"]) == want[r["id"], texts[r["id"]]], r["id"]
         assert r["n_lines"] == texts[r["id"]].count("\n") + 1
     assert line_dedup.dedup_lines(docs.limit(0)).count() == 0
+
+
+def test_exact_ids_at_the_ends_of_their_range(spark):
+    low, high = -(1 << 63), (1 << 63) - 1
+    docs = spark.createDataFrame([(low, "a b"), (high, "ab"), (low + 1, "c"), (0, " c"), (high, None)], "doc_id long, text string")
+    got = sorted((r["id"], r["keep_id"], r["group_size"], r["kept"]) for r in exact_dedup.exact_classes(docs).collect())
+    assert got == [(low, low, 2, True), (low + 1, 0, 2, False), (0, 0, 2, True), (high, low, 2, False), (high, high, 1, True)]
