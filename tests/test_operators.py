@@ -324,3 +324,27 @@ def test_event_date_conflicts(spark):
     df = df.withColumns({"event_date": F.lit(None).cast("string"), "date": F.lit(None).cast("string")})
     got = [r.d for r in N.event_date_evidence(df).orderBy("i").select(F.col("event_date_found").alias("d")).collect()]
     assert got == ["2026-07-15", None, None, "2026-07-15", None, None]
+
+
+def test_packed_working_tables_are_not_broadcast(spark):
+    from bucketwise.plans import registry
+    from bucketwise.sources.scratch import materialize
+
+    settings = {n: spark.conf.get(n) for n in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold")
+                if spark.conf.get(n, None) is not None}
+
+    def joined(session, _dir):
+        # a few hundred kB of files, 32 MB of rows
+        packed = materialize(session.range(0, 400_000, 1, 2).select("id", F.repeat(F.lit("x"), 60).alias("text")), "packed")
+        return session.range(1_000_000).withColumnRenamed("id", "at").join(packed, F.expr("at = id"))
+
+    try:
+        registry.query("probe")(joined)
+        rows = registry.QUERIES["probe"](spark, "")
+        assert rows.count() == 400_000
+        plan = rows._jdf.queryExecution().executedPlan().toString()
+        assert "BroadcastHashJoin" not in plan and "SortMergeJoin" in plan
+    finally:
+        registry.QUERIES.pop("probe", None)
+        for name in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold"):
+            spark.conf.unset(name) if name not in settings else spark.conf.set(name, settings[name])
