@@ -86,15 +86,20 @@ def encode_snapshots(df: DataFrame) -> DataFrame:
     ).withColumns(out)
 
 
-def write_snapshots_jsonl(df: DataFrame, path: str) -> None:
-    encode_snapshots(df).write.option("ignoreNullFields", "false").json(path)
+def write_snapshots_jsonl(df: DataFrame, path: str, compression: str = "gzip") -> None:
+    """One JSON object a line; field names and paths repeat in every row, so plain text is many times its content."""
+    encode_snapshots(df).write.options(ignoreNullFields="false", compression=compression).json(path)
 
 
-def write_snapshots_payload(df: DataFrame, path: str) -> None:
-    """One JSON payload per row ordered by dedup key, for readers of the single-column layout."""
-    rows = encode_snapshots(df).sort("dedup_key")
+def write_snapshots_payload(df: DataFrame, path: str, compression: str = "zstd") -> None:
+    """One JSON payload per row ordered by dedup key, for readers of the single-column layout.
+
+    The typed rows are ordered, and encoded when they lie in their place.
+    """
+    key = dedup_key(F.col("condition_id"), F.col("token_id"), F.col("event_date"), F.col("decision_ts"))
+    rows = encode_snapshots(df.sort(key))
     rows.select(F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("payload")).write.option(
-        "compression", "uncompressed"
+        "compression", compression
     ).parquet(path)
 
 

@@ -163,3 +163,37 @@ def test_working_tables_are_released(spark):
     assert rows.count() == 5 and path.exists()
     scratch.release(spark)
     assert not path.exists()
+
+
+def test_snapshot_files_are_packed_and_ordered(spark, tmp_path):
+    rows = spark.range(2000).select(
+        F.concat(F.lit("c"), "id").alias("condition_id"), F.lit("t").alias("token_id"), F.lit("2024-01-01").alias("event_date"),
+        F.expr("timestamp'2024-01-01' + make_interval(0, 0, 0, 0, cast(id % 24 as int))").alias("decision_ts"),
+        F.lit("Will the highest temperature be over ten degrees?").alias("question"),
+    )
+    files.write_snapshots_jsonl(rows, f"{tmp_path}/lines")
+    files.write_snapshots_payload(rows, f"{tmp_path}/payload")
+    lines, payload = spark.read.text(f"{tmp_path}/lines"), spark.read.parquet(f"{tmp_path}/payload")
+    size = lambda name: sum(f.stat().st_size for f in (tmp_path / name).glob("part-*"))
+    text = lines.agg(F.sum(F.length("value") + 1)).first()[0]
+    assert lines.count() == payload.count() == 2000
+    assert 4 * size("lines") < text and 4 * size("payload") < text
+    for part in sorted((tmp_path / "payload").glob("part-*")):
+        keys = [json.loads(r.payload)["dedup_key"] for r in spark.read.parquet(str(part)).collect()]
+        assert keys == sorted(keys)
+
+
+def test_stream_batches_use_every_core(spark, tmp_path, monkeypatch):
+    from bucketwise.plans import table_queries
+
+    monkeypatch.setattr(table_queries, "new_path", lambda _spark, name: f"{tmp_path}/{name}")
+    table_queries.stream_upsert(spark, "/root/testdata/sf0.001")
+    assert len(list((tmp_path / "trades" / "input").glob("part-*"))) == 6 * spark.sparkContext.defaultParallelism
+    assert len(list((tmp_path / "trades" / "checkpoint" / "commits").glob("[0-9]*"))) == 6
+
+
+def test_unique_snapshots_are_chosen_before_their_texts_are_made(spark):
+    from bucketwise.plans.bindings import snapshots_unique
+
+    plan = snapshots_unique(spark, "/root/testdata/sf0.001").select("question", "slug")._jdf.queryExecution().optimizedPlan().toString()
+    assert "Will the highest temperature" in plan.split("Window [")[0] and "Will the highest temperature" not in plan.split("Window [")[1]
