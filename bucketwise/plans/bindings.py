@@ -228,28 +228,41 @@ SNAPSHOT_FROM = (
 
 
 @lru_cache(maxsize=8)
-def snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row per order line, shaped as a research snapshot; copies included."""
+def snapshot_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per order line with what a snapshot is shaped from."""
     t = {n: table(spark, sf_dir, n) for n in ("lineitem", "orders", "customer", "nation", "part")}
-    joined = (
+    return (
         t["lineitem"]
         .join(t["orders"], F.col("l_orderkey") == F.col("o_orderkey"))
         .join(t["customer"], F.col("o_custkey") == F.col("c_custkey"))
         .join(t["nation"], F.col("c_nationkey") == F.col("n_nationkey"))
         .join(t["part"], F.col("l_partkey") == F.col("p_partkey"))
     )
+
+
+def _shaped(lines: DataFrame) -> DataFrame:
     exprs = [F.expr(sql).alias(name) for name, sql in snapshot_expressions(SPARK).items()]
-    return joined.select(
+    return lines.select(
         *exprs, F.struct(*SEQ_COLUMNS).alias("seq"), F.col("l_extendedprice").alias("raw_weight"),
         F.col("o_orderdate").alias("order_ts"), F.col("n_nationkey"),
     )
 
 
+@lru_cache(maxsize=8)
+def snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per order line, shaped as a research snapshot; copies included."""
+    return _shaped(snapshot_lines(spark, sf_dir))
+
+
 @lru_cache(maxsize=8)
 def snapshots_unique(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """First-seen snapshot per dedup key, with its event key."""
-    keys = ["condition_id", "token_id", "event_date", "decision_ts"]
-    return with_event_key(first_per_key(snapshots(spark, sf_dir), keys, ["seq"]))
+    """First-seen snapshot per dedup key, with its event key.
+
+    The lines are deduplicated by their keys before the texts are made, so no wide row is shuffled or sorted for it.
+    """
+    made = snapshot_expressions(SPARK)
+    keys = [F.expr(made[k]) for k in ("condition_id", "token_id", "event_date", "decision_ts")]
+    return with_event_key(_shaped(first_per_key(snapshot_lines(spark, sf_dir), keys, SEQ_COLUMNS)))
 
 
 SCORED_COLUMNS = (
