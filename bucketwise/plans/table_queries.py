@@ -261,11 +261,11 @@ def discovery_union(spark: SparkSession, sf_dir: str) -> DataFrame:
     FROM t4 WHERE reject_reason IS NULL""",
 )
 def stream_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The trades arrive in six files, one per trigger; the result is that of one batch."""
-    home = new_path(spark, "trades")
+    """The trades arrive in six triggers, each of as many files as the cluster has cores; the result is that of one batch."""
+    home, cores = new_path(spark, "trades"), spark.sparkContext.defaultParallelism
     lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
-    lines.repartition(6, F.col("l_orderkey"), F.col("l_linenumber")).write.parquet(f"{home}/input")
-    source = spark.readStream.schema(lines.schema).option("maxFilesPerTrigger", 1).parquet(f"{home}/input")
+    lines.repartition(6 * cores, F.col("l_orderkey"), F.col("l_linenumber")).write.parquet(f"{home}/input")
+    source = spark.readStream.schema(lines.schema).option("maxFilesPerTrigger", cores).parquet(f"{home}/input")
 
     def judge(batch: DataFrame) -> DataFrame:
         return N.judge_trades(raw_trades(batch), ["seq"])
