@@ -330,8 +330,8 @@ def test_packed_working_tables_are_not_broadcast(spark):
     from bucketwise.plans import registry
     from bucketwise.sources.scratch import materialize
 
-    settings = {n: spark.conf.get(n) for n in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold")
-                if spark.conf.get(n, None) is not None}
+    names = ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold", "spark.sql.codegen.hugeMethodLimit")
+    settings = {n: spark.conf.get(n) for n in names if spark.conf.get(n, None) is not None}
 
     def joined(session, _dir):
         # a few hundred kB of files, 32 MB of rows
@@ -346,5 +346,5 @@ def test_packed_working_tables_are_not_broadcast(spark):
         assert "BroadcastHashJoin" not in plan and "SortMergeJoin" in plan
     finally:
         registry.QUERIES.pop("probe", None)
-        for name in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold"):
+        for name in names:
             spark.conf.unset(name) if name not in settings else spark.conf.set(name, settings[name])
