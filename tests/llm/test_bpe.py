@@ -108,3 +108,17 @@ def test_query_equals_the_library(spark, other):
         assert mine["ids_sha256"] == hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest()
         text = other.decode(ids, skip_special_tokens=False)
         assert mine["decoded_sha256"] == hashlib.sha256(text.encode()).hexdigest()
+
+
+def test_texts_of_the_basic_plane_are_split_by_the_quicker_engine():
+    import random
+    import re
+
+    from bucketwise.llm import bpe
+
+    exact, quick, beyond = bpe.splitters()
+    assert isinstance(quick, re.Pattern) and beyond.search("\U0001f600") and not beyond.search("￿")
+    plane = "".join(map(chr, range(0x10000)))
+    draw = random.Random(5)
+    texts = [plane, *("".join(draw.choices("'sdl vére  \t\n\x1c\x85\xa0 　aZß9²Ⅷ中́Ɤ-.", k=60)) for _ in range(3000))]
+    assert all(exact.findall(t) == quick.findall(t) for t in texts)
