@@ -381,9 +381,10 @@ def flatten_books(payloads: DataFrame, token: str, payload: str = "payload") ->
 def weather_documents(payloads: DataFrame, payload: str = "payload") -> DataFrame:
     """Adds zone, offset, series maps and ``valid_times``: localized times by position, null = dropped.
 
-    Repeats of a wall time are counted inside the document, so no shuffle is needed.
+    Repeats of a wall time are counted inside the document, so no shuffle is needed. Each step that others build on is a
+    column of its own, so a document is parsed once.
     """
-    v = F.try_parse_json(payload)
+    v = F.col("_v")
 
     def series(block: str) -> Column:
         return F.coalesce(
@@ -397,7 +398,7 @@ def weather_documents(payloads: DataFrame, payload: str = "payload") -> DataFram
             F.create_map().cast("map<string,string>"),
         )
 
-    docs = payloads.withColumns(
+    docs = payloads.withColumn("_v", F.try_parse_json(payload)).withColumns(
         {
             "doc_zone": F.get_json_object(payload, "$.timezone"),
             "doc_offset": F.coalesce(F.get_json_object(payload, "$.utc_offset_seconds").try_cast("int"), F.lit(0)),
@@ -420,7 +421,7 @@ def weather_documents(payloads: DataFrame, payload: str = "payload") -> DataFram
             T.local_to_utc(T.local_stamp(w), F.col("known_zone"), F.col("doc_offset"), x["nth"])
         )
 
-    return docs.withColumn("valid_times", F.transform("_walls", instant)).drop("_walls")
+    return docs.withColumn("valid_times", F.transform("_walls", instant)).drop("_walls", "_v")
 
 
 def _quantity(value: Column, unit: Column, variable: Column) -> list[Column]:
@@ -428,17 +429,22 @@ def _quantity(value: Column, unit: Column, variable: Column) -> list[Column]:
     return [value.alias("source_value"), unit.alias("source_unit"), celsius.alias("temperature_celsius")]
 
 
+# Documents are opened by outer generators, and what these add for an empty list is dropped behind them: of an inner
+# one the planner makes a filter on the list's size, moves it below the parsing and so parses again for every mention.
+
+
 def unpivot_hourly(docs: DataFrame, keep: list[str], archive: Column) -> DataFrame:
     """Every hourly series as rows, routed to observation, ensemble or forecast."""
     long = (
         docs.select(
             *keep, archive.alias("_archive"), "valid_times", "hourly_units",
-            F.explode(F.map_filter("hourly", lambda k, s: k != "time")).alias("key", "_series"),
+            F.explode_outer(F.map_filter("hourly", lambda k, s: k != "time")).alias("key", "_series"),
         )
+        .filter("key IS NOT NULL")
         .withColumn("_values", F.try_variant_get("_series", "$", "array<string>"))
         .select(
             *keep, "_archive", "key", F.try_element_at("hourly_units", F.col("key")).alias("_unit"),
-            "_values", F.posexplode("valid_times").alias("_i", "valid_time"),
+            "_values", F.posexplode_outer("valid_times").alias("_i", "valid_time"),
         )
         .filter("valid_time IS NOT NULL")
     )
@@ -459,10 +465,10 @@ def explode_daily(docs: DataFrame, keep: list[str], archive: Column) -> DataFram
     """Daily maxima: archive days stay days, forecast days become rows at local midnight."""
     dates = F.try_variant_get(F.try_element_at("daily", F.lit("time")), "$", "array<string>")
     tops = F.try_variant_get(F.try_element_at("daily", F.lit("temperature_2m_max")), "$", "array<string>")
-    rows = docs.filter(tops.isNotNull()).select(
+    rows = docs.select(
         *keep, archive.alias("_archive"), "doc_zone", "known_zone", "doc_offset", "daily_units", tops.alias("_tops"),
-        F.posexplode(dates).alias("_i", "_day"),
-    )
+        F.posexplode_outer(F.when(tops.isNotNull(), dates)).alias("_i", "_day"),
+    ).filter("_i IS NOT NULL")
     day = F.substring("_day", 1, 10)
     midnight = day.try_cast("date").cast("timestamp")
     # a midnight inside a spring gap falls back to the document's fixed offset
@@ -491,7 +497,7 @@ def run_cube(docs: DataFrame, keep: list[str], station_zone: Column) -> DataFram
     }
     rows = docs.select(
         *keep, station_zone.alias("_zone"), *[c.alias(f"_{n}") for n, c in cols.items()],
-        F.posexplode("valid_times").alias("_i", "valid_time"),
+        F.posexplode_outer("valid_times").alias("_i", "valid_time"),
     ).filter("valid_time IS NOT NULL")
     return rows.select(
         *keep, "valid_time", T.local_date(F.col("valid_time"), F.col("_zone")).alias("local_date"),

@@ -63,6 +63,16 @@ def hourly_states(hours: DataFrame, keys: Sequence[str], valid_time: str,
     )
 
 
+def hourly_features(
+    hours: DataFrame, keys: Sequence[str], valid_time: str, means: Sequence[str], states: Sequence[str]
+) -> DataFrame:
+    """:func:`hourly_means` and :func:`hourly_states` in one pass over the hours."""
+    state = F.struct(valid_time, *states)
+    return hours.groupBy(*keys).agg(
+        *[F.avg(f).alias(f) for f in means], F.array_sort(F.collect_list(state)).alias("forecast_hourly")
+    )
+
+
 def run_features(
     hours: DataFrame, *, station: str, run: str, date: str, valid_time: str, temperature: str, features: Sequence[str]
 ) -> DataFrame:
@@ -73,8 +83,8 @@ def run_features(
     """
     keys = [station, run, date]
     tops = daily_maximum(hours, keys, valid_time, temperature)
-    states = hourly_states(hours, keys, valid_time, [temperature, *features])
-    return hourly_means(hours, keys, features).join(states, keys).join(tops, keys, "left").select(
+    daily = hourly_features(hours, keys, valid_time, features, [temperature, *features])
+    return daily.join(tops, keys, "left").select(
         *keys, F.col("value_c").alias("forecast_daily_max_c"), "valid_times", *features, "forecast_hourly",
         F.lit(True).alias("has_weather"), F.when(F.col("value_c").isNull(), "NO_USABLE_EVENT_COVERAGE").alias("reject"),
     )
