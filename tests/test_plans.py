@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import pytest
 from pyspark.sql import functions as F
 
+from bucketwise.functions import text as X
 from bucketwise.operators import normalize as N
 
 
@@ -21,3 +23,17 @@ def test_weather_documents_are_parsed_once(spark):
     assert plan(cube).count("parseJson") == 1
     got = sorted((r.station_id, r.local_date, r.temperature_c) for r in cube.collect() if r.temperature_c is not None)
     assert got == [("S1", "2024-01-01", 1.5)] and cube.count() == 2
+
+
+def test_patterns_run_once_a_text(spark):
+    df = spark.createDataFrame([("a-1",)], "t string").repartition(2)
+    assert plan(df.select(F.when(F.col("t") != "b", X.group(F.col("t"), r"-(\d)", 1)).alias("g"))).count("regexp_extract") == 1
+
+
+@pytest.mark.parametrize("slug, family", [
+    ("Will-The-high-in-paris-on-may-1-11-17c", "high-in-paris-on-may-1"), ("x-25F", "x"), ("x-25c\n", "x\n"), ("-25c", None),
+    ("x-10c-or-below", "x-10c"), ("x-or-higher\n", "x\n"), ("x-be-25c-on-may-1", "x-on-may-1"), ("magic", "magic"), ("", None),
+])
+def test_slug_families_of_odd_endings(spark, slug, family):
+    df = spark.createDataFrame([(slug,)], "s string")
+    assert df.select(X.slug_family(F.col("s")).alias("f")).first().f == family
