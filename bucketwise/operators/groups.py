@@ -286,15 +286,15 @@ def ladder_topology(rows: DataFrame, order: Sequence) -> DataFrame:
         F.lit(";native_min="), _num(F.col("lo")), F.lit(";native_max="), _num(F.col("hi")),
     )
     # collapse equal rungs first: copies meet map-side, and everything after sees distinct rungs
-    rung_order = F.struct(*order)
-    cells = rungs.groupBy("event_key", "kind", "lo", "hi", "fits").agg(
+    unfit, rung_order = ~F.col("fits"), F.struct(*order)
+    cells = materialize(rungs.groupBy("event_key", "kind", "lo", "hi", "fits").agg(
         F.count(F.lit(1)).alias("copies"),
         F.min("token_id").alias("token_id"),
         F.min("unit").alias("unit"),
         F.max("unit").alias("unit_max"),
-        F.min_by(bad_bounds, rung_order).alias("_bad"),
-        F.min(rung_order).alias("_ord"),
-    )
+        F.min_by(F.when(unfit, bad_bounds), F.when(unfit, rung_order)).alias("_bad"),
+        F.min(F.when(unfit, rung_order)).alias("_ord"),
+    ), "rungs")
     is_below, is_above = F.col("kind") == "below", F.col("kind") == "above"
     basic = cells.groupBy("event_key").agg(
         F.min("unit").alias("unit"),

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from bucketwise.functions import text as X
-from bucketwise.operators import normalize as N
+from bucketwise.operators import groups, normalize as N
 
 
 def plan(df) -> str:
@@ -37,3 +37,14 @@ def test_patterns_run_once_a_text(spark):
 def test_slug_families_of_odd_endings(spark, slug, family):
     df = spark.createDataFrame([(slug,)], "s string")
     assert df.select(X.slug_family(F.col("s")).alias("f")).first().f == family
+
+
+def test_ladders_read_their_rungs_from_a_table(spark):
+    df = spark.createDataFrame(
+        [("e", "t1", 1, "below", None, 10.0, "C"), ("e", "t2", 2, "range", 11.0, 17.0, "C"), ("e", "t3", 3, "above", 19.0, None, "C")],
+        "event_key string, token_id string, seq int, bucket_kind string, temperature_native_min double, temperature_native_max double, "
+        "temperature_unit string",
+    )
+    out = groups.ladder_topology(df, ["seq"])
+    assert "LocalRelation" not in plan(out) and "LogicalRDD" not in plan(out)
+    assert out.first().topology_detail == "invalid_tail:high;above_lo=19.0;last_interior_hi=17.0"
