@@ -39,6 +39,14 @@ def test_slug_families_of_odd_endings(spark, slug, family):
     assert df.select(X.slug_family(F.col("s")).alias("f")).first().f == family
 
 
+def test_child_texts_are_lowered_once(spark):
+    df = spark.createDataFrame([("Will the highest temperature in New  York be 5°C on May 2?", None)], "question string, slug string")
+    out = groups.child_evidence(df.repartition(2))
+    row = out.first()
+    assert (row.text_cities, row.question_day, row.slug_day, row.off_topic) == (["new york"], "may-2", None, True)
+    assert plan(out).count("lower(concat_ws") == 1
+
+
 def test_ladders_read_their_rungs_from_a_table(spark):
     df = spark.createDataFrame(
         [("e", "t1", 1, "below", None, 10.0, "C"), ("e", "t2", 2, "range", 11.0, 17.0, "C"), ("e", "t3", 3, "above", 19.0, None, "C")],
