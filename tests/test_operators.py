@@ -312,6 +312,32 @@ def test_search_verdicts(spark):
     assert got == ["source_drift", "malformed", "malformed", "source_drift", "malformed", "malformed", "malformed", "malformed", "empty", "ok"]
 
 
+def test_search_verdict_names_the_first_fault_and_reads_a_market_once(spark):
+    topical = '{"id":1,"question":"Highest temperature in Paris","groupItemTitle":"3","tokens":["a"]}'
+    docs = [
+        '{"events":[{"id":1,"markets":[' + topical + ']}]}', '{"markets":[' + topical.replace("Paris", "Oslo") + ']}',
+        '{"events":[{"id":1,"markets":[{"conditionId":" ","id":2}]},7],"markets":"x"}',
+        '{"events":[{"id":1,"markets":[{"conditionId":null,"id":2},[]]},7]}', '{"events":[{"id":true}]}', '{"events":[{"id":1,"markets":[]}],"markets":null}',
+        '{"markets":[]}', '[1]', 'no json', '{"error":null}', '{"events":[],"markets":[{"conditionId":false}]}',
+    ]
+    df = V.parsed(spark.createDataFrame(list(enumerate(docs)), "i int, payload string"))
+    out = df.select("i", V.search_verdict(F.col("v")).alias("r")).select("i", "r.*")
+    lacks = "structurally valid gamma payload lacks Phase 3 weather eligibility fields"
+    assert [(r.status, r.detail, r.eligibility) for r in out.orderBy("i").collect()] == [
+        ("ok", None, "eligible"), ("ok", lacks, "ineligible"),
+        ("malformed", "gamma search markets must be a list", "not_applicable"),
+        ("malformed", "gamma search market must be an object", "not_applicable"),
+        ("malformed", "gamma search event markets must be a list", "not_applicable"),
+        ("malformed", "gamma search markets must be a list", "not_applicable"),
+        ("empty", None, "not_applicable"), ("malformed", "gamma search payload must be an object", "not_applicable"),
+        ("malformed", "gamma search payload must be an object", "not_applicable"),
+        ("source_drift", "gamma search error object is not a valid search container", "not_applicable"),
+        ("ok", lacks, "ineligible"),
+    ]
+    # one reading of the markets inside events and one of the others, whatever the number of columns
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("gamma search market missing required identity") == 2
+
+
 def test_event_date_conflicts(spark):
     q = "Will the highest temperature in Paris be 31°C on July 15, 2026?"
     q_no_year = "Will the highest temperature in Paris be 31°C on July 15?"
