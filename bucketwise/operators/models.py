@@ -13,7 +13,8 @@ from bucketwise.operators.keyed import first_per_key
 from bucketwise.operators.lanes import last_before, running_total
 from bucketwise.sources.scratch import materialize
 
-# first-seen order of snapshot rows inside one date or event
+# first-seen order of snapshot rows inside one date or event; one token may stand in several events of a day, so what is
+# taken from the first row follows it wherever the order must be total
 ROW_ORDER = ("token_id", "event_date", "condition_id")
 
 
@@ -79,13 +80,13 @@ def fit_frequency(train: DataFrame) -> DataFrame:
     """(level, station, month, city, label, n): winner counts at four grains.
 
     One winning label counts once per (date, station). City is a plain attribute of the first row.
-    First-seen follows ``ROW_ORDER``.
+    First-seen follows ``ROW_ORDER``, then the city.
     """
     label = F.coalesce("bucket_label", F.lit(""))
     wins = first_per_key(
         train.filter(is_yes(F.col("settlement_label"))).withColumn("_label", label),
         ["event_date", "station_icao", "_label"],
-        ROW_ORDER,
+        [*ROW_ORDER, "city"],
     ).select(
         _known(F.col("station_icao")).alias("station"),
         month_of(F.col("event_date")).alias("month"),
@@ -143,7 +144,7 @@ def _event_heads(rows: DataFrame) -> DataFrame:
     head = F.struct(
         F.col("station_icao").alias("station"), "city", "event_date", "forecast_daily_max_c"
     )
-    return rows.groupBy("event_key").agg(F.min_by(head, F.struct(*ROW_ORDER)).alias("_h")).select(
+    return rows.groupBy("event_key").agg(F.min_by(head, F.struct(*ROW_ORDER, head)).alias("_h")).select(
         "event_key", "_h.*"
     )
 
@@ -212,7 +213,7 @@ def last_per_token(rows: DataFrame, source: DataFrame) -> DataFrame:
     named = rows.join(places, ["event_key", *ROW_ORDER], "left").withColumn(
         "label", F.coalesce("_name", "label")
     )
-    last = [F.col(c).desc() for c in ROW_ORDER]
+    last = [F.col(c).desc() for c in (*ROW_ORDER, "label", "probability")]
     return first_per_key(named, ["event_key", "token_id"], last).select(
         "event_key", "token_id", "label", "probability"
     )
@@ -221,11 +222,14 @@ def last_per_token(rows: DataFrame, source: DataFrame) -> DataFrame:
 # ---- forecast-error model ----------------------------------------------------------------------
 
 def fit_errors(train: DataFrame) -> DataFrame:
-    """(station, error, n): histogram of actual minus forecast; null station is the global row."""
+    """(station, error, n): histogram of actual minus forecast; null station is the global row.
+
+    A date and station count once, by their first row in ``ROW_ORDER``, then by forecast and actual value.
+    """
     seen = first_per_key(
         train.filter("forecast_daily_max_c IS NOT NULL AND diagnostic_actual_max_c IS NOT NULL"),
         ["event_date", "station_icao"],
-        ROW_ORDER,
+        [*ROW_ORDER, "forecast_daily_max_c", "diagnostic_actual_max_c"],
     )
     cells = (
         seen.select(

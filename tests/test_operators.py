@@ -338,6 +338,19 @@ def test_search_verdict_names_the_first_fault_and_reads_a_market_once(spark):
     assert out._jdf.queryExecution().optimizedPlan().toString().count("gamma search market missing required identity") == 2
 
 
+def test_fits_do_not_depend_on_the_place_of_equal_tokens(spark):
+    # one token of a day in two events, as it happens where families differ by city only
+    rows = [("t", "2024-01-01", "c", "KAAH", "london", "a", 8.0, 11.0, "yes", "e"),
+            ("t", "2024-01-01", "c", "KAAH", "milan", "a", 9.0, 8.0, "yes", "e")]
+    schema = ("token_id string, event_date string, condition_id string, station_icao string, city string, bucket_label string, "
+              "forecast_daily_max_c double, diagnostic_actual_max_c double, settlement_label string, event_key string")
+    for order in (rows, rows[::-1]):
+        df = spark.createDataFrame(order, schema).coalesce(1)
+        assert {(r.station, r.error, r.n) for r in models.fit_errors(df).collect()} == {("KAAH", 3.0, 1), (None, 3.0, 1)}
+        assert {r.city for r in models.fit_frequency(df).collect()} == {None, "london"}
+        assert models._event_heads(df).collect()[0].city == "london"
+
+
 def test_event_date_conflicts(spark):
     q = "Will the highest temperature in Paris be 31°C on July 15, 2026?"
     q_no_year = "Will the highest temperature in Paris be 31°C on July 15?"
