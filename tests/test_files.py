@@ -165,6 +165,36 @@ def test_working_tables_are_released(spark):
     assert not path.exists()
 
 
+def shuffle_files(spark) -> int:
+    files = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+    return sum(files.apply(i).getName().startswith("shuffle_") for i in range(files.size()))
+
+
+def test_working_tables_leave_no_shuffle_files(spark):
+    import time
+
+    from bucketwise.sources import scratch
+
+    before, setting = shuffle_files(spark), spark.conf.get(scratch._CLEANUP)
+    counts = spark.range(100_000).groupBy((F.col("id") % 1000).alias("k")).count()
+    assert scratch.materialize(counts, "counts").count() == 1000
+    end = time.time() + 20
+    while shuffle_files(spark) > before + 4 and time.time() < end:  # the last count has one of its own
+        time.sleep(0.2)
+    assert shuffle_files(spark) <= before + 4
+    assert spark.conf.get(scratch._CLEANUP) == setting
+    assert sum(r["count"] for r in counts.toLocalIterator()) == 100_000 == sum(r["count"] for r in counts.toLocalIterator())
+
+
+def test_lines_are_shuffled_once_a_key(spark):
+    from bucketwise.plans.bindings import snapshot_lines
+
+    plan = snapshot_lines(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    joins = [line for line in plan.splitlines() if "Join Inner" in line]
+    assert "l_orderkey" in joins[0] and sum("l_" in line for line in joins) == 2
+    assert any("c_custkey" in line and line.index("Join") > joins[0].index("Join") for line in joins)
+
+
 def test_snapshot_files_are_packed_and_ordered(spark, tmp_path):
     rows = spark.range(2000).select(
         F.concat(F.lit("c"), "id").alias("condition_id"), F.lit("t").alias("token_id"), F.lit("2024-01-01").alias("event_date"),
