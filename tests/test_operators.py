@@ -122,6 +122,49 @@ def test_event_group_verdicts(spark, spans, over, code, detail):
     assert (verdict.detail or "").startswith(detail or "")
 
 
+def crowded(spark):
+    """A large event of 40 keys with three copies each, a broken one, a good one and an ambiguous row."""
+    big = [r for i in range(120) for r in [("exact", float(i % 40), float(i % 40))]]
+    tokens = [f"t{i % 40}" for i in range(120)]
+    rows = ladder(spark, big, token_id=tokens, condition_id=tokens, bucket_label=[f"{i % 40}F" for i in range(120)])
+    good = ladder(spark, GOOD, event_id="good", condition_id=[f"g{i}" for i in range(4)])
+    torn = ladder(spark, GOOD, event_id="torn", city=["paris", "london", "paris", "paris"])
+    lost = ladder(spark, GOOD[:1], event_id=None, neg_risk_market_id=None, event_slug=None, slug=None, question=None, condition_id="lost")
+    return rows.unionByName(good).unionByName(torn).unionByName(lost).repartition(3)
+
+
+def test_large_events_are_spread_and_judged_alike(spark, monkeypatch):
+    def routed():
+        out = groups.route_event_groups(crowded(spark), ["seq"])
+        return sorted((r.event_key, r.condition_id, r.seq, r["_code"] or "", r["_detail"] or "") for r in out.collect())
+
+    rows = groups.with_row_id(groups.with_event_key(crowded(spark)), "crowded")
+    whole, together = groups.clear_firsts(rows, ["seq"]), routed()
+    monkeypatch.setattr(groups, "LANE_ROWS", 50)
+    monkeypatch.setattr(groups, "EVENT_PARTS", 64)
+    parts = groups.clear_firsts(rows, ["seq"])
+    names = ["_row", "event_key", "token_id", "seq"]
+    assert sorted(map(tuple, whole.select(*names).collect())) == sorted(map(tuple, parts.select(*names).collect()))
+    assert "RepartitionByExpression [event_key" in (shape := parts._jdf.queryExecution().optimizedPlan().toString())
+    assert "_spread" in shape.split("RepartitionByExpression [")[1].split("]")[0]
+    assert routed() == together
+    codes = [row[3] for row in together]
+    assert codes.count("duplicate_snapshot") == 80 and codes.count("event_city_conflict") == 4
+    assert codes.count("event_identity_ambiguous") == 1
+
+
+def test_rows_meet_their_event_in_one_shuffle_and_leave_one_table(spark):
+    from bucketwise.sources import scratch
+
+    rows = groups.with_row_id(groups.with_event_key(crowded(spark)), "crowded")
+    clear = groups.clear_firsts(rows, ["seq"])
+    clear.collect()
+    assert clear._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0].count(" Exchange hashpartitioning") == 1
+    before = len(scratch._MADE)
+    groups.route_event_groups(crowded(spark), ["seq"])
+    assert len(scratch._MADE) == before + 2  # the rows and their verdicts
+
+
 def test_wide_ladder_crosses_span_borders(spark):
     spans = [("exact", float(d), float(d)) for d in range(0, 200)]
     broken = spans[:130] + spans[131:]
