@@ -13,7 +13,7 @@ from bucketwise.plans.bindings import (
 )
 from bucketwise.plans.registry import means, query, rounded
 from bucketwise.plans.snapshot_queries import ACCEPT_SQL, GROUP_COLUMNS
-from bucketwise.sources.scratch import materialize
+from bucketwise.sources.scratch import materialize, settle
 
 B1 = snapshot_sql()
 SHOWN_KEY = "replace(event_key, chr(1), '|') AS event_key"
@@ -57,11 +57,10 @@ def split_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     Written once: fits, predictions and tables all read these rows.
     """
-    return _split(snapshots_unique(spark, sf_dir))
+    return _split(materialize(snapshots_unique(spark, sf_dir).select(*MODEL_COLUMNS), "snapshots"))
 
 
-def _split(source: DataFrame) -> DataFrame:
-    rows = materialize(source.select(*MODEL_COLUMNS), "snapshots")
+def _split(rows: DataFrame) -> DataFrame:
     dates = materialize(models.split_dates(rows), "split-dates")
     tagged = models.with_split(rows, dates)
     return tagged.withColumn("event_key", F.concat_ws("\u0001", "split", "event_key"))
@@ -406,8 +405,11 @@ ACCEPTED_EDGE_SQL = f"""{ACCEPT_SQL}, acc AS (SELECT * EXCLUDE (copy, code, deta
 def accepted_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """End to end: identity, dedupe and group acceptance first; only accepted rows are split, fitted and scored."""
     columns = dict.fromkeys([*GROUP_COLUMNS, *(c for c in MODEL_COLUMNS if c != "event_key")])
-    accepted, _ = groups.accept_event_groups(snapshots(spark, sf_dir).select(*columns), ["seq"])
-    rows = D.valid_candidates(_candidates(_split(accepted)))
+
+    def accepted() -> DataFrame:
+        return groups.accept_event_groups(snapshots(spark, sf_dir).select(*columns), ["seq"])[0].select(*MODEL_COLUMNS)
+
+    rows = D.valid_candidates(_candidates(_split(settle(spark, accepted, "snapshots"))))
     return means(D.fixed_bucket_stats(rows, M.edge_bucket(F.col("edge")), C.EDGE_BUCKETS))
 
 
