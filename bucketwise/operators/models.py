@@ -11,7 +11,7 @@ from bucketwise.functions.times import month_of
 from bucketwise.operators import intervals as I
 from bucketwise.operators.keyed import first_per_key
 from bucketwise.operators.lanes import last_before, running_total
-from bucketwise.sources.scratch import materialize
+from bucketwise.sources.scratch import materialize, settle
 
 # first-seen order of snapshot rows inside one date or event; one token may stand in several events of a day, so what is
 # taken from the first row follows it wherever the order must be total
@@ -415,6 +415,18 @@ def predict_errors(rows: DataFrame, fit: DataFrame) -> DataFrame:
     a segment's weight is the difference of two prefix sums of the error histogram, each looked up once for all events
     that ask for the same source, forecast and bound.
     """
+    weights = settle(rows.sparkSession, lambda: error_weights(rows, fit), "weights")
+    labelled = rows.select(
+        "event_key", *ROW_ORDER, F.coalesce("bucket_label", F.lit("")).alias("label")
+    )
+    weighted = labelled.join(weights, ["event_key", *ROW_ORDER], "left").withColumn(
+        "weight", F.coalesce(F.col("weight"), F.lit(0)).cast("double")
+    )
+    return last_per_token(normalize_weights(weighted, ["event_key"], "weight"), rows)
+
+
+def error_weights(rows: DataFrame, fit: DataFrame) -> DataFrame:
+    """(event_key, token and its order, weight): how many implied values of the event settle in the bucket of each first token."""
     heads = _event_heads(rows).select("event_key", _known(F.col("station")).alias("station"), "forecast_daily_max_c")
     with_history = fit.filter("station IS NOT NULL").select("station").distinct()
     world = F.lit("\u0001all")
@@ -441,7 +453,7 @@ def predict_errors(rows: DataFrame, fit: DataFrame) -> DataFrame:
     below = borders.join(errors_below(borders.select(*case).distinct(), errors), case).select("event_key", "segment", "below")
     below = materialize(below, "below")
     segments = borders.select("event_key", "segment").unionByName(cases.select("event_key", F.lit(0).cast("long").alias("segment")))
-    weights = (
+    return (
         I.winners(segments, tree, ["event_key"])
         .join(below, ["event_key", "segment"], "left").withColumnRenamed("below", "_low").withColumn("segment", F.col("segment") + 1)
         .join(below, ["event_key", "segment"], "left").join(cases.select("event_key", "total"), "event_key")
@@ -449,10 +461,3 @@ def predict_errors(rows: DataFrame, fit: DataFrame) -> DataFrame:
         .agg(F.sum(F.coalesce("below", "total", F.lit(0)) - F.coalesce("_low", F.lit(0))).alias("weight"))
         .select("event_key", *[f"winner.{c}" for c in ROW_ORDER], "weight")
     )
-    labelled = rows.select(
-        "event_key", *ROW_ORDER, F.coalesce("bucket_label", F.lit("")).alias("label")
-    )
-    weighted = labelled.join(weights, ["event_key", *ROW_ORDER], "left").withColumn(
-        "weight", F.coalesce(F.col("weight"), F.lit(0)).cast("double")
-    )
-    return last_per_token(normalize_weights(weighted, ["event_key"], "weight"), rows)

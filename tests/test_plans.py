@@ -56,3 +56,29 @@ def test_ladders_read_their_rungs_from_a_table(spark):
     out = groups.ladder_topology(df, ["seq"])
     assert "LocalRelation" not in plan(out) and "LogicalRDD" not in plan(out)
     assert out.first().topology_detail == "invalid_tail:high;above_lo=19.0;last_interior_hi=17.0"
+
+
+def left_tables(make) -> list[str]:
+    """The kinds of working tables that are there when a query is ready to be read."""
+    from bucketwise.sources import scratch
+
+    before = set(scratch._MADE)
+    make().count()
+    return sorted(path.rpartition("/")[2].rpartition("-")[0] for path in scratch._MADE if path not in before)
+
+
+def test_a_query_keeps_only_the_tables_it_reads(spark):
+    from bucketwise.plans.catalog import QUERIES
+
+    sf = "/root/testdata/sf0.001"
+    assert left_tables(lambda: QUERIES["error_predict"](spark, sf)) == ["fit", "snapshots", "split-dates", "weights"]
+    assert left_tables(lambda: QUERIES["accepted_edges"](spark, sf)) == ["fit", "snapshots", "split-dates", "weights"]
+
+
+def test_group_facts_are_one_aggregation_of_written_rows(spark):
+    from bucketwise.plans.catalog import QUERIES
+
+    assert left_tables(lambda: QUERIES["group_weak_evidence"](spark, "/root/testdata/sf0.001")) == ["grouped"]
+    facts = plan(QUERIES["group_conflicts"](spark, "/root/testdata/sf0.001"))
+    texts = [line for line in facts.splitlines() if "Aggregate [event_key" in line and "x_slug_family" in line]
+    assert len(texts) == 1 and "Window" not in facts
