@@ -13,7 +13,7 @@ from bucketwise.plans.bindings import (
 from bucketwise.plans.registry import SQL, query, rounded
 from bucketwise.plans.text_queries import raw_markets
 from bucketwise.sources import rawstore, snapshots as files
-from bucketwise.sources.scratch import new_path
+from bucketwise.sources.scratch import new_path, shuffles_end
 from bucketwise.streaming.ingest import ingest_stream, read_judged
 
 SEQ_SQL = ", ".join(SEQ_COLUMNS)
@@ -264,7 +264,8 @@ def stream_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The trades arrive in six triggers, each of as many files as the cluster has cores; the result is that of one batch."""
     home, cores = new_path(spark, "trades"), spark.sparkContext.defaultParallelism
     lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
-    lines.repartition(6 * cores, F.col("l_orderkey"), F.col("l_linenumber")).write.parquet(f"{home}/input")
+    with shuffles_end(spark):
+        lines.repartition(6 * cores, F.col("l_orderkey"), F.col("l_linenumber")).write.option("compression", "zstd").parquet(f"{home}/input")
     source = spark.readStream.schema(lines.schema).option("maxFilesPerTrigger", cores).parquet(f"{home}/input")
 
     def judge(batch: DataFrame) -> DataFrame:

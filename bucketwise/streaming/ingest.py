@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, types as T
 
 from bucketwise.operators.keyed import first_per_key
 from bucketwise.sources import versions
+from bucketwise.sources.scratch import shuffles_end
 
 
 def ingest_stream(
@@ -29,7 +30,8 @@ def ingest_stream(
         if batch_id <= manifest.get("upto", -1) or str(batch_id) in manifest.get("batches", {}):
             return
         rows, folder = judge(batch), f"batch-{batch_id}-{uuid4().hex}"
-        rows.write.parquet(f"{table}/{folder}")
+        with shuffles_end(spark):
+            rows.write.option("compression", "zstd").parquet(f"{table}/{folder}")
         batches = manifest.get("batches", {}) | {str(batch_id): folder}
         versions.publish(spark, table, number, manifest | {"schema": rows.schema.json(), "batches": batches})
         if compact_every and len(batches) >= compact_every:
@@ -68,6 +70,7 @@ def compact(spark: SparkSession, table: str, keys: Sequence, order: Sequence) ->
     if not manifest.get("batches"):
         return
     folder = f"compacted-{uuid4().hex}"
-    first_per_key(read_judged(spark, table), keys, order).write.parquet(f"{table}/{folder}")
+    with shuffles_end(spark):
+        first_per_key(read_judged(spark, table), keys, order).write.option("compression", "zstd").parquet(f"{table}/{folder}")
     upto = max(map(int, manifest["batches"]))
     versions.publish(spark, table, number, manifest | {"compacted": folder, "upto": upto, "batches": {}})

@@ -222,6 +222,22 @@ def test_stream_batches_use_every_core(spark, tmp_path, monkeypatch):
     assert len(list((tmp_path / "trades" / "checkpoint" / "commits").glob("[0-9]*"))) == 6
 
 
+def test_stream_leaves_packed_files_and_no_shuffle_files(spark, tmp_path, monkeypatch):
+    import time
+
+    from bucketwise.plans import table_queries
+
+    monkeypatch.setattr(table_queries, "new_path", lambda _spark, name: f"{tmp_path}/{name}")
+    before = shuffle_files(spark)
+    table_queries.stream_upsert(spark, "/root/testdata/sf0.001")
+    stored = [f for folder in ("input", "table") for f in (tmp_path / "trades" / folder).rglob("part-*.parquet")]
+    assert len(stored) > 12 and all(f.name.endswith(".zstd.parquet") for f in stored)
+    end = time.time() + 20
+    while shuffle_files(spark) > before and time.time() < end:
+        time.sleep(0.2)
+    assert shuffle_files(spark) <= before
+
+
 def test_unique_snapshots_are_chosen_before_their_texts_are_made(spark):
     from bucketwise.plans.bindings import snapshots_unique
 
