@@ -2,13 +2,23 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import reduce
+from itertools import pairwise
+from uuid import uuid4
+
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from bucketwise.functions.identity import dedup_key
 from bucketwise.functions.text import blank_to_null
 from bucketwise.functions.times import iso_utc, parse_instant
 from bucketwise.sources import schemas as S
+from bucketwise.sources.scratch import materialize, shuffles_end, tables_end
+
+#: an ordered write sorts so many key ranges in turn, with borders from about so many keys
+RANGES = 3
+BORDER_KEYS = 4000
 
 
 def hourly_state(item: Column) -> Column:
@@ -86,9 +96,62 @@ def encode_snapshots(df: DataFrame) -> DataFrame:
     ).withColumns(out)
 
 
+def _snapshot_key() -> Column:
+    return dedup_key(F.col("condition_id"), F.col("token_id"), F.col("event_date"), F.col("decision_ts"))
+
+
+def _without_void(kind: T.DataType) -> T.DataType:
+    """Files of typed rows have no column type for nothing but nulls."""
+    if isinstance(kind, T.NullType):
+        return T.StringType()
+    if isinstance(kind, T.ArrayType):
+        return T.ArrayType(_without_void(kind.elementType), kind.containsNull)
+    if isinstance(kind, T.StructType):
+        return T.StructType([T.StructField(f.name, _without_void(f.dataType), f.nullable) for f in kind.fields])
+    return kind
+
+
+def _held(df: DataFrame, *more: Column) -> DataFrame:
+    """The rows as a table, so that the shuffles behind them are over before a file is written."""
+    typed = [F.col(f.name).cast(_without_void(f.dataType)).alias(f.name) for f in df.schema.fields]
+    return materialize(df.select(*typed, *more), "unordered")
+
+
 def write_snapshots_jsonl(df: DataFrame, path: str, compression: str = "gzip") -> None:
     """One JSON object a line; field names and paths repeat in every row, so plain text is many times its content."""
-    encode_snapshots(df).write.options(ignoreNullFields="false", compression=compression).json(path)
+    with tables_end(df.sparkSession):
+        encode_snapshots(_held(df)).write.options(ignoreNullFields="false", compression=compression).json(path)
+
+
+def _write_ordered(df: DataFrame, path: str, shape: Callable[[DataFrame], DataFrame], **options: str) -> None:
+    """Files ordered by dedup key inside, their ranges apart; ``shape`` is made of the rows (and ``_key``) in their place.
+
+    The wide rows of one key range after the other are sorted, so no more than about one ``RANGES``-th of them lies in
+    shuffle files. Borders are quantiles of some of the keys, as in Spark's own sort: they only decide how even the
+    ranges are. The folder gets its name when it is complete.
+    """
+    spark, key = df.sparkSession, F.col("_key")
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    final, draft = jvm.org.apache.hadoop.fs.Path(path), jvm.org.apache.hadoop.fs.Path(f"{path.rstrip('/')}-{uuid4().hex}")
+    system = final.getFileSystem(conf)
+    if system.exists(final):
+        raise FileExistsError(path)
+    try:
+        with tables_end(spark):
+            rows = _held(df, _snapshot_key().alias("_key"))
+            share = min(1.0, BORDER_KEYS / max(1, rows.count()))
+            keys = sorted(r._key for r in rows.select(key).sample(fraction=share, seed=1).collect())
+            inner = sorted({keys[len(keys) * i // RANGES] for i in range(1, RANGES)}) if keys else []
+            for low, high in pairwise([None, *inner, None]):
+                here = [c for c in (None if low is None else key >= low, None if high is None else key < high) if c is not None]
+                part = reduce(Column.__and__, here, F.lit(True))
+                with shuffles_end(spark):
+                    shape(rows.filter(part).sort(key)).write.mode("append").options(**options).parquet(draft.toString())
+        if system.exists(final) or not system.rename(draft, final):
+            raise FileExistsError(path)
+    except BaseException:
+        system.delete(draft, True)
+        raise
 
 
 def write_snapshots_payload(df: DataFrame, path: str, compression: str = "zstd") -> None:
@@ -96,17 +159,15 @@ def write_snapshots_payload(df: DataFrame, path: str, compression: str = "zstd")
 
     The typed rows are ordered, and encoded when they lie in their place.
     """
-    key = dedup_key(F.col("condition_id"), F.col("token_id"), F.col("event_date"), F.col("decision_ts"))
-    rows = encode_snapshots(df.sort(key))
-    rows.select(F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("payload")).write.option(
-        "compression", compression
-    ).parquet(path)
+    def payload(rows: DataFrame) -> DataFrame:
+        return encode_snapshots(rows.drop("_key")).select(F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("payload"))
+
+    _write_ordered(df, path, payload, compression=compression)
 
 
-def write_snapshots(df: DataFrame, path: str) -> None:
+def write_snapshots(df: DataFrame, path: str, compression: str = "zstd") -> None:
     """Typed Parquet ordered by dedup key: readers prune columns and skip row groups."""
-    key = dedup_key(F.col("condition_id"), F.col("token_id"), F.col("event_date"), F.col("decision_ts"))
-    df.withColumn("dedup_key", key).sort("dedup_key").write.parquet(path)
+    _write_ordered(df, path, lambda rows: rows.withColumn("dedup_key", F.col("_key")).drop("_key"), compression=compression)
 
 
 def read_snapshots(spark: SparkSession, path: str) -> DataFrame:

@@ -213,6 +213,40 @@ def test_snapshot_files_are_packed_and_ordered(spark, tmp_path):
         assert keys == sorted(keys)
 
 
+def test_ordered_files_hold_each_row_once_in_apart_ranges(spark, tmp_path):
+    import time
+
+    from bucketwise.sources import scratch
+
+    ids = spark.range(3000).select((F.col("id") * 7919 % 3000).alias("n"))
+    rows = ids.unionByName(ids.filter("n % 10 = 0")).repartition(5, "n").select(
+        F.when(F.col("n") != 5, F.concat(F.lit("c"), "n")).alias("condition_id"), F.lit("t").alias("token_id"),
+        F.lit("2024-01-01").alias("event_date"), F.expr("timestamp'2024-01-01'").alias("decision_ts"), F.lit(None).alias("nothing"),
+    )
+    before, tables = shuffle_files(spark), len(scratch._MADE)
+    files.write_snapshots(rows.drop("nothing"), f"{tmp_path}/typed")
+    files.write_snapshots_payload(rows, f"{tmp_path}/payload")
+    files.write_snapshots_jsonl(rows, f"{tmp_path}/lines")
+    assert len(scratch._MADE) == tables
+    end = time.time() + 20
+    while shuffle_files(spark) > before and time.time() < end:
+        time.sleep(0.2)
+    assert shuffle_files(spark) <= before  # also of what was read to write
+    want = sorted(f"c{n}|t|2024-01-01|2024-01-01T00:00:00+00:00" if n != 5 else "t|2024-01-01|2024-01-01T00:00:00+00:00"
+                  for n in [*range(3000), *range(0, 3000, 10)])
+    parts = [[r.dedup_key for r in spark.read.parquet(str(f)).collect()] for f in (tmp_path / "typed").glob("part-*")]
+    parts = sorted((p for p in parts if p), key=lambda p: p[0])
+    assert all(p == sorted(p) for p in parts) and [k for p in parts for k in p] == want
+    payload = [json.loads(r.payload) for r in spark.read.parquet(f"{tmp_path}/payload").collect()]
+    lines = [json.loads(r.value) for r in spark.read.text(f"{tmp_path}/lines").collect()]
+    assert sorted(r["dedup_key"] for r in payload) == sorted(r["dedup_key"] for r in lines) == want
+    assert payload[0]["nothing"] is None and "nothing" in lines[0] and "_key" not in payload[0]
+    with pytest.raises(FileExistsError):
+        files.write_snapshots(rows.drop("nothing"), f"{tmp_path}/typed")
+    files.write_snapshots(rows.drop("nothing").limit(0), f"{tmp_path}/empty")
+    assert files.read_snapshots(spark, f"{tmp_path}/empty").count() == 0 and not list(tmp_path.glob("*-*"))
+
+
 def test_stream_batches_use_every_core(spark, tmp_path, monkeypatch):
     from bucketwise.plans import table_queries
 
